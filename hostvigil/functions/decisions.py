@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hostvigil.functions import dims
@@ -42,53 +42,77 @@ def normalize_confidence(confidence: Column) -> Column:
     return F.when(confidence > 1.0, confidence / 100.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence)))
 
 
-def decide(label: Column, confidence: Column, severity: Column, enabled: bool = True, threshold: float = ALERT_CONFIDENCE) -> Column:
-    """Struct of decision, is_attack, label, confidence, severity, reason and email_required."""
-    c, percent = normalize_confidence(confidence), normalize_confidence(confidence) * 100.0
+def decision_rule(label: Column, c: Column, threshold: float = ALERT_CONFIDENCE) -> Column:
+    """Which rule decides: 0 benign, 1 very low, 2 low, 3 moderate, 4 high, 5 very high confidence."""
+    return F.when(label == "Benign", 0).when(c < 0.40, 1).when(c < threshold, 2).when(c < 0.85, 3).when(c < 0.95, 4).otherwise(5)
 
-    def outcome(decision, is_attack, final, reason, email) -> Column:
-        return F.struct(
-            F.lit(decision).alias("decision"),
-            F.lit(is_attack).alias("is_attack"),
-            label.alias("label"),
-            c.alias("confidence"),
-            final.alias("severity"),
-            reason.alias("reason"),
-            email.alias("email_required"),
-        )
 
-    no, safe = F.lit(False), F.lit("SAFE")
+def by_rule(rule: Column, *values: Column) -> Column:
+    chain = F.when(rule == 0, values[0])
+    for i, value in enumerate(values[1:-1], 1):
+        chain = chain.when(rule == i, value)
+    return chain.otherwise(values[-1])
+
+
+def with_decision(
+    frame: DataFrame, label: str, confidence: str, base: str, enabled: bool = True, threshold: float = ALERT_CONFIDENCE
+) -> DataFrame:
+    """Add decision, is_attack, norm_confidence, severity, reason and email_required.
+
+    Each step is a column of its own, so that the plan evaluates it once however often it is used.
+    """
+    severity = F.col(base)
+    steps = frame.withColumn("norm_confidence", normalize_confidence(F.col(confidence)))
     if not enabled:
-        reason = F.lit(REASON_DISABLED)
-        return F.when(label == "Benign", outcome("IGNORE", False, safe, reason, no)).otherwise(
-            outcome("ALERT", True, severity, reason, high_or_critical(severity))
+        attack = F.col(label) != "Benign"
+        return steps.withColumns(
+            {
+                "decision": F.when(attack, "ALERT").otherwise("IGNORE"),
+                "is_attack": attack,
+                "severity": F.when(attack, severity).otherwise("SAFE"),
+                "reason": F.lit(REASON_DISABLED),
+                "email_required": attack & high_or_critical(severity),
+            }
         )
-    serious = high_or_critical(severity)
-    moderate = F.when(serious, severity).otherwise("MEDIUM")
+    rule, percent = F.col("_rule"), F.col("norm_confidence") * 100.0
+    steps = steps.withColumn("_rule", decision_rule(F.col(label), F.col("norm_confidence"), threshold))
+    safe = F.lit("SAFE")
+    moderate = F.when(high_or_critical(severity), severity).otherwise("MEDIUM")
     high = F.when(severity == "CRITICAL", "CRITICAL").otherwise("HIGH")
     very_high = F.when(severity.isin("LOW", "MEDIUM"), "HIGH").otherwise("CRITICAL")
-    return (
-        F.when(label == "Benign", outcome("IGNORE", False, safe, F.lit(REASON_BENIGN), no))
-        .when(c < 0.40, outcome("IGNORE", False, safe, F.format_string(REASON_VERY_LOW, percent), no))
-        .when(c < threshold, outcome("LOG_ONLY", False, F.lit("UNKNOWN"), F.format_string(REASON_LOW, percent, F.lit(threshold * 100.0)), no))
-        .when(c < 0.85, outcome("ALERT", True, moderate, F.format_string(REASON_MODERATE, percent, label), serious))
-        .when(c < 0.95, outcome("ALERT", True, high, F.format_string(REASON_HIGH, percent, label), F.lit(True)))
-        .otherwise(outcome("ALERT", True, very_high, F.format_string(REASON_VERY_HIGH, percent, label), F.lit(True)))
-    )
-
-
-def risk_level(label: Column, confidence: Column, text: Column, threshold: float = ALERT_CONFIDENCE) -> Column:
-    """Risk from base severity, escalated by sensitive paths and gated by the confidence as given."""
-    base, lowered = base_severity(label), fold_case(F.coalesce(text, F.lit("")))
+    attack_reason = [F.format_string(text, percent, F.col(label)) for text in (REASON_MODERATE, REASON_HIGH, REASON_VERY_HIGH)]
+    return steps.withColumns(
+        {
+            "decision": F.when(rule <= 1, "IGNORE").when(rule == 2, "LOG_ONLY").otherwise("ALERT"),
+            "is_attack": rule >= 3,
+            "severity": by_rule(rule, safe, safe, F.lit("UNKNOWN"), moderate, high, very_high),
+            "reason": by_rule(
+                rule,
+                F.lit(REASON_BENIGN),
+                F.format_string(REASON_VERY_LOW, percent),
+                F.format_string(REASON_LOW, percent, F.lit(threshold * 100.0)),
+                *attack_reason,
+            ),
+            "email_required": (rule >= 4) | ((rule == 3) & high_or_critical(severity)),
+        }
+    ).drop("_rule")
+
+
+def with_risk_level(frame: DataFrame, label: str, confidence: str, base: str, text: str, threshold: float = ALERT_CONFIDENCE) -> DataFrame:
+    """Add risk_level: base severity, escalated by sensitive paths and gated by the confidence as given."""
+    c, severity = F.col(confidence), F.col(base)
+    # Only a confident HIGH finding can escalate, so only its text is folded and searched.
+    folded = frame.withColumn("_folded", F.when((severity == "HIGH") & (c >= 0.90), fold_case(F.coalesce(F.col(text), F.lit("")))))
     names_path = F.lit(False)
     for path in ESCALATION_PATHS:
-        names_path = names_path | lowered.contains(path)
-    return (
-        F.when(label == "Benign", F.when(confidence >= 0.70, "SAFE").otherwise("LOW"))
-        .when(confidence < threshold, "SAFE")
-        .when((base == "HIGH") & (confidence >= 0.90) & names_path, "CRITICAL")
-        .otherwise(base)
+        names_path = names_path | F.col("_folded").contains(path)
+    risk = (
+        F.when(F.col(label) == "Benign", F.when(c >= 0.70, "SAFE").otherwise("LOW"))
+        .when(c < threshold, "SAFE")
+        .when(F.col("_folded").isNotNull() & names_path, "CRITICAL")
+        .otherwise(severity)
     )
+    return folded.withColumn("risk_level", risk).drop("_folded")
 
 
 def weighted_risk(label: Column, confidence: Column, weight: Column) -> Column:

@@ -69,7 +69,7 @@ def nb_score(rows: DataFrame, model: DataFrame, labels: list[str], key: str = "s
     prior = model.where("token = ''").select("logp").scalar()
     n = range(len(labels))
     sums = words.join(known, "token", "left").groupBy(key).agg(*[F.sum(F.coalesce(F.get("logp", F.lit(i)), F.lit(0.0))).alias(f"s{i}") for i in n])
-    total = sums.select(key, F.zip_with(F.array(*[f"s{i}" for i in n]), prior, lambda a, b: a + b).alias("_s"))
+    total = sums.withColumn("_p", prior).select(key, F.zip_with(F.array(*[f"s{i}" for i in n]), "_p", lambda a, b: a + b).alias("_s"))
     return rows.join(with_ranking(total, labels).drop("_s"), key).select(*[rows[c] for c in rows.columns], "prediction", "confidence", "scores")
 
 

@@ -7,28 +7,21 @@ from pyspark.sql import functions as F
 
 from hostvigil.functions import decisions as d
 from hostvigil.functions.dims import RISK_LEVELS
+from hostvigil.operators.ordered import evaluate_once
 
 
 def decide(scored: DataFrame, enabled: bool = True) -> DataFrame:
-    """Add the decision struct's fields and risk_level to rows of prediction, confidence and clean_text."""
-    label, confidence = F.col("prediction"), F.col("confidence")
-    decided = scored.withColumn("_d", d.decide(label, confidence, d.base_severity(label), enabled))
-    return decided.select(
-        *scored.columns,
-        "_d.decision",
-        "_d.is_attack",
-        F.col("_d.confidence").alias("norm_confidence"),
-        "_d.severity",
-        "_d.reason",
-        "_d.email_required",
-        d.risk_level(label, confidence, F.col("clean_text")).alias("risk_level"),
-    )
+    """Add the decision's fields and risk_level to rows of prediction, confidence and clean_text."""
+    based = scored.withColumn("_base", d.base_severity(F.col("prediction")))
+    decided = d.with_decision(based, "prediction", "confidence", "_base", enabled)
+    return d.with_risk_level(decided, "prediction", "confidence", "_base", "clean_text").drop("_base")
 
 
 def incident_rows(decided: DataFrame) -> DataFrame:
     """Rows of the incident table: LOG_ONLY as safe and low-confidence, ALERT at the higher of both severities."""
     alert = F.col("decision") == "ALERT"
-    return decided.where(F.col("decision").isin("LOG_ONLY", "ALERT")).select(
+    rows = evaluate_once(decided, "decision", "severity", "risk_level")
+    return rows.where(F.col("decision").isin("LOG_ONLY", "ALERT")).select(
         "*",
         F.when(alert, d.final_severity(F.col("severity"), F.col("risk_level"))).otherwise("SAFE").alias("risk"),
         F.when(alert, "new").otherwise("low_confidence").alias("status"),

@@ -29,6 +29,14 @@ def chunk_of(us: Column, seconds: float) -> Column:
     return F.floor(us / F.lit(int(seconds * 1_000_000))).cast("long")
 
 
+def evaluate_once(frame: DataFrame, *names: str) -> DataFrame:
+    """The same frame, with costly columns behind a generator.
+
+    A later filter on such a column would otherwise be pushed below it together with a copy of its whole expression.
+    """
+    return frame.select(*[c for c in frame.columns if c not in names], F.inline(F.array(F.struct(*names)))).select(*frame.columns)
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     """Equi-join on keys where NULL equals NULL, so that no row with a missing key is lost."""
     other = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})

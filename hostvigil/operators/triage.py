@@ -46,20 +46,21 @@ def prefilter_classify(lines: DataFrame, enabled: bool = True) -> DataFrame:
     line = F.col("raw_line")
     keywords = _first_true([(F.col("_folded").contains(k.lower()), F.lit(i)) for i, k in enumerate(p.OVERRIDE_KEYWORDS)])
     found = (
-        lines.withColumn("_folded", fold_case(line))
-        .withColumn("_pattern", F.when(~is_blank(line), first_benign_pattern(line, F.col("_folded"))))
+        lines.withColumn("_blank", is_blank(line))
+        .withColumn("_folded", fold_case(line))
+        .withColumn("_pattern", F.when(~F.col("_blank"), first_benign_pattern(line, F.col("_folded"))))
         .withColumn("_keyword", F.when(F.col("_pattern").isNotNull(), keywords))
     )
     pattern = F.get(F.lit(p.BENIGN_PATTERNS), F.col("_pattern"))
     keyword = F.get(F.lit([escaped_keyword(k) for k in p.OVERRIDE_KEYWORDS]), F.col("_keyword"))
     decision = (
-        F.when(is_blank(line), "BENIGN")
+        F.when(F.col("_blank"), "BENIGN")
         .when(F.col("_pattern").isNull(), "PASS_TO_AI")
         .when(F.col("_keyword").isNull(), "BENIGN")
         .otherwise("SUSPICIOUS")
     )
     reason = (
-        F.when(is_blank(line), "Empty log line")
+        F.when(F.col("_blank"), "Empty log line")
         .when(F.col("_pattern").isNull(), "No benign pattern matched, requires AI analysis")
         .when(F.col("_keyword").isNull(), F.concat(F.lit("Matched benign pattern: "), pattern))
         .otherwise(F.concat(F.lit("Benign pattern matched but suspicious keyword detected: "), keyword))
@@ -104,38 +105,45 @@ def is_noisy(line: Column) -> Column:
     return reduce(lambda a, b: a | b, tests)
 
 
-def extract_clean_text(raw: Column, source: Column, skip_noise: Column | None = None) -> Column:
-    """Payload of a line by its source; NULL where the line is noise or holds none.
+def with_clean_text(lines: DataFrame, spare: Column | None = None) -> DataFrame:
+    """Add clean_text: the payload of a line by its source; NULL where the line is noise or holds none.
 
-    ``skip_noise`` marks lines the noise filter does not apply to.
+    ``spare`` marks lines the noise filter does not apply to.
     """
-    line, src = strip(raw), F.lower(F.coalesce(source, F.lit("")))
+    noisy = is_noisy(F.col("raw_line"))
+    steps = (
+        lines.withColumn("_noisy", noisy if spare is None else noisy & ~spare)
+        .withColumn("_line", F.when(~F.col("_noisy"), strip(F.col("raw_line"))))
+        .withColumn("_source", F.lower(F.coalesce("source_log", F.lit(""))))
+        .withColumn("_payload", _payload(F.col("_line"), F.col("_source")))
+        .withColumn("_text", F.when(F.col("_payload").isNotNull(), sanitize(F.col("_payload"))))
+    )
+    return steps.select(*lines.columns, F.nullif("_text", F.lit("")).alias("clean_text"))
+
+
+def _payload(line: Column, source: Column) -> Column:
+    """First rule whose source and pattern fit; a rule whose pattern does not match falls through."""
 
     def from_source(*names: str) -> Column:
-        return reduce(lambda a, b: a | b, [src.contains(n) for n in names])
+        return reduce(lambda a, b: a | b, [source.contains(n) for n in names])
 
-    def group(pattern: str) -> tuple[Column, Column]:
+    def rule(where: Column, pattern: str, prefix: str = "") -> tuple[Column, Column]:
         spelled = java_regex(pattern, ignore_case=False)
-        return line.rlike(spelled), F.regexp_extract(line, spelled, 1)
+        found = F.regexp_extract(line, spelled, 1)
+        return where & line.rlike(spelled), F.concat(F.lit(prefix), found) if prefix else found
 
-    quoted, sshd, sudo = group(p.QUOTED_REQUEST), group(p.SSHD_MESSAGE), group(p.SUDO_MESSAGE)
-    banned, binary = group(p.FAIL2BAN_MESSAGE), group(p.AUDIT_EXECUTABLE)
     login = from_source("auth", "secure") | line.contains("sshd")
     security = reduce(lambda a, b: a | b, [matches(line, x) for x in p.SECURITY_PATTERNS])
-    payload = (
-        F.when(from_source("access", "nginx", "apache") & quoted[0], quoted[1])
-        .when(login & sshd[0], sshd[1])
-        .when(login & sudo[0], sudo[1])
-        .when(from_source("fail2ban") & banned[0], banned[1])
-        .when(from_source("audit") & binary[0], F.concat(F.lit("Executed binary: "), binary[1]))
-        .when(security, F.regexp_replace(line, java_regex(p.SYSLOG_PREFIX, ignore_case=False), ""))
+    return _first_true(
+        [
+            rule(from_source("access", "nginx", "apache"), p.QUOTED_REQUEST),
+            rule(login, p.SSHD_MESSAGE),
+            rule(login, p.SUDO_MESSAGE),
+            rule(from_source("fail2ban"), p.FAIL2BAN_MESSAGE),
+            rule(from_source("audit"), p.AUDIT_EXECUTABLE, "Executed binary: "),
+            (security, F.regexp_replace(line, java_regex(p.SYSLOG_PREFIX, ignore_case=False), "")),
+        ]
     )
-    noisy = is_noisy(raw) if skip_noise is None else is_noisy(raw) & ~skip_noise
-    return F.when(~noisy, F.nullif(sanitize_present(payload), F.lit("")))
-
-
-def sanitize_present(text: Column) -> Column:
-    return F.when(text.isNotNull(), sanitize(text))
 
 
 def parse_access_log(lines: DataFrame) -> DataFrame:

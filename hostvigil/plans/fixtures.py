@@ -140,6 +140,23 @@ SELECT seq AS ord, raw_line AS text, CASE seq % 16
   WHEN 8 THEN 'PathTraversal' WHEN 10 THEN 'ReverseShell' WHEN 11 THEN 'Linux_Malware' WHEN 12 THEN 'Docker_Abuse'
   WHEN 13 THEN 'Cryptomining' ELSE 'Benign' END AS label
 FROM fx_syslog JOIN (SELECT event_id, user_id FROM events) AS who ON seq = event_id
+""",
+    # Lines of both kinds, with sources that reach every extraction rule.
+    "fx_triage": """
+SELECT seq, source_log, raw_line FROM fx_syslog
+UNION ALL
+SELECT -seq AS seq, CASE seq % 4 WHEN 0 THEN '/var/log/auth.log' WHEN 1 THEN '/var/log/audit/audit.log' WHEN 2 THEN '/var/log/apache2/access.log' ELSE '/var/log/fail2ban.log' END AS source_log, raw_line FROM fx_lines
+""",
+    # Labelled text with missing and blank values.
+    "fx_dirty": """
+SELECT ord, CASE ord % 10 WHEN 3 THEN '  ' WHEN 4 THEN NULL ELSE text END AS text, CASE WHEN ord % 10 = 5 THEN NULL ELSE label END AS label FROM fx_labeled
+""",
+    # Reviewers' verdicts: some rows reviewed twice, some ids unknown.
+    "fx_verdicts": """
+SELECT CAST(event_id * 2 AS STRING) AS id, event_id AS review_seq, CASE WHEN event_id % 3 = 0 THEN 'reject' ELSE 'approve' END AS action,
+  CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 5 = 0 THEN 'Kubernetes_Token_Theft' ELSE event_type END AS label FROM events
+UNION ALL
+SELECT CAST(event_id AS STRING) AS id, event_id + 1000000000 AS review_seq, 'reject' AS action, CAST(NULL AS STRING) AS label FROM events WHERE event_id % 8 = 0
 """,
 }
 
@@ -148,6 +165,8 @@ NEEDS = {
     "fx_pred": ["labels48"],
     "fx_review": ["labels48", "fx_pred"],
     "fx_train": ["fx_syslog"],
+    "fx_triage": ["fx_syslog", "fx_lines"],
+    "fx_dirty": ["fx_labeled"],
 }
 
 # Classes of the labelled tables: metadata a model is saved with.
@@ -170,3 +189,8 @@ def with_clause(names: list[str]) -> str:
 def adapter(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     tables = ", ".join(f"{t} AS (SELECT * FROM parquet.`{sf_dir}/{t}.parquet`)" for t in TABLES)
     return spark.sql(f"WITH {tables}, {with_clause([name])} SELECT * FROM {name}")
+
+
+def adapter_sql(text: str, *needs: str) -> str:
+    """A query over adapters as one statement."""
+    return f"WITH {with_clause(list(needs))} {text}"

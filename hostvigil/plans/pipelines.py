@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from hostvigil.functions import decisions as d
 from hostvigil.functions.text import is_blank, strip
 from hostvigil.operators import classify, dataset, evaluate, incidents, review, triage
+from hostvigil.operators.ordered import evaluate_once
 from hostvigil.session import new_path
 
 Scorer = Callable[[DataFrame], DataFrame]
@@ -29,8 +30,11 @@ def prepare_lines(lines: DataFrame, honor_suspicious: bool = False) -> DataFrame
     """
     checked = triage.prefilter_classify(lines).select(*lines.columns, F.col("decision").alias("pre_decision"))
     spared = (F.col("pre_decision") == "SUSPICIOUS") if honor_suspicious else None
-    text = triage.extract_clean_text(F.col("raw_line"), F.col("source_log"), spared)
-    return checked.withColumn("clean_text", F.when(F.col("pre_decision") != "BENIGN", text))
+    benign = F.col("pre_decision") == "BENIGN"
+    # A benign line goes on as NULL, which no pattern is tried on.
+    masked = checked.withColumnRenamed("raw_line", "_raw").withColumn("raw_line", F.when(~benign, F.col("_raw")))
+    texts = triage.with_clean_text(masked, spared).select(*[F.col("_raw").alias(c) if c == "raw_line" else F.col(c) for c in checked.columns], "clean_text")
+    return evaluate_once(texts, "pre_decision", "clean_text")
 
 
 def triage_pipeline(lines: DataFrame, score: Scorer, honor_suspicious: bool = False, write_scored: bool = True) -> DataFrame:
@@ -68,9 +72,10 @@ def stateless_triage(lines: DataFrame, score: Scorer, honor_suspicious: bool = F
 
 def analyze_on_demand(lines: DataFrame, score: Scorer) -> DataFrame:
     """Ad-hoc evaluation: every line that is not blank is scored, on its payload or else on itself."""
-    text = F.coalesce(triage.extract_clean_text(F.col("raw_line"), F.col("source_log")), strip(F.col("raw_line")))
     kept = lines.where(~is_blank(F.col("raw_line")))
-    decided = incidents.decide(score(triage.prefilter_classify(kept).select(*lines.columns, F.col("decision").alias("pre_decision"), text.alias("clean_text"))))
+    checked = triage.prefilter_classify(kept).select(*lines.columns, F.col("decision").alias("pre_decision"))
+    text = triage.with_clean_text(checked).withColumn("clean_text", F.coalesce("clean_text", strip(F.col("raw_line"))))
+    decided = incidents.decide(score(materialize(text, "adhoc")))
     alert = F.col("decision") == "ALERT"
     return decided.withColumns(
         {

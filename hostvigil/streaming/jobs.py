@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -37,13 +38,26 @@ def drain_updates(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
 
     A batch overwrites its own folder, so a retry replaces what it wrote before.
     """
-    path = drain_batches(stream, name, lambda batch, n, root: batch.write.mode("overwrite").parquet(f"{root}/data/batch={n}"), "update")
+    # With one stateful operator, late rows are told by the current watermark rather than by that of the batch before;
+    # otherwise a row could reopen a window whose state is gone, and its count would start again.
+    with session_setting(stream.sparkSession, "spark.sql.streaming.statefulOperator.allowMultiple", "false"):
+        path = drain_batches(stream, name, lambda batch, n, root: batch.write.mode("overwrite").parquet(f"{root}/data/batch={n}"), "update")
     rows = stream.sparkSession.read.schema(f"{_ddl(stream)}, batch BIGINT").parquet(f"{path}/data")
     rest = [c for c in stream.columns if c not in keys]
     latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r"))
     return latest.select(*[F.col(c) if c in keys else F.col(f"_r.{c}").alias(c) for c in stream.columns])
 
 
+@contextmanager
+def session_setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _ddl(frame: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields)
 
