@@ -84,6 +84,15 @@ EXTRA_NOISE_PATTERNS = [
     r"systemd-resolved\[\d+\]:\s+Using DNS server",
 ]
 
+# One of these literals occurs in every line the noise pattern of the same position matches.
+NOISE_GUARDS = [
+    ["systemd["], ["run-docker-runtime"], [".mount"], ["runc."], ["cron["], ["apt-dscp", "dpkg-exec", "unattended-upgrades"],
+    ["logrotate:"], ["dhclient["], ["systemd-resolved["],
+]
+EXTRA_NOISE_GUARDS = [
+    ["systemd["], ["cron["], ["apt-dscp", "dpkg-exec", "unattended-upgrades"], ["logrotate:"], ["dhclient["], ["systemd-resolved["],
+]
+
 # Fixed values. A line of any source that matches one of these is kept whole, minus its syslog prefix.
 SECURITY_PATTERNS = [
     r"Failed password",
@@ -102,6 +111,18 @@ SECURITY_PATTERNS = [
     r"type=EXECVE|type=SYSCALL|type=PATH",
 ]
 
+# The same for the security patterns.
+SECURITY_GUARDS = [
+    ["failed password"], ["invalid user"], ["accepted "], ["sudo:"], ["su:"],
+    ["get", "post", "put", "delete", "head", "options", "connect"],
+    ["nmap", "masscan", "nikto", "sqlmap", "gobuster", "hydra"],
+    ["docker"], ["xmrig", "minerd", "stratum+tcp"],
+    ["bash -i", "/dev/tcp/", "nc -e", "mkfifo", "python"],
+    ["chmod ", "chown root", "useradd", "usermod"],
+    ["wget", "curl", "openssl enc", "dirty_cow", "cve-"],
+    ["fail2ban.actions"], ["type=execve", "type=syscall", "type=path"],
+]
+
 # Where the payload of each source sits, and the access-log line format.
 QUOTED_REQUEST = r'"([^"]+)"'
 SSHD_MESSAGE = r"sshd\[\d+\]:\s*(.*)"

@@ -96,36 +96,48 @@ def first_pattern_match(lines: DataFrame, table: DataFrame, column: str = "raw_l
     )
 
 
-def is_noisy(line: Column) -> Column:
-    """Blank, or a line of routine service chatter."""
-    lowered = F.lower(line)
-    tests = [is_blank(line)]
-    tests += [lowered.contains(s) for s in p.NOISE_SUBSTRINGS]
-    tests += [matches(line, x) for x in dict.fromkeys(p.NOISE_PATTERNS + p.EXTRA_NOISE_PATTERNS)]
+def guarded_match(line: Column, folded: Column, table: list[str], guards: list[list[str]]) -> Column:
+    """Whether any pattern matches; a pattern is tried only where one of its literals occurs."""
+    tests = {}
+    for pattern, literals in zip(table, guards):
+        tests[pattern] = any_true([folded.contains(x) for x in literals]) & matches(line, pattern)
+    return any_true(list(tests.values()))
+
+
+def any_true(tests: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, tests)
 
 
+def is_noisy(line: Column, folded: Column | None = None) -> Column:
+    """Blank, or a line of routine service chatter."""
+    folded = fold_case(line) if folded is None else folded
+    chatter = any_true([F.lower(line).contains(s) for s in p.NOISE_SUBSTRINGS])
+    table, guards = p.NOISE_PATTERNS + p.EXTRA_NOISE_PATTERNS, p.NOISE_GUARDS + p.EXTRA_NOISE_GUARDS
+    return is_blank(line) | chatter | guarded_match(line, folded, table, guards)
+
+
 def with_clean_text(lines: DataFrame, spare: Column | None = None) -> DataFrame:
     """Add clean_text: the payload of a line by its source; NULL where the line is noise or holds none.
 
     ``spare`` marks lines the noise filter does not apply to.
     """
-    noisy = is_noisy(F.col("raw_line"))
+    noisy = is_noisy(F.col("raw_line"), F.col("_folded"))
     steps = (
-        lines.withColumn("_noisy", noisy if spare is None else noisy & ~spare)
+        lines.withColumn("_folded", fold_case(F.col("raw_line")))
+        .withColumn("_noisy", noisy if spare is None else noisy & ~spare)
         .withColumn("_line", F.when(~F.col("_noisy"), strip(F.col("raw_line"))))
         .withColumn("_source", F.lower(F.coalesce("source_log", F.lit(""))))
-        .withColumn("_payload", _payload(F.col("_line"), F.col("_source")))
+        .withColumn("_payload", _payload(F.col("_line"), F.col("_folded"), F.col("_source")))
         .withColumn("_text", F.when(F.col("_payload").isNotNull(), sanitize(F.col("_payload"))))
     )
     return steps.select(*lines.columns, F.nullif("_text", F.lit("")).alias("clean_text"))
 
 
-def _payload(line: Column, source: Column) -> Column:
+def _payload(line: Column, folded: Column, source: Column) -> Column:
     """First rule whose source and pattern fit; a rule whose pattern does not match falls through."""
 
     def from_source(*names: str) -> Column:
-        return reduce(lambda a, b: a | b, [source.contains(n) for n in names])
+        return any_true([source.contains(n) for n in names])
 
     def rule(where: Column, pattern: str, prefix: str = "") -> tuple[Column, Column]:
         spelled = java_regex(pattern, ignore_case=False)
@@ -133,7 +145,7 @@ def _payload(line: Column, source: Column) -> Column:
         return where & line.rlike(spelled), F.concat(F.lit(prefix), found) if prefix else found
 
     login = from_source("auth", "secure") | line.contains("sshd")
-    security = reduce(lambda a, b: a | b, [matches(line, x) for x in p.SECURITY_PATTERNS])
+    security = line.isNotNull() & guarded_match(line, folded, p.SECURITY_PATTERNS, p.SECURITY_GUARDS)
     return _first_true(
         [
             rule(from_source("access", "nginx", "apache"), p.QUOTED_REQUEST),
