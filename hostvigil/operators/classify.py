@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -69,20 +70,22 @@ def nb_score(rows: DataFrame, model: DataFrame, labels: list[str], key: str = "s
     prior = model.where("token = ''").select("logp").scalar()
     n = range(len(labels))
     sums = words.join(known, "token", "left").groupBy(key).agg(*[F.sum(F.coalesce(F.get("logp", F.lit(i)), F.lit(0.0))).alias(f"s{i}") for i in n])
-    total = sums.withColumn("_p", prior).select(key, F.zip_with(F.array(*[f"s{i}" for i in n]), "_p", lambda a, b: a + b).alias("_s"))
-    return rows.join(with_ranking(total, labels).drop("_s"), key).select(*[rows[c] for c in rows.columns], "prediction", "confidence", "scores")
+    total = sums.withColumn("_p", prior).select(key, *[(F.col(f"s{i}") + F.get("_p", F.lit(i))).alias(f"s{i}") for i in n])
+    return rows.join(with_ranking(total, labels), key).select(*[rows[c] for c in rows.columns], "prediction", "confidence", "scores")
 
 
-def with_ranking(total: DataFrame, labels: list[str], scores: str = "_s") -> DataFrame:
-    """Softmax over log scores, labels ranked by score, then name."""
-    shifted = F.transform(scores, lambda s: F.exp(s - F.array_max(scores)))
-    weights = total.withColumn("_e", shifted).withColumn("_z", F.aggregate("_e", F.lit(0.0), lambda a, e: a + e))
-    entries = F.array(*[
-        F.struct((-F.round(F.get(scores, F.lit(i)), 6)).alias("rank"), F.lit(name).alias("label"), F.round(F.get("_e", F.lit(i)) / F.col("_z"), 4).alias("score"))
+def with_ranking(total: DataFrame, labels: list[str]) -> DataFrame:
+    """Softmax over the log scores s0, s1, ...; scores is ranked by score, then label."""
+    n = range(len(labels))
+    best = total.withColumn("_m", F.array_max(F.array(*[f"s{i}" for i in n])))
+    weights = best.select("*", *[F.exp(F.col(f"s{i}") - F.col("_m")).alias(f"e{i}") for i in n])
+    summed = weights.withColumn("_z", reduce(lambda a, b: a + b, [F.col(f"e{i}") for i in n]))
+    entries = [
+        F.struct((-F.round(f"s{i}", 6)).alias("rank"), F.lit(name).alias("label"), F.round(F.col(f"e{i}") / F.col("_z"), 4).alias("score"))
         for i, name in enumerate(labels)
-    ])
-    ranked = F.transform(F.array_sort(entries), lambda e: F.struct(e["label"].alias("label"), e["score"].alias("score")))
-    out = weights.withColumn("scores", ranked).drop("_e", "_z")
+    ]
+    ranked = summed.withColumn("scores", F.sort_array(F.array(*entries)))
+    out = ranked.drop("_m", "_z", *[f"{x}{i}" for x in "se" for i in n])
     return out.withColumn("prediction", F.get("scores", F.lit(0))["label"]).withColumn("confidence", F.get("scores", F.lit(0))["score"])
 
 
@@ -100,7 +103,7 @@ def with_guards(rows: DataFrame, score: Callable[[DataFrame], DataFrame], text:
         {
             "prediction": F.lit("Benign"),
             "confidence": F.lit(BLANK_SCORE),
-            "scores": F.array(F.struct(F.lit("Benign").alias("label"), F.lit(BLANK_SCORE).alias("score"))),
+            "scores": F.array(F.struct(F.lit(0.0).alias("rank"), F.lit("Benign").alias("label"), F.lit(BLANK_SCORE).alias("score"))),
         }
     )
     return scored.unionByName(fixed.select(*scored.columns))

@@ -26,17 +26,10 @@ GROUP_ROWS = 1_000_000
 MAX_CELLS = 64
 
 
-def sliding_window(
-    requests: DataFrame, seconds: int, full: bool, total: str = "total_requests", group_rows: int = GROUP_ROWS
-) -> DataFrame:
-    """Aggregates over the requests of the same host in [t - seconds, t], one row per request.
-
-    Requests at the same instant count only if they arrived earlier. ``full`` adds distinct IPs, the most frequent IP
-    and endpoint with their counts (first seen wins a tie), and error responses.
+def with_cells(requests: DataFrame, seconds: int, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Add _m: into how many cells a host's window is cut, a power of two that rises with its busiest window.
 
-    No pairs are formed. A host's time line is cut into cells, and each cell is one ordered scan over its own requests
-    and over those that leave the window meanwhile. A host with more than ``group_rows`` requests in some window gets
-    up to 64 cells per window; the cells in the middle of the window then enter as counts by IP and by endpoint.
+    One pass over host and time, counted before the shuffle. Without it every host has one cell per window.
     """
     span = int(seconds * 1_000_000)
     busiest = (
@@ -45,10 +38,25 @@ def sliding_window(
         .groupBy("hostname")
         .agg(F.max("_n").alias("_n"))
     )
-    cells = F.least(F.lit(MAX_CELLS), F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("_n") / F.lit(float(group_rows))))))).cast("long")
-    split = busiest.select("hostname", cells.alias("_m"))
-    timed = null_safe_join(requests.withColumn("_us", micros("ts")), split, ["hostname"], "left")
-    timed = timed.withColumn("_cell", F.expr(f"({scaled_sql(span)}) div {span}L"))
+    excess = F.greatest(F.lit(1.0), F.col("_n") / F.lit(float(group_rows)))
+    cells = F.least(F.lit(MAX_CELLS), F.pow(F.lit(2), F.ceil(F.log2(excess)))).cast("long")
+    return null_safe_join(requests, busiest.select("hostname", cells.alias("_m")), ["hostname"], "left")
+
+
+def sliding_window(requests: DataFrame, seconds: int, full: bool, total: str = "total_requests") -> DataFrame:
+    """Aggregates over the requests of the same host in [t - seconds, t], one row per request.
+
+    Requests at the same instant count only if they arrived earlier. ``full`` adds distinct IPs, the most frequent IP
+    and endpoint with their counts (first seen wins a tie), and error responses.
+
+    No pairs are formed. A host's time line is cut into cells, and each cell is one ordered scan over its own requests
+    and over those that leave the window meanwhile. Where ``with_cells`` gave a host several cells per window, the
+    cells in the middle of the window enter as counts by IP and by endpoint.
+    """
+    span = int(seconds * 1_000_000)
+    split = F.col("_m") if "_m" in requests.columns else F.lit(1).cast("long")
+    timed = requests.withColumn("_m", split).withColumn("_us", micros("ts"))
+    timed = timed.withColumn("_cell", F.expr(f"(_us * _m - pmod(_us * _m, {span}L)) div {span}L"))
 
     row = F.struct(*[F.col(c) for c in requests.columns])
     error = F.coalesce((F.col("status") >= 400).cast("long"), F.lit(0).cast("long")) if full else F.lit(0).cast("long")
@@ -86,10 +94,6 @@ def sliding_window(
     return scanned.select("_row.*", *[f.name for f in fields[1:]])
 
 
-def scaled_sql(span: int) -> str:
-    return f"_us * _m - pmod(_us * _m, {span}L)"
-
-
 def _place(cell: Column, role: int) -> Column:
     return F.struct(cell.alias("cell"), F.lit(role).alias("role"))
 
@@ -200,10 +204,14 @@ class _WindowScan:
                 yield pa.RecordBatch.from_arrays([rows, *[pa.array(v, kinds.get(k, pa.int64())) for k, v in zip(names[1:], out)]], names=names)
 
 
-def traffic_windows(requests: DataFrame, seconds: int = WINDOW_SECONDS, minute: int = MINUTE_SECONDS, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Window aggregates of every request: totals, rates, distinct and top sources, errors."""
-    per_minute = sliding_window(requests, minute, False, "requests_per_minute", group_rows)
-    counted = sliding_window(per_minute, seconds, True, "total_requests", group_rows)
+def traffic_windows(requests: DataFrame, seconds: int = WINDOW_SECONDS, minute: int = MINUTE_SECONDS, group_rows: int | None = GROUP_ROWS) -> DataFrame:
+    """Window aggregates of every request: totals, rates, distinct and top sources, errors.
+
+    ``group_rows`` None skips the pass that looks for flooded hosts.
+    """
+    cut = requests if group_rows is None else with_cells(requests, max(seconds, minute), group_rows)
+    per_minute = sliding_window(cut, minute, False, "requests_per_minute")
+    counted = sliding_window(per_minute, seconds, True, "total_requests").drop("_m")
     return counted.withColumn("requests_per_second", F.round(F.col("total_requests") / F.lit(float(max(seconds, 1))), 2))
 
 
@@ -256,7 +264,7 @@ def traffic_report(
     endpoint_threshold: int = ENDPOINT_THRESHOLD,
     min_ips: int = DISTRIBUTED_IPS,
     minute: int = MINUTE_SECONDS,
-    group_rows: int = GROUP_ROWS,
+    group_rows: int | None = GROUP_ROWS,
 ) -> DataFrame:
     """The full traffic report of every request."""
     windows = traffic_windows(requests, seconds, minute, group_rows)
@@ -303,16 +311,3 @@ def traffic_snapshot(
     )
     patterns = with_patterns(report, seconds, request_threshold, ip_threshold, endpoint_threshold, min_ips)
     return with_risk(patterns, request_threshold, ip_threshold)
-
-
-def ddos_alerts(reports: DataFrame) -> DataFrame:
-    """Alert fields of anomalous windows, before the cooldown."""
-    patterns = F.array_join("patterns_detected", ", ")
-    return reports.where("is_anomaly").withColumns(
-        {
-            "alert_type": F.lit("DDOS_DETECTED"),
-            "severity": F.col("risk_level"),
-            "pattern_type": F.array_join("patterns_detected", "; "),
-            "description_patterns": patterns,
-        }
-    )

@@ -40,8 +40,12 @@ def columns(*names: str) -> Callable[[DataFrame], DataFrame]:
 
 
 # --- shared inputs ---
+def lines(spark: SparkSession, sf: str, name: str = "fx_syslog") -> DataFrame:
+    return logs.spread(adapter(spark, sf, name))
+
+
 def requests(spark: SparkSession, sf: str) -> DataFrame:
-    return triage.parse_access_log(adapter(spark, sf, "fx_access")).select("seq", "ts", "hostname", "ip", "endpoint", "method", "status")
+    return triage.parse_access_log(lines(spark, sf, "fx_access")).select("seq", "ts", "hostname", "ip", "endpoint", "method", "status")
 
 
 def reports(spark: SparkSession, sf: str) -> DataFrame:
@@ -75,7 +79,7 @@ def lifecycle(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def line_model(spark: SparkSession, sf: str) -> DataFrame:
-    return pipelines.materialize(classify.nb_train(adapter(spark, sf, "fx_train"), LINE_LABELS), "line-model")
+    return pipelines.materialize(classify.nb_train(lines(spark, sf, "fx_train"), LINE_LABELS), "line-model")
 
 
 def line_scorer(spark: SparkSession, sf: str) -> pipelines.Scorer:
@@ -197,7 +201,7 @@ def _(spark, sf):
 
 
 # --- projections, filters, predicates ---
-on("prefilter_classify", "fx_triage", lambda x: triage.prefilter_classify(x).select("seq", "decision", "reason", "matched_pattern"))
+on("prefilter_classify", "fx_triage", lambda x: triage.prefilter_classify(logs.spread(x)).select("seq", "decision", "reason", "matched_pattern"))
 on("prefilter_disabled", "fx_triage", lambda x: triage.prefilter_classify(x, enabled=False).select("seq", "decision", "reason", "matched_pattern"))
 on("noise_filter", "fx_triage", lambda x: x.where(~triage.is_noisy(F.col("raw_line"))).select("seq", "raw_line"))
 on("extract_clean_text", "fx_triage", lambda x: triage.with_clean_text(x).select("seq", "clean_text"))
@@ -233,13 +237,13 @@ def routed_columns(routed: DataFrame) -> DataFrame:
     return routed.select(*ROUTED, F.coalesce("dispatch", F.lit(False)).alias("dispatch"))
 
 
-QUERIES["triage_pipeline"] = lambda spark, sf: routed_columns(pipelines.triage_pipeline(adapter(spark, sf, "fx_syslog"), line_scorer(spark, sf)))
-QUERIES["triage_pipeline_one_pass"] = lambda spark, sf: routed_columns(pipelines.stateless_triage(adapter(spark, sf, "fx_syslog"), row_scorer(spark, sf)))
+QUERIES["triage_pipeline"] = lambda spark, sf: routed_columns(pipelines.triage_pipeline(lines(spark, sf), line_scorer(spark, sf)))
+QUERIES["triage_pipeline_one_pass"] = lambda spark, sf: routed_columns(pipelines.stateless_triage(lines(spark, sf), row_scorer(spark, sf)))
 
 
 @query("analyze_on_demand")
 def _(spark, sf):
-    out = pipelines.analyze_on_demand(adapter(spark, sf, "fx_syslog"), line_scorer(spark, sf))
+    out = pipelines.analyze_on_demand(lines(spark, sf), line_scorer(spark, sf))
     return out.select("seq", "pre_decision", "clean_text", "prediction", "confidence", "risk_percentage", "decision", "severity", "risk_level", "stored_risk", "status", "dispatch")
 
 
@@ -320,7 +324,7 @@ on("confusion_matrix", "fx_eval", evaluate.confusion_matrix)
 on("worst_classes", "fx_eval", evaluate.worst_classes)
 QUERIES["hourly_report"] = lambda spark, sf: incidents.hourly_report(incident_rows(spark, sf))
 QUERIES["pipeline_counters"] = lambda spark, sf: incidents.pipeline_counters(
-    pipelines.stateless_triage(adapter(spark, sf, "fx_syslog"), row_scorer(spark, sf))
+    pipelines.stateless_triage(lines(spark, sf), row_scorer(spark, sf))
 )
 on("health_snapshot", "fx_metrics", metrics.health_snapshot)
 

@@ -42,3 +42,12 @@ def stream_log_lines(spark: SparkSession, directory: str, files_per_trigger: int
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return _lines(reader.load(directory))
+
+
+def spread(frame: DataFrame) -> DataFrame:
+    """Use all cores on input that arrives in fewer partitions than there are cores, such as one small file.
+
+    Larger input is left as it is, so no shuffle is added at scale.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
