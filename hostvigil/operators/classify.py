@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hostvigil.functions.text import is_blank, tokens
+from hostvigil.operators.ordered import evaluate_once
 
 MAX_CLASSES = 1000
 TEXT_LIMIT = 512
@@ -70,29 +70,33 @@ def nb_score(rows: DataFrame, model: DataFrame, labels: list[str], key: str = "s
     prior = model.where("token = ''").select("logp").scalar()
     n = range(len(labels))
     sums = words.join(known, "token", "left").groupBy(key).agg(*[F.sum(F.coalesce(F.get("logp", F.lit(i)), F.lit(0.0))).alias(f"s{i}") for i in n])
-    total = sums.withColumn("_p", prior).select(key, *[(F.col(f"s{i}") + F.get("_p", F.lit(i))).alias(f"s{i}") for i in n])
+    total = sums.withColumn("_p", prior).select(key, F.zip_with(F.array(*[f"s{i}" for i in n]), "_p", lambda a, b: a + b).alias("_s"))
     return rows.join(with_ranking(total, labels), key).select(*[rows[c] for c in rows.columns], "prediction", "confidence", "scores")
 
 
 def with_ranking(total: DataFrame, labels: list[str]) -> DataFrame:
-    """Softmax over the log scores s0, s1, ...; scores is ranked by score, then label."""
-    n = range(len(labels))
-    best = total.withColumn("_m", F.array_max(F.array(*[f"s{i}" for i in n])))
-    weights = best.select("*", *[F.exp(F.col(f"s{i}") - F.col("_m")).alias(f"e{i}") for i in n])
-    summed = weights.withColumn("_z", reduce(lambda a, b: a + b, [F.col(f"e{i}") for i in n]))
-    entries = [
-        F.struct((-F.round(f"s{i}", 6)).alias("rank"), F.lit(name).alias("label"), F.round(F.col(f"e{i}") / F.col("_z"), 4).alias("score"))
-        for i, name in enumerate(labels)
-    ]
-    ranked = summed.withColumn("scores", F.sort_array(F.array(*entries)))
-    out = ranked.drop("_m", "_z", *[f"{x}{i}" for x in "se" for i in n])
-    return out.withColumn("prediction", F.get("scores", F.lit(0))["label"]).withColumn("confidence", F.get("scores", F.lit(0))["score"])
+    """Softmax over the log scores in _s; scores is ranked by score (millionths), then label.
+
+    Arrays keep the generated code small however many labels there are; what each element needs is computed before.
+    """
+    steps = evaluate_once(total.withColumn("_m", F.array_max("_s")), "_s", "_m")
+    steps = evaluate_once(steps.withColumn("_e", F.transform("_s", lambda s: F.exp(s - F.col("_m")))), "_e")
+    steps = evaluate_once(steps.withColumn("_z", F.aggregate("_e", F.lit(0.0), lambda a, e: a + e)), "_z")
+    names = F.lit(labels)
+
+    def entry(s: Column, i: Column) -> Column:
+        share = F.get(F.col("_e"), i) / F.col("_z")
+        return F.struct((-F.rint(s * 1e6)).alias("rank"), F.get(names, i).alias("label"), share.alias("score"))
+
+    ranked = steps.withColumn("scores", F.sort_array(F.transform("_s", entry))).drop("_s", "_m", "_e", "_z")
+    best = F.get("scores", F.lit(0))
+    return ranked.withColumns({"prediction": best["label"], "confidence": F.round(best["score"], 4)})
 
 
 def topk_predictions(scored: DataFrame, key: str = "seq", k: int = 3) -> DataFrame:
     """The k best labels of each text, one row each."""
     best = F.posexplode(F.slice("scores", 1, k)).alias("position", "entry")
-    return scored.select(key, best).select(key, (F.col("position") + 1).alias("rank"), F.col("entry.label").alias("label"), F.col("entry.score").alias("score"))
+    return scored.select(key, best).select(key, (F.col("position") + 1).alias("rank"), F.col("entry.label").alias("label"), F.round("entry.score", 4).alias("score"))
 
 
 def with_guards(rows: DataFrame, score: Callable[[DataFrame], DataFrame], text: str = "clean_text") -> DataFrame:
