@@ -45,7 +45,7 @@ def write_csv(rows: DataFrame, path: str) -> None:
     """CSV with a header; quotes are doubled, as other CSV readers expect."""
     (
         rows.write.mode("errorifexists").option("header", True).option("quote", '"').option("escape", '"')
-        .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").csv(path)
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").csv(path)
     )
 
 
