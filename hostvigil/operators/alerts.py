@@ -9,6 +9,7 @@ from hostvigil.functions import decisions as d
 from hostvigil.operators import metrics as m
 from hostvigil.operators.lookups import recommendation_lookup
 from hostvigil.operators.ordered import CHUNK_SECONDS, cooldown, with_next
+from hostvigil.session import materialize
 
 COOLDOWN_SECONDS = 900
 
@@ -113,9 +114,9 @@ def resolve_alerts(alerts: DataFrame, recoveries: DataFrame, chunk_seconds: floa
 
 def alert_lifecycle(samples: DataFrame, seconds: float = COOLDOWN_SECONDS, chunk_seconds: float = CHUNK_SECONDS) -> DataFrame:
     """Resource alerts with their resolution, and recovery rows (stored resolved, without a time)."""
-    changes = m.transitions(samples, chunk_seconds)
+    changes = materialize(m.transitions(samples, chunk_seconds), "transitions")
     back = changes.where("event_type = 'RECOVERY'")
-    raised = cooldown(m.alert_candidates(changes), ["hostname", "alert_type", "metric"], seconds)
+    raised = materialize(cooldown(m.alert_candidates(changes), ["hostname", "alert_type", "metric"], seconds), "raised")
     resolved = resolve_alerts(raised, back, chunk_seconds)
     recovered = back.select(
         "seq",

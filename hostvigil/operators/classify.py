@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from hostvigil.functions.text import is_blank, tokens
 from hostvigil.operators.ordered import evaluate_once
+from hostvigil.session import materialize
 
 MAX_CLASSES = 1000
 TEXT_LIMIT = 512
@@ -51,7 +52,7 @@ def nb_train(rows: DataFrame, labels: list[str]) -> DataFrame:
     The row with the empty token holds the log priors; no text has that token.
     """
     n = range(len(labels))
-    counts = token_counts(rows, labels)
+    counts = materialize(token_counts(rows, labels), "token-counts")
     totals = counts.agg(F.array(*[(F.sum(F.get("counts", F.lit(i))) + F.count(F.lit(1))).cast("double") for i in n]).alias("t")).scalar()
     logp = F.transform("counts", lambda c, i: F.log((c + 1.0) / F.get(F.col("_totals"), i)))
     share = [F.count_if(F.col("label") == name) / F.count(F.lit(1)) for name in labels]
@@ -152,12 +153,13 @@ def score_with_udf(rows: DataFrame, load: Callable[[], Model], text: str = "clea
     return scored.select(*rows.columns, F.col("_p.label").alias("prediction"), F.col("_p.confidence").alias("confidence"))
 
 
-def nb_udf_scorer(model: DataFrame, labels: list[str], text: str = "clean_text", max_tokens: int = 500_000) -> Callable[[DataFrame], DataFrame]:
+def nb_udf_scorer(model: DataFrame, labels: list[str], text: str = "clean_text", max_values: int = 8_000_000) -> Callable[[DataFrame], DataFrame]:
     """The naive Bayes model as a row-wise scorer that needs no shuffle and also runs on streams.
 
-    The model's size is checked: beyond ``max_tokens`` it is refused, and ``nb_score`` is the way. Rows without text get
-    NULLs. Texts are tokenised in the JVM, so both scorers see the same tokens.
+    The model's size is checked: beyond ``max_values`` numbers it is refused, and ``nb_score`` is the way. Rows without
+    text get NULLs. Texts are tokenised in the JVM, so both scorers see the same tokens.
     """
+    max_tokens = max_values // len(labels)
     rows = model.limit(max_tokens + 1).collect()
     if len(rows) > max_tokens:
         raise ValueError(f"the model has more than {max_tokens} tokens; score with nb_score")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hostvigil.functions import dims
 from hostvigil.functions.decisions import metric_state
 from hostvigil.operators.ordered import CHUNK_SECONDS, cooldown, with_previous
+from hostvigil.session import materialize
 
 KEYS = ["hostname", "metric"]
 
@@ -72,7 +73,8 @@ def alert_candidates(changes: DataFrame) -> DataFrame:
 
 def resource_alerts(samples: DataFrame, seconds: float, chunk_seconds: float = CHUNK_SECONDS) -> DataFrame:
     """Resource alerts that pass the cooldown of their type and metric."""
-    return cooldown(alert_candidates(transitions(samples, chunk_seconds)), ["hostname", "alert_type", "metric"], seconds)
+    changes = materialize(transitions(samples, chunk_seconds), "transitions")
+    return cooldown(alert_candidates(changes), ["hostname", "alert_type", "metric"], seconds)
 
 
 def health_snapshot(samples: DataFrame, tick: str = "1 hour") -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-CHUNK_SECONDS = 86_400
+CHUNK_SECONDS = 3_600
 RANK_BUCKETS = 4096
 
 

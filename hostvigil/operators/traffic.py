@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hostvigil.operators.ordered import _segments, micros, null_safe_join, ordered_scan
+from hostvigil.operators.ordered import _segments, evaluate_once, micros, null_safe_join, ordered_scan
+from hostvigil.session import materialize
 
 # Defaults of the detector; the per-minute horizon and the distributed-flood minimum are fixed values.
 WINDOW_SECONDS = 10
@@ -43,7 +44,9 @@ def with_cells(requests: DataFrame, seconds: int, group_rows: int = GROUP_ROWS)
     return null_safe_join(requests, busiest.select("hostname", cells.alias("_m")), ["hostname"], "left")
 
 
-def sliding_window(requests: DataFrame, seconds: int, full: bool, total: str = "total_requests") -> DataFrame:
+def sliding_window(
+    requests: DataFrame, seconds: int, full: bool, total: str = "total_requests", source: DataFrame | None = None
+) -> DataFrame:
     """Aggregates over the requests of the same host in [t - seconds, t], one row per request.
 
     Requests at the same instant count only if they arrived earlier. ``full`` adds distinct IPs, the most frequent IP
@@ -51,12 +54,11 @@ def sliding_window(requests: DataFrame, seconds: int, full: bool, total: str = "
 
     No pairs are formed. A host's time line is cut into cells, and each cell is one ordered scan over its own requests
     and over those that leave the window meanwhile. Where ``with_cells`` gave a host several cells per window, the
-    cells in the middle of the window enter as counts by IP and by endpoint.
+    cells in the middle of the window enter as counts by IP and by endpoint. ``source`` holds the same requests in a
+    form that is cheaper to read for these counts.
     """
     span = int(seconds * 1_000_000)
-    split = F.col("_m") if "_m" in requests.columns else F.lit(1).cast("long")
-    timed = requests.withColumn("_m", split).withColumn("_us", micros("ts"))
-    timed = timed.withColumn("_cell", F.expr(f"(_us * _m - pmod(_us * _m, {span}L)) div {span}L"))
+    timed = _with_cell(requests, span)
 
     row = F.struct(*[F.col(c) for c in requests.columns])
     error = F.coalesce((F.col("status") >= 400).cast("long"), F.lit(0).cast("long")) if full else F.lit(0).cast("long")
@@ -67,8 +69,10 @@ def sliding_window(requests: DataFrame, seconds: int, full: bool, total: str = "
     laid = own.select(
         "hostname", "_p.cell", "_p.role", "_us", "seq", "_n", "_ip", "_endpoint", "_error", F.when(F.col("_p.role") == 2, F.col("_row")).alias("_row")
     )
-    middle = timed.where(F.col("_m") > 1)
-    for name, other in (("_ip", "_endpoint"), ("_endpoint", "_ip")) if full else ((None, None),):
+    middle = _with_cell(requests if source is None else source, span).where(F.col("_m") > 1)
+    # Without a column of cells no host is split, and there is no middle.
+    names = () if "_m" not in requests.columns else ("_ip", "_endpoint") if full else (None,)
+    for name in names:
         group = middle.select(*shared, "_cell", "_m").groupBy("hostname", "_cell", "_m", *([name] if name else []))
         counted = group.agg(
             F.count(F.lit(1)).alias("_n"), F.min(F.struct("_us", "seq")).alias("_f"), F.sum("_error").alias("_error")
@@ -94,6 +98,12 @@ def sliding_window(requests: DataFrame, seconds: int, full: bool, total: str = "
     return scanned.select("_row.*", *[f.name for f in fields[1:]])
 
 
+def _with_cell(requests: DataFrame, span: int) -> DataFrame:
+    split = F.col("_m") if "_m" in requests.columns else F.lit(1).cast("long")
+    timed = requests.withColumn("_m", split).withColumn("_us", micros("ts"))
+    return timed.withColumn("_cell", F.expr(f"(_us * _m - pmod(_us * _m, {span}L)) div {span}L"))
+
+
 def _place(cell: Column, role: int) -> Column:
     return F.struct(cell.alias("cell"), F.lit(role).alias("role"))
 
@@ -207,11 +217,12 @@ class _WindowScan:
 def traffic_windows(requests: DataFrame, seconds: int = WINDOW_SECONDS, minute: int = MINUTE_SECONDS, group_rows: int | None = GROUP_ROWS) -> DataFrame:
     """Window aggregates of every request: totals, rates, distinct and top sources, errors.
 
-    ``group_rows`` None skips the pass that looks for flooded hosts.
+    Both windows read the requests several times, so they are parsed once and written. ``group_rows`` None skips this
+    and the pass that looks for flooded hosts.
     """
-    cut = requests if group_rows is None else with_cells(requests, max(seconds, minute), group_rows)
+    cut = requests if group_rows is None else materialize(with_cells(requests, max(seconds, minute), group_rows), "requests")
     per_minute = sliding_window(cut, minute, False, "requests_per_minute")
-    counted = sliding_window(per_minute, seconds, True, "total_requests").drop("_m")
+    counted = sliding_window(per_minute, seconds, True, "total_requests", cut).drop("_m")
     return counted.withColumn("requests_per_second", F.round(F.col("total_requests") / F.lit(float(max(seconds, 1))), 2))
 
 
@@ -283,10 +294,11 @@ def traffic_snapshot(
     minute: int = MINUTE_SECONDS,
 ) -> DataFrame:
     """The report of each host as of one time, without a new request. Hosts silent for the whole horizon have no row."""
-    now = micros(as_of)
-    age = now - micros("ts")
-    in_window, in_minute = age <= seconds * 1_000_000, age <= minute * 1_000_000
-    recent = requests.where((age >= 0) & (in_window | in_minute))
+    # A plain range on ts, so that files and partitions outside it are not read.
+    horizon = max(seconds, minute)
+    recent = requests.where((F.col("ts") <= as_of) & (F.col("ts") >= as_of - F.expr(f"INTERVAL {horizon} SECONDS")))
+    recent = evaluate_once(recent.withColumn("_age", micros(as_of) - micros("ts")), "_age")
+    in_window, in_minute = F.col("_age") <= seconds * 1_000_000, F.col("_age") <= minute * 1_000_000
     weigh = [F.count_if(in_window).alias("n"), F.min(F.when(in_window, F.struct("ts", "seq"))).alias("first")]
 
     def leader(name: str) -> DataFrame:

@@ -14,7 +14,7 @@ from hostvigil.functions.text import sanitize
 from hostvigil.operators import alerts, classify, dataset, evaluate, incidents, lookups, metrics, ordered, review, traffic, triage
 from hostvigil.plans import pipelines
 from hostvigil.plans.fixtures import COOLDOWN, DOCUMENT_LABELS, LINE_LABELS, TRAFFIC, WINDOW, adapter
-from hostvigil.session import new_path
+from hostvigil.session import materialize, new_path
 from hostvigil.sources import files, logs
 from hostvigil.streaming import jobs
 
@@ -66,12 +66,12 @@ def latest(frame: DataFrame, ts: str = "ts") -> Column:
 
 def flood_events(spark: SparkSession, sf: str) -> DataFrame:
     # Windows are the costly part, and the cooldown reads its input twice.
-    flagged = pipelines.materialize(reports(spark, sf).where("is_anomaly"), "floods")
+    flagged = materialize(reports(spark, sf).where("is_anomaly"), "floods")
     return alerts.ddos_events(flagged, COOLDOWN, WINDOW)
 
 
 def security_alerts(spark: SparkSession, sf: str) -> DataFrame:
-    return alerts.security_alerts(incident_rows(spark, sf), COOLDOWN)
+    return alerts.security_alerts(materialize(incident_rows(spark, sf), "incidents"), COOLDOWN)
 
 
 def lifecycle(spark: SparkSession, sf: str) -> DataFrame:
@@ -79,7 +79,7 @@ def lifecycle(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def line_model(spark: SparkSession, sf: str) -> DataFrame:
-    return pipelines.materialize(classify.nb_train(lines(spark, sf, "fx_train"), LINE_LABELS), "line-model")
+    return materialize(classify.nb_train(lines(spark, sf, "fx_train"), LINE_LABELS), "line-model")
 
 
 def line_scorer(spark: SparkSession, sf: str) -> pipelines.Scorer:
@@ -93,8 +93,8 @@ def row_scorer(spark: SparkSession, sf: str) -> pipelines.Scorer:
 
 def document_scores(spark: SparkSession, sf: str) -> DataFrame:
     docs = adapter(spark, sf, "fx_labeled")
-    train = dataset.stratified_split(docs).where("split = 'train'")
-    model = pipelines.materialize(classify.nb_train(train, DOCUMENT_LABELS), "document-model")
+    train = materialize(dataset.stratified_split(docs), "parts", "split").where("split = 'train'")
+    model = materialize(classify.nb_train(train, DOCUMENT_LABELS), "document-model")
     return classify.nb_score(docs, model, DOCUMENT_LABELS, "ord", "text")
 
 
@@ -158,11 +158,11 @@ def _(spark, sf):
         decided(spark, sf).withColumns({"raw_log": F.col("clean_text"), "predicted_label": F.col("prediction"), "email_sent": F.col("email_required").cast("int")}),
         root, "security_decisions",
     )
-    floods = pipelines.materialize(flood_events(spark, sf), "flood-events")
+    floods = materialize(flood_events(spark, sf), "flood-events")
     files.append_table(floods, root, "ddos_events")
     files.append_table(alerts.ddos_alerts(floods).withColumn("resolved_at", F.lit(None).cast("timestamp_ntz")), root, "alerts")
     files.append_table(security_alerts(spark, sf).withColumn("resolved_at", F.lit(None).cast("timestamp_ntz")), root, "alerts")
-    cycle = pipelines.materialize(lifecycle(spark, sf), "lifecycle")
+    cycle = materialize(lifecycle(spark, sf), "lifecycle")
     files.append_table(cycle, root, "alerts")
     raised = cycle.where("alert_type <> 'RECOVERY'").withColumns({"metric_name": F.col("metric"), "threshold_value": F.col("threshold"), "status": F.lit("ACTIVE"), "resolved_at": F.lit(None).cast("timestamp_ntz")})
     files.append_table(raised, root, "resource_alerts")
@@ -273,7 +273,7 @@ def _(spark, sf):
 
 @query("resolve_alerts")
 def _(spark, sf):
-    changes = metrics.transitions(adapter(spark, sf, "fx_metrics"))
+    changes = materialize(metrics.transitions(adapter(spark, sf, "fx_metrics")), "transitions")
     raised = ordered.cooldown(metrics.alert_candidates(changes), ["hostname", "alert_type", "metric"], COOLDOWN)
     return alerts.resolve_alerts(raised, changes.where("event_type = 'RECOVERY'")).select("hostname", "metric", "seq", "alert_type", "status", "resolved_at")
 
@@ -339,7 +339,7 @@ QUERIES["cooldown_dedup"] = lambda spark, sf: ordered.cooldown(strong_events(spa
 
 @query("email_dedup")
 def _(spark, sf):
-    cycle = pipelines.materialize(lifecycle(spark, sf), "lifecycle")
+    cycle = materialize(lifecycle(spark, sf), "lifecycle")
     shape = ["hostname", "seq", "ts", "alert_type"]
     key = alerts.email_source(F.col("alert_type"), F.col("source"), F.col("prediction")).alias("email_key")
     none = F.lit(None).cast("string").alias("prediction")
@@ -348,7 +348,7 @@ def _(spark, sf):
         .union(cycle.select(*shape, "source", none))
         .union(security_alerts(spark, sf).select(*shape, "source", "prediction"))
     )
-    return alerts.email_dedup(pipelines.materialize(mail.select(*shape, key), "mail"), COOLDOWN).select("hostname", "seq", "alert_type", "email_key")
+    return alerts.email_dedup(materialize(mail.select(*shape, key), "mail"), COOLDOWN).select("hostname", "seq", "alert_type", "email_key")
 
 
 TRANSITION = ["seq", "ts", "hostname", "metric", "current_value", "old_state", "new_state", "event_type", "threshold"]
@@ -413,7 +413,7 @@ on("tokenize", "fx_labeled", classify.tokenize)
 
 @query("nb_train")
 def _(spark, sf):
-    train = dataset.stratified_split(adapter(spark, sf, "fx_labeled")).where("split = 'train'")
+    train = materialize(dataset.stratified_split(adapter(spark, sf, "fx_labeled")), "parts", "split").where("split = 'train'")
     model = classify.nb_train(train, DOCUMENT_LABELS)
     long = model.select("token", F.posexplode("logp").alias("i", "logp"))
     return long.select("token", F.get(F.lit(DOCUMENT_LABELS), F.col("i")).alias("label"), F.round("logp", 6).alias("logp"))

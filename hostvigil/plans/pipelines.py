@@ -11,18 +11,11 @@ from hostvigil.functions import decisions as d
 from hostvigil.functions.text import is_blank, strip
 from hostvigil.operators import classify, dataset, evaluate, incidents, review, triage
 from hostvigil.operators.ordered import evaluate_once
-from hostvigil.session import new_path
+from hostvigil.session import materialize
 
 Scorer = Callable[[DataFrame], DataFrame]
 
 
-def materialize(frame: DataFrame, name: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back: later steps reuse it, and lost executors cost no rerun."""
-    path = new_path(frame.sparkSession, name)
-    frame.write.parquet(path)
-    return frame.sparkSession.read.parquet(path)
-
-
 def prepare_lines(lines: DataFrame, honor_suspicious: bool = False) -> DataFrame:
     """Pre-filter decision and payload of each line; benign lines get no payload.
 
@@ -89,7 +82,7 @@ def analyze_on_demand(lines: DataFrame, score: Scorer) -> DataFrame:
 
 def train_and_score(rows: DataFrame, labels: list[str], seed: int = 42, key: str = "ord") -> DataFrame:
     """Train naive Bayes on the train part and score the test part: label, predicted_label, confidence."""
-    parts = dataset.stratified_split(rows, seed)
+    parts = materialize(dataset.stratified_split(rows, seed), "parts", "split")
     model = materialize(classify.nb_train(parts.where("split = 'train'"), labels), "nb-model")
     scored = classify.nb_score(parts.where("split = 'test'"), model, labels, key, "text")
     return scored.withColumnRenamed("prediction", "predicted_label")

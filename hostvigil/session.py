@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on. Cluster sizes (executors, memory) stay with the submitter.
 DEFAULTS = {
@@ -38,3 +38,14 @@ def work_root(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, name: str) -> str:
     """A path below the working folder that no other run uses."""
     return f"{work_root(spark).rstrip('/')}/hostvigil/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(frame: DataFrame, name: str, *partitions: str) -> DataFrame:
+    """Write a frame to the shared folder and read it back.
+
+    Steps that read it several times do not compute it again, and a lost executor costs no more than its own tasks.
+    """
+    path = new_path(frame.sparkSession, name)
+    writer = frame.write.partitionBy(*partitions) if partitions else frame.write
+    writer.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)

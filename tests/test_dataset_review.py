@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hostvigil.operators import classify, dataset, evaluate, review
-from hostvigil.plans import pipelines
+from hostvigil.session import materialize
 from hostvigil.sources import files
 
 ROWS = "ord LONG, text STRING, label STRING"
@@ -95,11 +95,11 @@ def test_naive_bayes_by_hand(spark):
     rowwise = {r.seq: (r.prediction, r.confidence) for r in classify.nb_udf_scorer(model, ["car", "fruit"])(docs.where("seq < 5")).collect()}
     assert rowwise == {i: (scored[i].prediction, scored[i].confidence) for i in range(1, 5)}
     with pytest.raises(ValueError):
-        classify.nb_udf_scorer(model, ["car", "fruit"], max_tokens=2)
+        classify.nb_udf_scorer(model, ["car", "fruit"], max_values=4)
 
 
 def test_scoring_with_a_model_too_big_to_broadcast(spark):
-    model = pipelines.materialize(classify.nb_train(spark.createDataFrame(TRAIN, ROWS), ["car", "fruit"]), "m")
+    model = materialize(classify.nb_train(spark.createDataFrame(TRAIN, ROWS), ["car", "fruit"]), "m")
     docs = spark.range(500).select(F.col("id").alias("seq"), F.lit("red car apple").alias("clean_text"))
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
