@@ -96,9 +96,11 @@ def hourly_report(incidents: DataFrame) -> DataFrame:
 
 
 def pipeline_counters(routed: DataFrame) -> DataFrame:
-    """Processed, benign-filtered and incident lines by host."""
+    """Processed lines, pre-filter outcomes and incidents by host."""
     return routed.groupBy("hostname").agg(
         F.count(F.lit(1)).alias("processed"),
         F.count_if(F.col("route") == "BENIGN").alias("benign_filtered"),
+        F.count_if(F.col("pre_decision") == "SUSPICIOUS").alias("suspicious_overrides"),
+        F.count_if(F.col("pre_decision") == "PASS_TO_AI").alias("passed_to_ai"),
         F.count_if(F.col("route") == "ALERT").alias("incidents"),
     )

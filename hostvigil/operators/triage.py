@@ -176,18 +176,3 @@ def parse_access_log(lines: DataFrame) -> DataFrame:
         F.get("_f", F.lit(1)).alias("method"),
         F.get("_f", F.lit(3)).try_cast("long").alias("status"),
     )
-
-
-def prefilter_counters(lines: DataFrame) -> DataFrame:
-    """Benign, suspicious, passed and total lines by host."""
-    decision = F.col("decision")
-    return (
-        prefilter_classify(lines)
-        .groupBy("hostname")
-        .agg(
-            F.count_if(decision == "BENIGN").alias("benign_filtered"),
-            F.count_if(decision == "SUSPICIOUS").alias("suspicious_overrides"),
-            F.count_if(decision == "PASS_TO_AI").alias("passed_to_ai"),
-            F.count(F.lit(1)).alias("total_processed"),
-        )
-    )
