@@ -93,11 +93,6 @@ def with_rank(frame: DataFrame, keys: Sequence[str], order: str, bucket: Column,
     return ranked.select(*frame.columns, (F.col("_row") + F.col("_offset")).alias(out), f"{out}_of")
 
 
-def running_total(frame: DataFrame, order: str, value: str) -> Column:
-    """Running sum over a whole (small, aggregated) frame."""
-    return F.sum(value).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-
-
 def ordered_scan(frame: DataFrame, keys: Sequence[str], order: Sequence[str], run: Callable, schema: T.StructType) -> DataFrame:
     """Stream rows, sorted by keys and order, through a Python scan over Arrow batches.
 

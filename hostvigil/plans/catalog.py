@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hostvigil.functions import decisions as d
-from hostvigil.functions import dims
 from hostvigil.functions import patterns as p
 from hostvigil.functions.text import sanitize
 from hostvigil.operators import alerts, classify, dataset, evaluate, incidents, lookups, metrics, ordered, review, traffic, triage

@@ -189,8 +189,3 @@ def with_clause(names: list[str]) -> str:
 def adapter(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     tables = ", ".join(f"{t} AS (SELECT * FROM parquet.`{sf_dir}/{t}.parquet`)" for t in TABLES)
     return spark.sql(f"WITH {tables}, {with_clause([name])} SELECT * FROM {name}")
-
-
-def adapter_sql(text: str, *needs: str) -> str:
-    """A query over adapters as one statement."""
-    return f"WITH {with_clause(list(needs))} {text}"
