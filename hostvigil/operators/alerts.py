@@ -201,4 +201,5 @@ def flood_outbox(events: DataFrame) -> DataFrame:
         F.lit("total_requests_in_window"), F.col("requests_count").cast("string"), F.lit("window_seconds"), F.col("window_seconds").cast("string"),
         F.lit("top_ip"), F.col("top_ip"), F.lit("top_endpoint"), F.col("top_endpoint"), F.lit("risk_level"), F.col("risk_level"),
     )
-    return event_outbox(ddos_alerts(events).drop("metrics").join(events.select("hostname", "seq", pairs.alias("metrics")), ["hostname", "seq"]).withColumn("recommendation", F.lit(DDOS_ADVICE)))
+    fields = {"alert_type": F.lit("DDOS_DETECTED"), "severity": F.col("risk_level"), "source": F.lit("DDoSDetector"), "metrics": pairs, "recommendation": F.lit(DDOS_ADVICE)}
+    return event_outbox(events.withColumns(fields))

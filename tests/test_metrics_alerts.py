@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hostvigil.functions import decisions as d
-from hostvigil.operators import alerts, metrics
+from hostvigil.operators import alerts, metrics, traffic
 
 START = datetime(2026, 1, 1)
 
@@ -87,3 +87,18 @@ def test_notices(spark):
     assert out[1].subject == "✅ [NORMAL] RECOVERY Notification - vps" and out[1].description == "CPU usage returned to NORMAL state: 10.0%."
     mail = alerts.attack_outbox(alerts.security_alerts(spark.createDataFrame([incident(0)], INCIDENT), 3)).first()
     assert mail.subject == "🚨 [HIGH] Threat Alert: XSS on vps" and "AI Confidence   : 90.00%" in mail.body and "Cross-site scripting" in mail.body
+
+
+def test_flood_events_and_notices(spark):
+    rows = [(i, START + timedelta(seconds=s), "vps", f"ip{i % 40}", "/x", "GET", 200) for i, s in enumerate([0] * 120 + [2000])]
+    frame = spark.createDataFrame(rows, "seq LONG, ts TIMESTAMP_NTZ, hostname STRING, ip STRING, endpoint STRING, method STRING, status LONG")
+    events = alerts.ddos_events(traffic.traffic_report(frame), 900, 10)
+    first = events.orderBy("seq").first()
+    assert (first.seq, first.pattern_type, first.top_ip) == (99, "Distributed DDoS (40 unique IPs sent 100 req/10s)", "ip0")
+    assert first.description == "Possible DDoS Attack detected: Distributed DDoS (40 unique IPs sent 100 req/10s). Total requests: 100 in 10s."
+    # No later request lifts another IP above the first one's three requests, so all windows share one key.
+    assert events.count() == 1
+    alert = alerts.ddos_alerts(events).orderBy("seq").first()
+    assert (alert.source, alert.severity, alert.status) == ("DDoSDetector", "HIGH", "ACTIVE")
+    mail = alerts.flood_outbox(events).orderBy("seq").first()
+    assert mail.subject == "🚨 [HIGH] DDOS_DETECTED Notification - vps" and "top_ip: ip0" in mail.body
