@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,6 +17,8 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+_LOCAL_ROOTS: dict[str, str] = {}
+
 
 def build_session(app: str = "hostvigil", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
@@ -27,17 +30,31 @@ def build_session(app: str = "hostvigil", master: str | None = None, **conf: str
 
 
 def work_root(spark: SparkSession) -> str:
-    """Shared folder for written tables and streaming checkpoints.
+    """Shared folder for written tables and streaming checkpoints, one per application.
 
-    A cluster names it in ``spark.checkpoint.dir``; a temporary folder is used only where that is unset.
+    A cluster names it in ``spark.checkpoint.dir``. Only a local master, where driver and executors are one process,
+    gets a temporary folder of its own if that is unset.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return root or tempfile.mkdtemp(prefix="hostvigil-")
+    if not root:
+        root = _LOCAL_ROOTS.get(spark.sparkContext.applicationId)
+    if not root:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
+        root = _LOCAL_ROOTS.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="hostvigil-"))
+    return f"{root.rstrip('/')}/hostvigil-{spark.sparkContext.applicationId}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path below the working folder that no other run uses."""
-    return f"{work_root(spark).rstrip('/')}/hostvigil/{name}-{uuid.uuid4().hex}"
+    return f"{work_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_intermediates(spark: SparkSession) -> None:
+    """Delete what this application wrote to its working folder. For the end of a job, when its results are stored."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(work_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(frame: DataFrame, name: str, *partitions: str) -> DataFrame:
