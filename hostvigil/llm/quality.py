@@ -21,7 +21,7 @@ WIDTH = 16  # bytes a filter sees
 STEP = CHUNK - WIDTH  # chunks overlap by a filter's width, so every window lies in a chunk
 EMBED, FILTERS, HIDDEN = 8, 16, 16
 TRAIN_ROWS, TRAIN_BYTES = 3000, 6_000_000
-EPOCHS, RATE, BATCH = 12, 0.01, 64
+EPOCHS, LEAST_STEPS, RATE, BATCH = 12, 400, 0.01, 32
 THRESHOLD = 0.3
 OUTPUT = ("score", "predicted")
 _SLICE = 1024  # chunks held at a time
@@ -91,7 +91,10 @@ class ByteNet:
 
 
 def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float = RATE, batch: int = BATCH, seed: int = 7) -> ByteNet:
-    """Adam on the logistic loss, over whole documents. Without examples of both labels the share of ones is all there is."""
+    """Adam on the logistic loss, over whole documents; a small sample is passed more often, for LEAST_STEPS steps at least.
+
+    Without examples of both labels the share of ones is all there is.
+    """
     net, rng = ByteNet.start(seed), np.random.default_rng(seed)
     truth = np.array(labels, dtype=np.float32)
     if not len(truth) or truth.min() == truth.max():
@@ -101,7 +104,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float =
     net.out_bias[:] = np.log(truth.mean() / (1 - truth.mean()))
     docs = [chunks_of(t) for t in texts]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parameters()]
-    step = 0
+    step, epochs = 0, max(epochs, -(-LEAST_STEPS // -(-len(docs) // batch)))
     for epoch in range(epochs):
         order = rng.permutation(len(docs))
         for at in range(0, len(order), batch):
