@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hostvigil.functions import dims
-from hostvigil.functions.text import fold_case
 
 ALERT_CONFIDENCE = 0.70
 UNKNOWN_CONFIDENCE = 0.60
@@ -101,8 +100,8 @@ def with_decision(
 def with_risk_level(frame: DataFrame, label: str, confidence: str, base: str, text: str, threshold: float = ALERT_CONFIDENCE) -> DataFrame:
     """Add risk_level: base severity, escalated by sensitive paths and gated by the confidence as given."""
     c, severity = F.col(confidence), F.col(base)
-    # Only a confident HIGH finding can escalate, so only its text is folded and searched.
-    folded = frame.withColumn("_folded", F.when((severity == "HIGH") & (c >= 0.90), fold_case(F.coalesce(F.col(text), F.lit("")))))
+    # Only a confident HIGH finding can escalate, so only its text is lowered and searched.
+    folded = frame.withColumn("_folded", F.when((severity == "HIGH") & (c >= 0.90), F.lower(F.coalesce(F.col(text), F.lit("")))))
     names_path = F.lit(False)
     for path in ESCALATION_PATHS:
         names_path = names_path | F.col("_folded").contains(path)

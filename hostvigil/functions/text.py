@@ -62,6 +62,7 @@ def sanitize(col: Column, max_length: int = 1000) -> Column:
     return F.when(F.length(cleaned) > max_length, F.concat(F.left(cleaned, F.lit(max_length)), F.lit(" [TRUNCATED]"))).otherwise(cleaned)
 
 
-def tokens(col: Column, limit: int = 256) -> Column:
-    """Lower-case word tokens, at most ``limit``."""
-    return F.slice(F.filter(F.split(F.lower(col), "[^\\p{L}\\p{N}]+"), lambda t: t != ""), 1, limit)
+def tokens(col: Column, limit: int | None = None) -> Column:
+    """Lower-case word tokens of the whole text, or the first ``limit`` of them."""
+    words = F.filter(F.split(F.lower(col), "[^\\p{L}\\p{N}]+"), lambda t: t != "")
+    return words if limit is None else F.slice(words, 1, limit)

@@ -38,9 +38,13 @@ def email_dedup(alerts: DataFrame, seconds: float = COOLDOWN_SECONDS) -> DataFra
     return cooldown(alerts.where(~recovery), ["hostname", "alert_type", "email_key"], seconds).unionByName(alerts.where(recovery))
 
 
-def security_alerts(incidents: DataFrame, seconds: float = COOLDOWN_SECONDS) -> DataFrame:
-    """Alert rows of dispatchable incidents, one per label and source within the cooldown."""
-    passing = incidents.where(d.dispatchable(F.col("risk"), F.col("confidence")))
+def security_alerts(incidents: DataFrame, seconds: float = COOLDOWN_SECONDS, also: tuple[str, ...] = ()) -> DataFrame:
+    """Alert rows of dispatchable incidents, one per label and source within the cooldown.
+
+    ``also`` names columns to carry. A true column ``_old`` among them marks rows that have passed the rules before.
+    """
+    rule = d.dispatchable(F.col("risk"), F.col("confidence"))
+    passing = incidents.where(F.coalesce(rule, F.lit(False)) | F.col("_old") if "_old" in also else rule)
     sent = cooldown(passing, ["hostname", "prediction", "source_log"], seconds)
     detail = F.struct("prediction", F.round(F.col("confidence") * 100.0, 2).alias("confidence_percent"), "risk", "raw_log")
     return sent.select(
@@ -59,6 +63,7 @@ def security_alerts(incidents: DataFrame, seconds: float = COOLDOWN_SECONDS) ->
         "prediction",
         "confidence",
         "raw_log",
+        *also,
     )
 
 
@@ -131,7 +136,13 @@ def alert_lifecycle(samples: DataFrame, seconds: float = COOLDOWN_SECONDS, chunk
         F.lit("RESOLVED").alias("status"),
         F.lit(None).cast(resolved.schema["resolved_at"].dataType).alias("resolved_at"),
     )
-    return resolved.unionByName(recovered)
+    return with_resource_text(resolved.unionByName(recovered))
+
+
+def with_resource_text(rows: DataFrame) -> DataFrame:
+    """Add description and metrics (JSON) of resource alerts and recoveries."""
+    text = resource_description(F.col("alert_type"), F.col("metric"), F.col("severity"), F.col("current_value"), F.col("threshold"))
+    return rows.withColumns({"description": text, "metrics": F.to_json(F.create_map(F.concat(F.lower("metric"), F.lit("_percent")), F.col("current_value")))})
 
 
 def resource_description(alert_type: Column, metric: Column, severity: Column, current: Column, threshold: Column) -> Column:
@@ -145,61 +156,52 @@ def metrics_lines(metrics: Column) -> Column:
     return F.array_join(F.transform(F.map_entries(metrics), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\n")
 
 
+def notice(facts: dict[str, Column], blocks: dict[str, Column]) -> Column:
+    """A plain-text body: one ``label = value`` line per fact that is set, then each block under its label, indented."""
+    lines = [F.concat(F.lit(f"{label} = "), value.cast("string")) for label, value in facts.items()]
+    parts = [F.concat(F.lit(f"{label}\n  "), F.replace(value, F.lit("\n"), F.lit("\n  "))) for label, value in blocks.items()]
+    return F.concat_ws("\n\n", F.concat_ws("\n", *lines), *parts)
+
+
 def event_outbox(alerts: DataFrame) -> DataFrame:
     """Subject and body of resource, flood and recovery notices; needs description, source, metrics map, recommendation."""
     icon = F.when(F.col("alert_type") == "RECOVERY", "✅").otherwise("🚨")
-    rule = "=" * 70
-    body = F.concat_ws(
-        "\n",
-        F.lit(rule), F.concat(F.lit("SECURITY NOTIFICATION: "), "alert_type"), F.lit(rule), F.lit(""),
-        F.concat(F.lit("Hostname    : "), "hostname"),
-        F.concat(F.lit("Alert Type  : "), "alert_type"),
-        F.concat(F.lit("Severity    : "), "severity"),
-        F.concat(F.lit("Timestamp   : "), F.date_format("ts", "yyyy-MM-dd HH:mm:ss")),
-        F.concat(F.lit("Source      : "), "source"),
-        F.lit("\nDescription:"), F.col("description"),
-        F.lit("\nCurrent Metrics:"), metrics_lines(F.col("metrics")),
-        F.lit("\nRecommended Action:"), F.col("recommendation"),
-    )
+    facts = {"kind": F.col("alert_type"), "severity": F.col("severity"), "host": F.col("hostname"), "raised by": F.col("source"), "time": F.date_format("ts", "yyyy-MM-dd HH:mm:ss")}
+    blocks = {"what happened": F.col("description"), "figures": metrics_lines(F.col("metrics")), "what to do": F.col("recommendation")}
     subject = F.concat(icon, F.lit(" ["), "severity", F.lit("] "), "alert_type", F.lit(" Notification - "), "hostname")
-    return alerts.select("seq", "ts", "hostname", "alert_type", subject.alias("subject"), "description", body.alias("body"))
+    return alerts.select("seq", "ts", "hostname", "alert_type", subject.alias("subject"), "description", notice(facts, blocks).alias("body"))
 
 
 def attack_outbox(alerts: DataFrame) -> DataFrame:
     """Subject and body of security alerts."""
-    rule = "=" * 70
-    advised = recommendation_lookup(alerts)
-    body = F.concat_ws(
-        "\n",
-        F.lit(rule), F.lit("SECURITY INCIDENT REPORT"), F.lit(rule), F.lit("\n[INCIDENT SUMMARY]"),
-        F.concat(F.lit("Server Hostname : "), "hostname"),
-        F.concat(F.lit("Timestamp       : "), F.date_format("ts", "yyyy-MM-dd HH:mm:ss")),
-        F.concat(F.lit("Attack Category : "), "prediction"),
-        F.concat(F.lit("AI Confidence   : "), percent2(F.col("confidence")), F.lit("%")),
-        F.concat(F.lit("Risk Level      : "), "severity"),
-        F.concat(F.lit("Log Source      : "), "source"),
-        F.lit("\n[INTERCEPTED RAW LOG]"), F.col("raw_log"),
-        F.lit("\n[RECOMMENDED ACTION]"), F.col("recommendation"),
-    )
+    facts = {
+        "label": F.col("prediction"), "risk": F.col("severity"), "confidence": F.concat(percent2(F.col("confidence")), F.lit("%")),
+        "host": F.col("hostname"), "read from": F.col("source"), "time": F.date_format("ts", "yyyy-MM-dd HH:mm:ss"),
+    }
+    blocks = {"what happened": F.col("description"), "line": F.col("raw_log"), "what to do": F.col("recommendation")}
     subject = F.concat(F.lit("🚨 ["), "severity", F.lit("] Threat Alert: "), "prediction", F.lit(" on "), "hostname")
-    return advised.select("seq", "ts", "hostname", "alert_type", subject.alias("subject"), "description", body.alias("body"))
+    advised = recommendation_lookup(alerts)
+    return advised.select("seq", "ts", "hostname", "alert_type", subject.alias("subject"), "description", notice(facts, blocks).alias("body"))
 
 
 def resource_outbox(lifecycle: DataFrame) -> DataFrame:
     """Notices of the alert life cycle."""
-    text = resource_description(F.col("alert_type"), F.col("metric"), F.col("severity"), F.col("current_value"), F.col("threshold"))
     advice = F.when(F.col("alert_type") == "RECOVERY", F.format_string(RECOVERY_ADVICE, "metric")).otherwise(RESOURCE_ADVICE)
     value = F.create_map(F.concat(F.lower("metric"), F.lit("_percent")), F.format_string("%.1f", "current_value"))
     return event_outbox(
-        lifecycle.withColumns({"description": text, "recommendation": advice, "metrics": value, "source": F.concat(F.lit("ResourceMonitor ("), "metric", F.lit(")"))})
+        lifecycle.withColumns({"recommendation": advice, "metrics": value, "source": F.concat(F.lit("ResourceMonitor ("), "metric", F.lit(")"))})
     )
 
 
+# The figures of a flood report in the order of its JSON form.
+FLOOD_FIGURES = [
+    "hostname", "window_seconds", "total_requests_in_window", "requests_per_second", "requests_per_minute", "unique_ips_count", "top_ip", "top_ip_requests",
+    "top_endpoint", "top_endpoint_requests", "patterns_detected", "risk_level", "is_anomaly",
+]
+
+
 def flood_outbox(events: DataFrame) -> DataFrame:
-    """Notices of flood events."""
-    pairs = F.create_map(
-        F.lit("total_requests_in_window"), F.col("requests_count").cast("string"), F.lit("window_seconds"), F.col("window_seconds").cast("string"),
-        F.lit("top_ip"), F.col("top_ip"), F.lit("top_endpoint"), F.col("top_endpoint"), F.lit("risk_level"), F.col("risk_level"),
-    )
+    """Notices of flood events, with every figure of the report."""
+    pairs = F.create_map(*[x for name in FLOOD_FIGURES for x in (F.lit(name), F.coalesce(F.get_json_object("metrics_json", f"$.{name}"), F.lit("")))])
     fields = {"alert_type": F.lit("DDOS_DETECTED"), "severity": F.col("risk_level"), "source": F.lit("DDoSDetector"), "metrics": pairs, "recommendation": F.lit(DDOS_ADVICE)}
     return event_outbox(events.withColumns(fields))

@@ -16,19 +16,23 @@ from hostvigil.functions.text import is_blank, tokens
 from hostvigil.operators.ordered import evaluate_once
 from hostvigil.session import materialize
 
-MAX_CLASSES = 1000
-TEXT_LIMIT = 512
+LIVE_CHARS = 512
+HASH_DIGITS = 4
 BLANK_SCORE = 0.9999
 ERROR_SCORE = 0.50
 BATCH_TEXTS = 128
 
 
-def class_labels(rows: DataFrame, limit: int = MAX_CLASSES) -> list[str]:
-    """Sorted class labels of a labelled table: model metadata, refused if they are no small set."""
-    found = rows.where(F.col("label").isNotNull()).select("label").distinct().limit(limit + 1).collect()
-    if len(found) > limit:
-        raise ValueError(f"a label column may hold at most {limit} classes")
-    return sorted(row.label for row in found)
+def class_labels(rows: DataFrame) -> list[str]:
+    """Sorted class labels of a labelled table. They are the columns of a model, so the driver holds them."""
+    found = rows.where(F.col("label").isNotNull()).select("label").distinct()
+    return sorted(row.label for row in found.collect())
+
+
+def features(text: Column, digits: int | None = None) -> Column:
+    """Tokens of the whole text; with ``digits``, the first hexadecimal digits of their MD5, 16^digits values at most."""
+    found = tokens(text)
+    return found if digits is None else F.transform(found, lambda t: F.left(F.md5(t), F.lit(digits)))
 
 
 def tokenize(rows: DataFrame, key: str = "ord", text: str = "text", limit: int = 256) -> DataFrame:
@@ -36,23 +40,24 @@ def tokenize(rows: DataFrame, key: str = "ord", text: str = "text", limit: int =
     return rows.select(key, F.posexplode(tokens(F.col(text), limit)).alias("position", "token"))
 
 
-def token_counts(rows: DataFrame, labels: list[str]) -> DataFrame:
+def token_counts(rows: DataFrame, labels: list[str], digits: int | None = None) -> DataFrame:
     """Occurrences of each token per label, one row per token with an array in label order.
 
     Counting is partial before the one shuffle, so frequent tokens do not pile up.
     """
-    words = rows.select("label", F.explode(tokens(F.col("text"))).alias("token"))
+    words = rows.select("label", F.explode(features(F.col("text"), digits)).alias("token"))
     counted = words.groupBy("token").agg(*[F.count_if(F.col("label") == name).alias(f"c{i}") for i, name in enumerate(labels)])
     return counted.select("token", F.array(*[f"c{i}" for i in range(len(labels))]).alias("counts"))
 
 
-def nb_train(rows: DataFrame, labels: list[str]) -> DataFrame:
-    """Multinomial naive Bayes with add-one smoothing, as (token, logp) with one value per label.
+def nb_train(rows: DataFrame, labels: list[str], digits: int | None = None) -> DataFrame:
+    """Multinomial naive Bayes with add-one smoothing over whole texts, as (token, logp) with one value per label.
 
-    The row with the empty token holds the log priors; no text has that token.
+    The row with the empty token holds the log priors; no text has that token. With ``digits`` tokens are hashed, and the
+    model has at most 16^digits rows however large the vocabulary is.
     """
     n = range(len(labels))
-    counts = materialize(token_counts(rows, labels), "token-counts")
+    counts = materialize(token_counts(rows, labels, digits), "token-counts")
     totals = counts.agg(F.array(*[(F.sum(F.get("counts", F.lit(i))) + F.count(F.lit(1))).cast("double") for i in n]).alias("t")).scalar()
     logp = F.transform("counts", lambda c, i: F.log((c + 1.0) / F.get(F.col("_totals"), i)))
     share = [F.count_if(F.col("label") == name) / F.count(F.lit(1)) for name in labels]
@@ -60,17 +65,19 @@ def nb_train(rows: DataFrame, labels: list[str]) -> DataFrame:
     return counts.withColumn("_totals", totals).select("token", logp.alias("logp")).unionByName(priors.select(F.lit("").alias("token"), "logp"))
 
 
-def nb_score(rows: DataFrame, model: DataFrame, labels: list[str], key: str = "seq", text: str = "clean_text") -> DataFrame:
+def nb_score(rows: DataFrame, model: DataFrame, labels: list[str], key: str = "seq", text: str = "clean_text", digits: int | None = None, chars: int | None = None) -> DataFrame:
     """Add prediction, confidence (4 decimals) and scores, best label first, to rows with a unique key.
 
-    Only (key, token) pairs meet the model; the model is broadcast when its measured size allows, else joined by
-    shuffle. The rows join their scores at the end.
+    The whole text counts; a live predictor reads the first ``chars`` characters. Tokens are counted per key before they
+    meet the model, so a frequent token is one row per text; the model is broadcast when its measured size allows, else
+    joined by shuffle. The rows join their scores at the end.
     """
-    words = rows.select(key, F.explode_outer(tokens(F.left(F.col(text), F.lit(TEXT_LIMIT)))).alias("token"))
+    read = F.col(text) if chars is None else F.left(F.col(text), F.lit(chars))
+    words = rows.select(key, F.explode_outer(features(read, digits)).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("_tf"))
     known = model.where("token <> ''")
     prior = model.where("token = ''").select("logp").scalar()
     n = range(len(labels))
-    sums = words.join(known, "token", "left").groupBy(key).agg(*[F.sum(F.coalesce(F.get("logp", F.lit(i)), F.lit(0.0))).alias(f"s{i}") for i in n])
+    sums = words.join(known, "token", "left").groupBy(key).agg(*[F.sum(F.coalesce(F.get("logp", F.lit(i)) * F.col("_tf"), F.lit(0.0))).alias(f"s{i}") for i in n])
     total = sums.withColumn("_p", prior).select(key, F.zip_with(F.array(*[f"s{i}" for i in n]), "_p", lambda a, b: a + b).alias("_s"))
     return rows.join(with_ranking(total, labels), key).select(*[rows[c] for c in rows.columns], "prediction", "confidence", "scores")
 
@@ -146,48 +153,48 @@ def udf_scorer(load: Callable[[], Model], batch: int = BATCH_TEXTS) -> Callable[
     return score
 
 
-def score_with_udf(rows: DataFrame, load: Callable[[], Model], text: str = "clean_text", batch: int = BATCH_TEXTS) -> DataFrame:
-    """Add prediction and confidence from a vectorised model; no shuffle."""
+def score_with_udf(rows: DataFrame, load: Callable[[], Model], text: str = "clean_text", batch: int = BATCH_TEXTS, chars: int = LIVE_CHARS) -> DataFrame:
+    """Add prediction and confidence from a vectorised model that reads ``chars`` characters of a line; no shuffle."""
     score = udf_scorer(load, batch)
-    scored = rows.withColumn("_p", score(F.left(F.col(text), F.lit(TEXT_LIMIT))))
+    scored = rows.withColumn("_p", score(F.left(F.col(text), F.lit(chars))))
     return scored.select(*rows.columns, F.col("_p.label").alias("prediction"), F.col("_p.confidence").alias("confidence"))
 
 
-def nb_udf_scorer(model: DataFrame, labels: list[str], text: str = "clean_text", max_values: int = 8_000_000) -> Callable[[DataFrame], DataFrame]:
-    """The naive Bayes model as a row-wise scorer that needs no shuffle and also runs on streams.
+def nb_udf_scorer(model: DataFrame, labels: list[str], text: str = "clean_text", digits: int = HASH_DIGITS, chars: int = LIVE_CHARS) -> Callable[[DataFrame], DataFrame]:
+    """A hashed naive Bayes model as a row-wise scorer that needs no shuffle and also runs on streams.
 
-    The model's size is checked: beyond ``max_values`` numbers it is refused, and ``nb_score`` is the way. Rows without
-    text get NULLs. Texts are tokenised in the JVM, so both scorers see the same tokens.
+    The model was trained with the same ``digits``, so it has at most 16^digits rows whatever it was trained on, and can be
+    shared with all executors. Rows without text get NULLs. Texts are tokenised in the JVM, so both scorers see the same
+    tokens.
     """
-    max_tokens = max_values // len(labels)
-    rows = model.limit(max_tokens + 1).collect()
-    if len(rows) > max_tokens:
-        raise ValueError(f"the model has more than {max_tokens} tokens; score with nb_score")
+    rows = model.collect()  # at most 16^digits + 1
     index = {row.token: i for i, row in enumerate(rows)}
     shared = model.sparkSession.sparkContext.broadcast((index, np.array([row.logp for row in rows], dtype=float)))
-    names = list(labels)
+    names = np.array(labels, dtype=object)
 
     @F.pandas_udf("prediction string, confidence double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known, logp = shared.value
-        prior = logp[known[""]]
+        none = len(logp)
+        padded = np.vstack([logp, np.zeros(logp.shape[1])])  # a token that was not met adds nothing
         for part in parts:
-            out = []
-            for words in part:
-                if words is None:
-                    out.append((None, None))
-                    continue
-                at = [known[w] for w in words if w in known]
-                total = prior + logp[at].sum(axis=0)
-                ranks = np.round(total, 6)
-                best = min(i for i in range(len(names)) if ranks[i] == ranks.max())
-                share = 1.0 / np.exp(total - total[best]).sum()
-                out.append((names[best], float(np.floor(share * 10_000 + 0.5) / 10_000)))
-            yield pd.DataFrame(out, columns=["prediction", "confidence"])
+            given = part.notna().to_numpy()
+            at = [np.fromiter((known.get(w, none) for w in words), dtype=np.int64, count=len(words)) for words in part[given]]
+            # A token that adds nothing stands before each text, so that no sum is empty.
+            starts = np.cumsum([0, *[len(a) + 1 for a in at]])[:-1]
+            flat = np.concatenate([x for a in at for x in ([none], a)]).astype(np.int64) if at else np.empty(0, np.int64)
+            total = logp[known[""]] + (np.add.reduceat(padded[flat], starts, axis=0) if at else np.empty((0, logp.shape[1])))
+            best = np.round(total, 6).argmax(axis=1) if at else np.empty(0, np.int64)
+            share = 1.0 / np.exp(total - total[np.arange(len(best)), best][:, None]).sum(axis=1)
+            out = pd.DataFrame({"prediction": pd.Series([None] * len(part), dtype=object), "confidence": np.full(len(part), np.nan)})
+            out.loc[given, "prediction"] = names[best]
+            out.loc[given, "confidence"] = np.floor(share * 10_000 + 0.5) / 10_000
+            yield out
 
     def add_scores(frame: DataFrame) -> DataFrame:
-        scored = frame.withColumn("_p", score(tokens(F.left(F.col(text), F.lit(TEXT_LIMIT)))))
-        return scored.select(*frame.columns, "_p.prediction", "_p.confidence")
+        scored = frame.withColumn("_p", score(features(F.left(F.col(text), F.lit(chars)), digits)))
+        known = F.col("_p.prediction").isNotNull()
+        return scored.select(*frame.columns, "_p.prediction", F.when(known, F.col("_p.confidence")).alias("confidence"))
 
     return add_scores
 

@@ -48,9 +48,13 @@ def active_alerts(alerts: DataFrame) -> DataFrame:
     return newest(alerts.where("status = 'ACTIVE'"))
 
 
-def surrogate_id(kind: str) -> Column:
-    """A row id that needs no global order."""
-    return F.xxhash64("hostname", "seq", F.lit(kind))
+def surrogate_id(kind: str, *parts: str) -> Column:
+    """A row id that needs no global order: 128 bits of the SHA-256 of what makes a row one of its kind.
+
+    Rows of one host that share a sequence number, as alerts of several kinds do, need more ``parts``.
+    """
+    named = F.to_json(F.struct(F.lit(kind).alias("kind"), "hostname", "seq", *parts))
+    return F.left(F.sha2(named, 256), F.lit(32))
 
 
 def statistics(incidents: DataFrame, floods: DataFrame, resource_alerts: DataFrame, as_of: Column) -> DataFrame:

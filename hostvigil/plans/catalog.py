@@ -77,13 +77,17 @@ def lifecycle(spark: SparkSession, sf: str) -> DataFrame:
     return alerts.alert_lifecycle(adapter(spark, sf, "fx_metrics"), COOLDOWN)
 
 
+# A live predictor: hashed tokens and the first characters of a line.
+LIVE = {"digits": classify.HASH_DIGITS, "chars": classify.LIVE_CHARS}
+
+
 def line_model(spark: SparkSession, sf: str) -> DataFrame:
-    return materialize(classify.nb_train(lines(spark, sf, "fx_train"), LINE_LABELS), "line-model")
+    return materialize(classify.nb_train(lines(spark, sf, "fx_train"), LINE_LABELS, classify.HASH_DIGITS), "line-model")
 
 
 def line_scorer(spark: SparkSession, sf: str) -> pipelines.Scorer:
     model = line_model(spark, sf)
-    return lambda frame: classify.nb_score(frame, model, LINE_LABELS).drop("scores")
+    return lambda frame: classify.nb_score(frame, model, LINE_LABELS, **LIVE).drop("scores")
 
 
 def row_scorer(spark: SparkSession, sf: str) -> pipelines.Scorer:
@@ -149,8 +153,8 @@ def _(spark, sf):
     return parts[0].unionByName(parts[1])
 
 
-@query("append_security_tables")
-def _(spark, sf):
+def stored_tables(spark: SparkSession, sf: str) -> str:
+    """All incident tables below a new folder."""
     root = new_path(spark, "tables")
     files.append_table(incident_rows(spark, sf), root, "attack_logs")
     files.append_table(
@@ -159,19 +163,33 @@ def _(spark, sf):
     )
     floods = materialize(flood_events(spark, sf), "flood-events")
     files.append_table(floods, root, "ddos_events")
-    files.append_table(alerts.ddos_alerts(floods).withColumn("resolved_at", F.lit(None).cast("timestamp_ntz")), root, "alerts")
-    files.append_table(security_alerts(spark, sf).withColumn("resolved_at", F.lit(None).cast("timestamp_ntz")), root, "alerts")
+    files.append_table(alerts.ddos_alerts(floods), root, "alerts")
+    files.append_table(security_alerts(spark, sf), root, "alerts")
     cycle = materialize(lifecycle(spark, sf), "lifecycle")
     files.append_table(cycle, root, "alerts")
-    raised = cycle.where("alert_type <> 'RECOVERY'").withColumns({"metric_name": F.col("metric"), "threshold_value": F.col("threshold"), "status": F.lit("ACTIVE"), "resolved_at": F.lit(None).cast("timestamp_ntz")})
+    raised = cycle.where("alert_type <> 'RECOVERY'").withColumns({"metric_name": F.col("metric"), "threshold_value": F.col("threshold")})
     files.append_table(raised, root, "resource_alerts")
     health = metrics.health_snapshot(adapter(spark, sf, "fx_metrics")).withColumns({"ts": F.col("tick"), "seq": F.unix_micros(F.col("tick").cast("timestamp"))})
     files.append_table(health, root, "system_health")
-    counted = [files.read_table(spark, root, t).select(F.lit(t).alias("table_name")) for t in [*files.TABLES, "security_events"]]
+    return root
+
+
+@query("append_security_tables")
+def _(spark, sf):
+    root = stored_tables(spark, sf)
+    counted = [files.read_table(spark, root, t).select(F.lit(t).alias("table_name"), "id") for t in [*files.TABLES, "security_events"]]
     rows = counted[0]
     for other in counted[1:]:
         rows = rows.union(other)
-    return rows.groupBy("table_name").agg(F.count(F.lit(1)).alias("n"))
+    by_id = rows.groupBy("table_name", "id").agg(F.count(F.lit(1)).alias("c"))
+    return by_id.groupBy("table_name").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("ids"))
+
+
+@query("stored_alerts")
+def _(spark, sf):
+    rows = files.read_table(spark, stored_tables(spark, sf), "alerts")
+    full = F.col("description").isNotNull() & F.col("metrics").isNotNull() & F.col("id").isNotNull()
+    return rows.select("hostname", "seq", "timestamp", "alert_type", "severity", "source", "status", "resolved_at", F.col("dt").cast("string").alias("dt"), full.alias("complete"))
 
 
 @query("dual_write_events")
@@ -215,7 +233,7 @@ on("decision_passthrough", "fx_pred", lambda x: incidents.decide(x, enabled=Fals
 on("risk_level", "fx_pred", lambda x: incidents.decide(x).select("seq", "risk_level"))
 on(
     "weighted_risk", "fx_pred",
-    lambda x: lookups.weight_lookup(x.where("confidence <= 1")).select("seq", d.weighted_risk(F.col("prediction"), F.col("confidence"), F.col("weight")).alias("r")).select("seq", "r.*"),
+    lambda x: lookups.weight_lookup(x.withColumn("confidence", d.normalize_confidence(F.col("confidence")))).select("seq", d.weighted_risk(F.col("prediction"), F.col("confidence"), F.col("weight")).alias("r")).select("seq", "r.*"),
 )
 on(
     "final_severity", "fx_pred",
@@ -252,7 +270,9 @@ on("clean_dataset_text", "fx_dirty", dataset.clean_dataset_text)
 @query("render_notifications")
 def _(spark, sf):
     parts = [alerts.resource_outbox(lifecycle(spark, sf)), alerts.flood_outbox(flood_events(spark, sf)), alerts.attack_outbox(security_alerts(spark, sf))]
-    rows = [part.select("seq", "alert_type", "subject") for part in parts]
+    whole = F.contains("body", "hostname") & F.contains("body", "description") & F.contains("body", F.lit("what to do"))
+    text = F.when(F.col("alert_type").isin("SECURITY_ATTACK", "DDOS_DETECTED"), F.col("description"))
+    rows = [part.select("seq", "alert_type", "subject", text.alias("description"), whole.alias("whole")) for part in parts]
     return rows[0].union(rows[1]).union(rows[2])
 
 
@@ -329,11 +349,11 @@ on("health_snapshot", "fx_metrics", metrics.health_snapshot)
 
 
 # --- windows and ordered state ---
-def strong_events(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/events.parquet").where("value >= 100").select(F.col("event_id").alias("seq"), "ts", "event_type")
+def all_events(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_id").alias("seq"), "ts", "event_type")
 
 
-QUERIES["cooldown_dedup"] = lambda spark, sf: ordered.cooldown(strong_events(spark, sf), ["event_type"], COOLDOWN)
+QUERIES["cooldown_dedup"] = lambda spark, sf: ordered.cooldown(all_events(spark, sf), ["event_type"], COOLDOWN)
 
 
 @query("email_dedup")
@@ -425,15 +445,17 @@ QUERIES["nb_score"] = lambda spark, sf: document_scores(spark, sf).select("ord",
 def _(spark, sf):
     model = line_model(spark, sf)
     return classify.with_guards(
-        adapter(spark, sf, "fx_syslog"), lambda frame: classify.nb_score(frame, model, LINE_LABELS, "seq", "raw_line"), "raw_line"
+        adapter(spark, sf, "fx_syslog"), lambda frame: classify.nb_score(frame, model, LINE_LABELS, "seq", "raw_line", **LIVE), "raw_line"
     ).select("seq", "prediction", "confidence")
 
 
 @query("lr_train_score")
 def _(spark, sf):
-    parts = dataset.stratified_split(adapter(spark, sf, "fx_labeled"))
-    model = classify.lr_train(parts.where("split = 'train'"), features=1 << 12, iterations=10)
-    return classify.lr_score(parts.where("split = 'test'"), model).select("ord", "label", "predicted_label", F.round("confidence", 4).alias("confidence"))
+    # Which class a row gets is the model's; which rows are scored, among which classes and on which scale, a statement tells.
+    parts = materialize(dataset.stratified_split(adapter(spark, sf, "fx_labeled")), "parts", "split")
+    model = classify.lr_train(parts.where("split = 'train'"))
+    scored = classify.lr_score(parts.where("split = 'test'"), model)
+    return scored.select("ord", "label", F.col("predicted_label").isin(DOCUMENT_LABELS).alias("known_class"), F.col("confidence").between(0.25, 1.0).alias("on_scale"))
 
 
 def keyword_model() -> classify.Model:
@@ -488,12 +510,13 @@ QUERIES["stream_triage"] = lambda spark, sf: routed_columns(
 
 @query("stream_traffic_windows")
 def _(spark, sf):
-    out = jobs.stream_traffic_windows(stream_of(spark, adapter(spark, sf, "fx_access")), "1 hour", "30 minutes", "2 hours")
-    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    out = jobs.stream_traffic_windows(stream_of(spark, adapter(spark, sf, "fx_access")), "1 hour", "30 minutes", "2 hours", **{k: v for k, v in TRAFFIC.items() if k != "minute"})
+    shown = out.withColumns({"window_start": F.col("window_start").cast("timestamp_ntz"), "patterns": F.array_join("patterns_detected", "; ")})
+    return shown.drop("patterns_detected")
 
 
 QUERIES["stream_cooldown"] = lambda spark, sf: jobs.drain(
-    jobs.stream_cooldown(stream_of(spark, strong_events(spark, sf)), ["event_type"], COOLDOWN), "stream-cooldown"
+    jobs.stream_cooldown(stream_of(spark, all_events(spark, sf)), ["event_type"], COOLDOWN), "stream-cooldown"
 ).select("event_type", "seq")
 QUERIES["stream_metric_transitions"] = lambda spark, sf: jobs.drain(
     jobs.stream_metric_transitions(stream_of(spark, adapter(spark, sf, "fx_metrics"))), "stream-transitions"
@@ -506,7 +529,7 @@ def _(spark, sf):
     return jobs.stream_hourly_report(stream_of(spark, rows)).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
 
 
-QUERIES["stream_multi_sink"] = lambda spark, sf: jobs.stream_multi_sink(stream_of(spark, adapter(spark, sf, "fx_syslog")), row_scorer(spark, sf))
+QUERIES["stream_multi_sink"] = lambda spark, sf: jobs.stream_multi_sink(stream_of(spark, adapter(spark, sf, "fx_syslog")), row_scorer(spark, sf), COOLDOWN)
 
 
 @query("stream_late_data")

@@ -30,8 +30,9 @@ def values(rows, columns: str) -> str:
     return f"SELECT * FROM (VALUES {body}) AS v({columns})"
 
 
-def tokens(expr: str) -> str:
-    return f"list_slice(list_filter(regexp_split_to_array(lower({expr}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''), 1, 256)"
+def tokens(expr: str, digits: int | None = None) -> str:
+    words = f"list_filter(regexp_split_to_array(lower({expr}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+    return words if digits is None else f"list_transform({words}, lambda x: left(md5(x), {digits}))"
 
 
 # Named pieces: name -> (pieces it needs, SELECT).
@@ -295,10 +296,14 @@ FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || CAST
 split("parts", "fx_labeled")
 
 
-def bayes(name: str, train: str, docs: str, labels: list[str] | None) -> None:
-    """Pieces <name>_model (token, label, n, logp) and <name>_rank (id, label, score, rank); docs is (id, text)."""
+def bayes(name: str, train: str, docs: str, labels: list[str] | None, live: bool = False) -> None:
+    """Pieces <name>_model (token, label, n, logp) and <name>_rank (id, label, score, rank); docs is (id, text).
+
+    A live model hashes tokens and reads 512 characters of a line.
+    """
+    digits, read = (4, "left(text, 512)") if live else (None, "text")
     piece(f"{name}_labels", [train], f"SELECT unnest([{', '.join(q(x) for x in labels)}]) AS label" if labels else f"SELECT DISTINCT label FROM {train}")
-    piece(f"{name}_words", [train], f"SELECT label, unnest({tokens('text')}) AS token FROM {train}")
+    piece(f"{name}_words", [train], f"SELECT label, unnest({tokens('text', digits)}) AS token FROM {train}")
     piece(f"{name}_vocab", [f"{name}_words"], f"SELECT DISTINCT token FROM {name}_words")
     piece(
         f"{name}_class",
@@ -321,7 +326,7 @@ LEFT JOIN (SELECT token, label, count(*) AS n FROM {name}_words GROUP BY token,
 SELECT id, label, round(exp(s - top) / sum(exp(s - top)) OVER (PARTITION BY id), 4) AS score, row_number() OVER (PARTITION BY id ORDER BY round(s, 6) DESC, label) AS rank FROM (
 SELECT id, label, s, max(s) OVER (PARTITION BY id) AS top FROM (
 SELECT d.id, c.label, coalesce(m.s, CAST(0 AS DOUBLE)) + CASE WHEN c.share = 0 THEN CAST('-infinity' AS DOUBLE) ELSE ln(c.share) END AS s FROM {docs} d CROSS JOIN {name}_class c
-LEFT JOIN (SELECT id, label, sum(logp) AS s FROM (SELECT id, unnest({tokens('left(text, 512)')}) AS token FROM {docs}) JOIN {name}_model USING (token) GROUP BY id, label) m
+LEFT JOIN (SELECT id, label, sum(logp) AS s FROM (SELECT id, unnest({tokens(read, digits)}) AS token FROM {docs}) JOIN {name}_model USING (token) GROUP BY id, label) m
  ON m.id = d.id AND m.label = c.label))""",
     )
 
@@ -331,7 +336,7 @@ piece("train_part", ["parts"], "SELECT * FROM parts WHERE split = 'train'")
 piece("test_rows", ["parts"], "SELECT ord AS id, text FROM parts WHERE split = 'test'")
 bayes("doc", "train_part", "doc_rows", DOCUMENT_LABELS)
 piece("line_rows", ["clean_sys"], "SELECT seq AS id, clean_text AS text FROM clean_sys WHERE pre_decision <> 'BENIGN' AND clean_text IS NOT NULL")
-bayes("line", "fx_train", "line_rows", LINE_LABELS)
+bayes("line", "fx_train", "line_rows", LINE_LABELS, live=True)
 piece("scored_lines", ["clean_sys", "line_rank"], "SELECT c.*, r.label AS prediction, r.score AS confidence FROM clean_sys c JOIN line_rank r ON r.id = c.seq AND r.rank = 1")
 decided("line_decided", "scored_lines", ["scored_lines"])
 piece(
@@ -345,7 +350,7 @@ FROM clean_sys c LEFT JOIN line_decided d ON c.seq = d.seq""",
 )
 piece("all_text", ["clean_sys"], "SELECT *  REPLACE (coalesce(clean_text, trim(raw_line)) AS clean_text) FROM clean_sys WHERE trim(raw_line) <> ''")
 piece("all_rows", ["all_text"], "SELECT seq AS id, clean_text AS text FROM all_text")
-bayes("adhoc", "fx_train", "all_rows", LINE_LABELS)
+bayes("adhoc", "fx_train", "all_rows", LINE_LABELS, live=True)
 piece("adhoc_scored", ["all_text", "adhoc_rank"], "SELECT c.*, r.label AS prediction, r.score AS confidence FROM all_text c JOIN adhoc_rank r ON r.id = c.seq AND r.rank = 1")
 decided("adhoc_decided", "adhoc_scored", ["adhoc_scored"])
 
@@ -420,7 +425,7 @@ def oracle_sql() -> dict[str, str]:
     weighted = f"""SELECT seq, CASE WHEN prediction = 'Benign' THEN CAST(round(CAST(CAST((1 - confidence) * 15 AS VARCHAR) AS DECIMAL(30, 18)), 2) AS DOUBLE) ELSE pct END AS risk_pct,
       CASE WHEN prediction = 'Benign' THEN 'SAFE' WHEN pct >= 85 THEN 'CRITICAL' WHEN pct >= 65 THEN 'HIGH' WHEN pct >= 40 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level
       FROM (SELECT *, CAST(round(CAST(CAST(least((confidence * CAST(0.7 AS DOUBLE) + coalesce(weight, CAST(0.5 AS DOUBLE)) * CAST(0.3 AS DOUBLE)) * 100, CAST(99.99 AS DOUBLE)) AS VARCHAR) AS DECIMAL(30, 18)), 2) AS DOUBLE) AS pct
-      FROM (SELECT * FROM fx_pred WHERE confidence <= 1) LEFT JOIN ({weights}) w ON prediction = label)"""
+      FROM (SELECT seq, prediction, norm AS confidence FROM decided) LEFT JOIN ({weights}) w ON prediction = label)"""
     unknown = """SELECT CAST(seq AS VARCHAR) AS id, ts AS timestamp, clean_text AS raw_log, prediction AS predicted_label, round(confidence, 4) AS confidence, source_log AS log_source,
       'pending' AS status, '' AS reviewed_label FROM fx_pred WHERE confidence < 0.6"""
     hours = """SELECT date_trunc('hour', ts) AS hour, count(*) AS total, count(*) FILTER (WHERE risk = 'CRITICAL') AS critical, count(*) FILTER (WHERE risk = 'HIGH') AS high,
@@ -441,13 +446,20 @@ def oracle_sql() -> dict[str, str]:
             "SELECT 'predictions' AS part, * FROM fx_eval UNION ALL SELECT 'misclassified', * FROM fx_eval WHERE label <> predicted_label", "fx_eval"
         ),
         "append_security_tables": s(
-            """SELECT 'attack_logs' AS table_name, count(*) AS n FROM incident UNION ALL SELECT 'security_events', count(*) FROM incident
+            """SELECT table_name, n, n AS ids FROM (SELECT 'attack_logs' AS table_name, count(*) AS n FROM incident UNION ALL SELECT 'security_events', count(*) FROM incident
             UNION ALL SELECT 'alerts', (SELECT count(*) FROM sec_alert) + (SELECT count(*) FROM flood_sent) + (SELECT count(*) FROM lifecycle)
             UNION ALL SELECT 'resource_alerts', count(*) FROM res_alert UNION ALL SELECT 'ddos_events', count(*) FROM flood_sent
             UNION ALL SELECT 'security_decisions', count(*) FROM decided
-            UNION ALL SELECT 'system_health', count(*) FROM (SELECT DISTINCT hostname, date_trunc('hour', ts) FROM fx_metrics)""",
+            UNION ALL SELECT 'system_health', count(*) FROM (SELECT DISTINCT hostname, date_trunc('hour', ts) FROM fx_metrics))""",
             "incident", "sec_alert", "flood_sent", "lifecycle", "res_alert", "decided", "fx_metrics",
         ),
+        "stored_alerts": s(
+            """SELECT *, CAST(CAST(timestamp AS DATE) AS VARCHAR) AS dt, true AS complete FROM (
+            SELECT hostname, seq, ts AS timestamp, alert_type, severity, source, status, resolved_at FROM lifecycle
+            UNION ALL SELECT hostname, seq, ts, 'DDOS_DETECTED', risk_level, 'DDoSDetector', 'ACTIVE', CAST(NULL AS TIMESTAMP) FROM flood_sent
+            UNION ALL SELECT hostname, seq, ts, 'SECURITY_ATTACK', risk, source_log, 'ACTIVE', CAST(NULL AS TIMESTAMP) FROM sec_alert)""",
+            "lifecycle", "flood_sent", "sec_alert",
+        ),
         "dual_write_events": s("SELECT t.name AS table_name, seq, prediction, risk, status FROM incident, (VALUES ('attack_logs'), ('security_events')) AS t(name)", "incident"),
         "label_map": s("SELECT label_id, label FROM (" + label_ids.format("(SELECT prediction AS label FROM fx_pred)") + ")", "fx_pred"),
         "metrics_json": s("SELECT seq, prediction, round(confidence * 100, 2) AS confidence_percent, source_log AS source, CAST(seq AS VARCHAR) AS plain FROM fx_pred", "fx_pred"),
@@ -467,7 +479,7 @@ def oracle_sql() -> dict[str, str]:
             prediction <> 'Benign' AND base IN ('HIGH', 'CRITICAL') AS email_required, 'Security Decision Engine disabled — passthrough mode' AS reason FROM decided""", "decided"
         ),
         "risk_level": s("SELECT seq, risk_level FROM decided", "decided"),
-        "weighted_risk": s(weighted, "fx_pred"),
+        "weighted_risk": s(weighted, "decided"),
         "final_severity": s("SELECT seq, severity, risk_level, risk AS final_severity FROM decided WHERE decision = 'ALERT'", "decided"),
         "flag_unknown": s(
             "SELECT seq, prediction <> 'Benign' AS is_malicious, confidence < 0.6 AND prediction <> 'Benign' AS is_unknown, confidence < 0.6 AS is_unknown_any FROM fx_pred", "fx_pred"
@@ -488,9 +500,12 @@ def oracle_sql() -> dict[str, str]:
         ),
         "clean_dataset_text": s("SELECT ord, text, label FROM fx_dirty WHERE label IS NOT NULL AND trim(text) <> ''", "fx_dirty"),
         "render_notifications": s(
-            """SELECT seq, alert_type, CASE alert_type WHEN 'RECOVERY' THEN '✅' ELSE '🚨' END || ' [' || severity || '] ' || alert_type || ' Notification - ' || hostname AS subject FROM lifecycle
-            UNION ALL SELECT seq, 'DDOS_DETECTED', '🚨 [' || risk_level || '] DDOS_DETECTED Notification - ' || hostname FROM flood_sent
-            UNION ALL SELECT seq, 'SECURITY_ATTACK', '🚨 [' || risk || '] Threat Alert: ' || prediction || ' on ' || hostname FROM sec_alert""",
+            f"""SELECT *, true AS whole FROM (
+            SELECT seq, alert_type, CASE alert_type WHEN 'RECOVERY' THEN '✅' ELSE '🚨' END || ' [' || severity || '] ' || alert_type || ' Notification - ' || hostname AS subject, CAST(NULL AS VARCHAR) AS description FROM lifecycle
+            UNION ALL SELECT seq, 'DDOS_DETECTED', '🚨 [' || risk_level || '] DDOS_DETECTED Notification - ' || hostname,
+              'Possible DDoS Attack detected: ' || array_to_string(found, ', ') || '. Total requests: ' || total_requests || ' in {WINDOW}s.' FROM flood_sent
+            UNION ALL SELECT seq, 'SECURITY_ATTACK', '🚨 [' || risk || '] Threat Alert: ' || prediction || ' on ' || hostname,
+              'Security threat ''' || prediction || ''' detected with ' || printf('%.2f', CAST(CAST(confidence AS VARCHAR) AS DECIMAL(18, 6)) * 100) || '% confidence in ''' || source_log || '''.' FROM sec_alert)""",
             "lifecycle", "flood_sent", "sec_alert",
         ),
         # joins
@@ -594,9 +609,10 @@ def oracle_sql() -> dict[str, str]:
         "export_approved": s("SELECT raw_log AS text, reviewed_label AS label, confidence, log_source, timestamp, status FROM fx_review WHERE status = 'approved'", "fx_review"),
         # classification
         "label_encode": s("SELECT ord, label, label_id FROM fx_labeled JOIN (" + label_ids.format("fx_labeled") + ") USING (label)", "fx_labeled"),
-        "tokenize": s(f"SELECT ord, CAST(generate_subscripts(t, 1) - 1 AS INTEGER) AS position, unnest(t) AS token FROM (SELECT ord, {tokens('text')} AS t FROM fx_labeled)", "fx_labeled"),
+        "tokenize": s(f"SELECT ord, CAST(generate_subscripts(t, 1) - 1 AS INTEGER) AS position, unnest(t) AS token FROM (SELECT ord, list_slice({tokens('text')}, 1, 256) AS t FROM fx_labeled)", "fx_labeled"),
         "nb_train": s("SELECT token, label, round(logp, 6) AS logp FROM doc_model UNION ALL SELECT '', label, round(ln(share), 6) FROM doc_class", "doc_model", "doc_class"),
         "nb_score": s("SELECT id AS ord, label AS prediction, score AS confidence FROM doc_rank WHERE rank = 1", "doc_rank"),
+        "lr_train_score": s("SELECT ord, label, true AS known_class, true AS on_scale FROM parts WHERE split = 'test'", "parts"),
         "predict_guards": s(
             """SELECT c.seq, coalesce(r.label, 'Benign') AS prediction, coalesce(r.score, CAST(0.9999 AS DOUBLE)) AS confidence FROM fx_syslog c LEFT JOIN guard_rank r ON r.id = c.seq AND r.rank = 1""", "fx_syslog", "guard_rank"
         ),
@@ -609,16 +625,15 @@ def oracle_sql() -> dict[str, str]:
         # streams
         "stream_triage": s(_ROUTED, "routed"),
         "stream_traffic_windows": s(
-            """SELECT c.*, t.ip AS top_ip, t.n AS top_ip_requests FROM (SELECT window_start, hostname, count(*) AS total_requests, count(DISTINCT ip) AS unique_ips, count(*) FILTER (WHERE status >= 400) AS error_requests
-            FROM slides GROUP BY ALL) c JOIN (SELECT window_start, hostname, ip, count(*) AS n, row_number() OVER (PARTITION BY window_start, hostname ORDER BY count(*) DESC, min(ts), min(seq)) AS r
-            FROM slides GROUP BY window_start, hostname, ip) t USING (window_start, hostname) WHERE r = 1""", "slides"
+            """SELECT window_start, hostname, total_requests, unique_ips, error_requests, top_ip, top_ip_requests, top_endpoint, top_endpoint_requests, risk_level, is_anomaly, array_to_string(found, '; ') AS patterns
+            FROM slide_report""", "slide_report"
         ),
         "stream_cooldown": s("SELECT event_type, seq FROM dedup", "dedup"),
         "stream_metric_transitions": s("SELECT hostname, metric, seq, old_state, new_state FROM trans", "trans"),
         "stream_hourly_report": s(hours, "incident"),
         "stream_multi_sink": s(
-            """SELECT 'security_decisions' AS table_name, count(*) AS n FROM routed WHERE decision IS NOT NULL UNION ALL SELECT 'attack_logs', count(*) FROM routed WHERE decision IN ('LOG_ONLY', 'ALERT')
-            UNION ALL SELECT 'alerts', count(*) FROM routed WHERE dispatch AND risk IN ('HIGH', 'CRITICAL') AND confidence >= 0.55""", "routed"
+            """SELECT table_name, n, n AS ids FROM (SELECT 'security_decisions' AS table_name, count(*) AS n FROM routed WHERE decision IS NOT NULL UNION ALL SELECT 'attack_logs', count(*) FROM routed WHERE decision IN ('LOG_ONLY', 'ALERT')
+            UNION ALL SELECT 'alerts', count(*) FROM live_alert)""", "routed", "live_alert"
         ),
         "stream_late_data": s(
             f"""SELECT date_trunc('hour', ts) AS hour, hostname, count(*) AS n FROM arrivals a LEFT JOIN (SELECT k AS segment, (SELECT date_trunc('millisecond', max(ts)) FROM arrivals WHERE segment < k) - INTERVAL {LATE_HOURS} HOUR AS mark
@@ -628,12 +643,16 @@ def oracle_sql() -> dict[str, str]:
     return out
 
 
-piece("strong", [], "SELECT event_id AS seq, ts, event_type FROM events WHERE value >= 100")
-cooldown("dedup", "strong", ["event_type"])
+piece("timed_events", [], "SELECT event_id AS seq, ts, event_type FROM events")
+cooldown("dedup", "timed_events", ["event_type"])
 piece("guard_rows", ["fx_syslog"], "SELECT seq AS id, raw_line AS text FROM fx_syslog WHERE trim(raw_line) <> ''")
-bayes("guard", "fx_train", "guard_rows", LINE_LABELS)
+bayes("guard", "fx_train", "guard_rows", LINE_LABELS, live=True)
 piece(
     "slides",
     ["req"],
     "SELECT *, time_bucket(INTERVAL 30 MINUTE, ts) - to_minutes(30 * k) AS window_start FROM req, (VALUES (0), (1)) AS v(k)",
 )
+piece("slide_pairs", ["slides"], "SELECT hostname, window_start, window_start + INTERVAL 1 HOUR AS ts, seq AS xseq, ts AS xts, ip, endpoint, status FROM slides")
+report_pieces("slide", "slide_pairs", "hostname, window_start", WINDOW)
+piece("live_gated", ["routed"], "SELECT * FROM routed WHERE dispatch AND risk IN ('HIGH', 'CRITICAL') AND confidence >= 0.55")
+cooldown("live_alert", "live_gated", ["hostname", "prediction", "source_log"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hostvigil.functions.text import is_blank
+from hostvigil.operators.incidents import surrogate_id
 
 DATASET_SCHEMA = "text STRING, label STRING"
 REVIEW_SCHEMA = (
@@ -14,15 +15,21 @@ REVIEW_SCHEMA = (
     "log_source STRING, status STRING, reviewed_label STRING"
 )
 
-# Columns of the incident tables, besides id and the partition date.
+# Columns and types of the incident tables, besides id, seq and the partition date.
 TABLES = {
-    "attack_logs": ["timestamp", "hostname", "source_log", "raw_log", "clean_text", "prediction", "confidence", "risk", "status"],
-    "alerts": ["timestamp", "hostname", "alert_type", "severity", "description", "source", "metrics", "status", "resolved_at"],
-    "resource_alerts": ["timestamp", "hostname", "metric_name", "current_value", "threshold_value", "severity", "status", "resolved_at"],
-    "ddos_events": ["timestamp", "hostname", "pattern_type", "requests_count", "window_seconds", "top_ip", "top_endpoint", "risk_level", "metrics_json"],
-    "system_health": ["timestamp", "hostname", "cpu_percent", "ram_percent", "disk_percent", "load_avg", "agent_status", "heartbeat_time"],
-    "security_decisions": ["timestamp", "hostname", "source_log", "raw_log", "predicted_label", "confidence", "decision", "severity", "reason", "email_sent"],
+    "attack_logs": "timestamp TIMESTAMP_NTZ, hostname STRING, source_log STRING, raw_log STRING, clean_text STRING, prediction STRING, confidence DOUBLE, risk STRING, status STRING",
+    "alerts": "timestamp TIMESTAMP_NTZ, hostname STRING, alert_type STRING, severity STRING, description STRING, source STRING, metrics STRING, status STRING, resolved_at TIMESTAMP_NTZ",
+    "resource_alerts": "timestamp TIMESTAMP_NTZ, hostname STRING, metric_name STRING, current_value DOUBLE, threshold_value DOUBLE, severity STRING, status STRING, resolved_at TIMESTAMP_NTZ",
+    "ddos_events": "timestamp TIMESTAMP_NTZ, hostname STRING, pattern_type STRING, requests_count BIGINT, window_seconds BIGINT, top_ip STRING, top_endpoint STRING, risk_level STRING, metrics_json STRING",
+    "system_health": "timestamp TIMESTAMP_NTZ, hostname STRING, cpu_percent DOUBLE, ram_percent DOUBLE, disk_percent DOUBLE, load_avg DOUBLE, agent_status STRING, heartbeat_time TIMESTAMP_NTZ",
+    "security_decisions": "timestamp TIMESTAMP_NTZ, hostname STRING, source_log STRING, raw_log STRING, predicted_label STRING, confidence DOUBLE, decision STRING, severity STRING, reason STRING, email_sent INT",
 }
+# Columns that a writer may leave out: not known when the row is written.
+OPTIONAL = {"resolved_at", "load_avg", "agent_status", "heartbeat_time", "status"}
+
+
+def table_schema(table: str) -> T.StructType:
+    return T.StructType.fromDDL(f"id STRING, seq BIGINT, {TABLES[table]}, dt DATE")
 
 
 def _csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -68,10 +75,15 @@ def write_predictions(scored: DataFrame, root: str) -> dict[str, str]:
 
 
 def table_rows(rows: DataFrame, table: str) -> DataFrame:
-    """Rows in the shape of an incident table: surrogate id, its columns (NULL where not given), partition date."""
-    present = {"timestamp": F.col("ts"), **{c: F.col(c) for c in rows.columns}}
-    columns = [present.get(c, F.lit(None).cast("string")).alias(c) for c in TABLES[table]]
-    return rows.select(F.xxhash64("hostname", "seq", F.lit(table)).alias("id"), "seq", *columns, F.to_date("ts").alias("dt"))
+    """Rows in the shape of an incident table: id, its columns by type, partition date. A missing column is an error."""
+    present = {"timestamp": F.col("ts"), **{c: F.col(c) for c in rows.columns if c != "ts"}}
+    fields = table_schema(table).fields[2:-1]
+    missing = [f.name for f in fields if f.name not in present and f.name not in OPTIONAL]
+    if missing:
+        raise ValueError(f"{table} needs {', '.join(missing)}")
+    parts = [c for c in ("alert_type", "metric_name", "source") if c in rows.columns]
+    columns = [present.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]
+    return rows.select(surrogate_id(table, *parts).alias("id"), F.col("seq").cast("long"), *columns, F.to_date("ts").alias("dt"))
 
 
 def append_table(rows: DataFrame, root: str, table: str, batch_id: int | None = None) -> None:
@@ -88,7 +100,14 @@ def append_table(rows: DataFrame, root: str, table: str, batch_id: int | None =
 
 def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
     """An incident table; ``security_events`` is the same rows as ``attack_logs``."""
-    return spark.read.parquet(f"{root}/{'attack_logs' if table == 'security_events' else table}")
+    stored = "attack_logs" if table == "security_events" else table
+    return spark.read.schema(table_schema(stored)).parquet(f"{root}/{stored}")
+
+
+def read_table_since(spark: SparkSession, root: str, table: str, since) -> DataFrame:
+    """Rows from an instant on; only the folders of its date and later ones are read."""
+    stored = read_table(spark, root, table)
+    return stored.where((F.col("dt") >= F.to_date(F.lit(since))) & (F.col("timestamp") >= F.lit(since).cast("timestamp_ntz")))
 
 
 def write_label_map(labels: DataFrame, path: str) -> None:

@@ -27,18 +27,20 @@ DEFAULT_SOURCES = [
 
 
 def _lines(text: DataFrame) -> DataFrame:
-    """Decode with replacement, strip, drop blanks, and tag each line with its file."""
+    """Decode with replacement, strip, drop blanks, and tag each line with the path of its file."""
     line = strip(F.make_valid_utf8("value"))
-    return text.select(F.col("_metadata.file_path").alias("source_log"), line.alias("raw_line")).where("raw_line <> ''")
+    path = F.url_decode(F.replace(F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/"), F.lit("+"), F.lit("%2B")))
+    return text.select(path.alias("source_log"), line.alias("raw_line")).where("raw_line <> ''")
 
 
 def read_log_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    return _lines(spark.read.text(list(paths), lineSep="\n"))
+    """Lines end with LF, CRLF or CR."""
+    return _lines(spark.read.text(list(paths)))
 
 
 def stream_log_lines(spark: SparkSession, directory: str, files_per_trigger: int | None = None) -> DataFrame:
     """New segment files below a directory; the checkpoint remembers what was read, new files may appear any time."""
-    reader = spark.readStream.format("text").option("lineSep", "\n").option("recursiveFileLookup", "true")
+    reader = spark.readStream.format("text").option("recursiveFileLookup", "true")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return _lines(reader.load(directory))

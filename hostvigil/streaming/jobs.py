@@ -8,12 +8,12 @@ from contextlib import contextmanager
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from hostvigil.functions import decisions as d
-from hostvigil.operators import metrics, triage
+from hostvigil.operators import alerts, metrics, traffic, triage
 from hostvigil.plans import pipelines
-from hostvigil.session import new_path
+from hostvigil.session import materialize, new_path
 from hostvigil.sources import files
 
 
@@ -25,11 +25,16 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{path}/data")
 
 
-def drain_batches(stream: DataFrame, name: str, sink: Callable[[DataFrame, int, str], None], mode: str = "append") -> str:
-    """Run a stream over everything available, handing each micro-batch to ``sink(batch, batch_id, root)``."""
+def start_batches(stream: DataFrame, name: str, sink: Callable[[DataFrame, int, str], None], mode: str = "append") -> tuple[str, StreamingQuery]:
+    """Start a stream over everything available, handing each micro-batch to ``sink(batch, batch_id, root)``."""
     path = new_path(stream.sparkSession, name)
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/_checkpoint")
-    writer.foreachBatch(lambda batch, batch_id: sink(batch, batch_id, path)).trigger(availableNow=True).start().awaitTermination()
+    return path, writer.foreachBatch(lambda batch, batch_id: sink(batch, batch_id, path)).trigger(availableNow=True).start()
+
+
+def drain_batches(stream: DataFrame, name: str, sink: Callable[[DataFrame, int, str], None], mode: str = "append") -> str:
+    path, query = start_batches(stream, name, sink, mode)
+    query.awaitTermination()
     return path
 
 
@@ -39,9 +44,11 @@ def drain_updates(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
     A batch overwrites its own folder, so a retry replaces what it wrote before.
     """
     # With one stateful operator, late rows are told by the current watermark rather than by that of the batch before;
-    # otherwise a row could reopen a window whose state is gone, and its count would start again.
+    # otherwise a row could reopen a window whose state is gone, and its count would start again. A query takes a copy of
+    # the settings when it starts, so the setting is back before any other stream of the session can start with it.
     with session_setting(stream.sparkSession, "spark.sql.streaming.statefulOperator.allowMultiple", "false"):
-        path = drain_batches(stream, name, lambda batch, n, root: batch.write.mode("overwrite").parquet(f"{root}/data/batch={n}"), "update")
+        path, query = start_batches(stream, name, lambda batch, n, root: batch.write.mode("overwrite").parquet(f"{root}/data/batch={n}"), "update")
+    query.awaitTermination()
     rows = stream.sparkSession.read.schema(f"{_ddl(stream)}, batch BIGINT").parquet(f"{path}/data")
     rest = [c for c in stream.columns if c not in keys]
     latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r"))
@@ -73,43 +80,54 @@ def stream_triage(lines: DataFrame, score: pipelines.Scorer) -> DataFrame:
 
 
 def stream_traffic_counts(lines: DataFrame, window: str, slide: str, delay: str) -> DataFrame:
-    """Requests, errors and first request by sliding window, host and IP."""
+    """Requests, errors and first request by sliding window, host, IP and endpoint."""
     requests = event_time(triage.parse_access_log(lines), delay)
     return (
-        requests.groupBy(F.window("ts", window, slide).alias("w"), "hostname", "ip")
+        requests.groupBy(F.window("ts", window, slide).alias("w"), "hostname", "ip", "endpoint")
         .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") >= 400).alias("errors"), F.min(F.struct("ts", "seq")).alias("first"))
-        .select(F.col("w.start").alias("window_start"), "hostname", "ip", "n", "errors", "first")
+        .select(F.col("w.start").alias("window_start"), "hostname", "ip", "endpoint", "n", "errors", "first")
     )
 
 
-def traffic_by_window(counts: DataFrame) -> DataFrame:
-    """Second stage: totals, distinct IPs and the top IP of each window and host."""
-    best = F.min(F.struct((-F.col("n")).alias("m"), F.col("first"), F.col("ip"))).alias("best")
-    folded = counts.groupBy("window_start", "hostname").agg(
-        F.sum("n").alias("total_requests"), F.count(F.lit(1)).alias("unique_ips"), F.sum("errors").alias("error_requests"), best
-    )
-    return folded.select(
-        "window_start", "hostname", "total_requests", "unique_ips", "error_requests", F.col("best.ip").alias("top_ip"), (-F.col("best.m")).alias("top_ip_requests")
-    )
+def traffic_by_window(counts: DataFrame, seconds: int, **thresholds: int) -> DataFrame:
+    """Second stage, over counts: the flood report of each window and host, with patterns and risk as in batch."""
+    key = ["window_start", "hostname"]
+
+    def leader(name: str) -> DataFrame:
+        each = counts.groupBy(*key, name).agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+        best = F.min(F.struct((-F.col("n")).alias("m"), F.col("first"), F.col(name).alias("name"))).alias("best")
+        found = each.groupBy(*key).agg(best, F.count(F.lit(1)).alias(f"unique_{name}s"))
+        return found.select(*key, F.col("best.name").alias(f"top_{name}"), (-F.col("best.m")).alias(f"top_{name}_requests"), f"unique_{name}s")
+
+    totals = counts.groupBy(*key).agg(F.sum("n").alias("total_requests"), F.sum("errors").alias("error_requests"))
+    windows = totals.join(leader("ip"), key).join(leader("endpoint").drop("unique_endpoints"), key)
+    patterns = traffic.with_patterns(windows, seconds, **thresholds)
+    shared = {k: thresholds[k] for k in ("request_threshold", "ip_threshold") if k in thresholds}
+    return traffic.with_risk(patterns, **shared)
 
 
-def stream_traffic_windows(lines: DataFrame, window: str, slide: str, delay: str) -> DataFrame:
-    counts = drain_updates(stream_traffic_counts(lines, window, slide, delay), "stream-traffic", ["window_start", "hostname", "ip"])
-    return traffic_by_window(counts)
+def stream_traffic_windows(lines: DataFrame, window: str, slide: str, delay: str, seconds: int, **thresholds: int) -> DataFrame:
+    """Flood detection on a stream: ``window`` spans ``seconds``; anomalous rows can go to ``alerts.ddos_events``."""
+    counts = drain_updates(stream_traffic_counts(lines, window, slide, delay), "stream-traffic", ["window_start", "hostname", "ip", "endpoint"])
+    return traffic_by_window(materialize(counts, "stream-counts"), seconds, **thresholds)
 
 
 def _in_order(parts: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(parts), ignore_index=True).sort_values(["_us", "seq"], kind="stable", ignore_index=True)
 
 
-def stream_cooldown(rows: DataFrame, keys: list[str], seconds: float, delay: str = "0 seconds") -> DataFrame:
+def stream_cooldown(rows: DataFrame, keys: list[str], seconds: float, delay: str | None = None) -> DataFrame:
     """Kept rows (keys, seq, _us) of a stream; the time of a key's last kept row is its state.
 
-    Only keys, time and sequence enter Python; a trigger's file or byte limit bounds what a key brings at once. State
-    goes once the watermark is a cooldown past it, when any further row would be kept anyway.
+    Without ``delay`` no row is dropped, however late: a row within a cooldown after the last kept row, or older than it,
+    is suppressed, and the first row of a key is kept. State is one number per key and stays. With ``delay`` state goes
+    once the watermark is a cooldown past it, and Spark drops rows that are older than the watermark.
+
+    Only keys, time and sequence enter Python; a trigger's file or byte limit bounds what a key brings at once.
     """
     span = int(seconds * 1_000_000)
-    timed = event_time(rows, delay).select(*keys, "seq", "ts", F.unix_micros("ts").alias("_us"))
+    timed = event_time(rows, delay) if delay else rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    timed = timed.select(*keys, "seq", "ts", F.unix_micros("ts").alias("_us"))
     schema = timed.drop("ts").schema
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -118,17 +136,20 @@ def stream_cooldown(rows: DataFrame, keys: list[str], seconds: float, delay: str
             return
         last = state.get[0] if state.exists else None
         batch = _in_order(parts)
-        kept = []
-        for i, us in enumerate(batch["_us"].tolist()):
-            if last is None or us - last >= span:
-                kept.append(i)
-                last = us
+        us, kept = batch["_us"].to_numpy(), []
+        at = 0 if last is None else int(us.searchsorted(last + span))
+        while at < len(us):  # from kept row to kept row
+            kept.append(at)
+            last = int(us[at])
+            at += int(us[at:].searchsorted(last + span))
         state.update((last,))
-        state.setTimeoutTimestamp(max((last + span) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        if delay:
+            state.setTimeoutTimestamp(max((last + span) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         if kept:
             yield batch.loc[kept, [*keys, "seq", "_us"]]
 
-    return timed.groupBy(*keys).applyInPandasWithState(step, schema, "last LONG", "append", GroupStateTimeout.EventTimeTimeout)
+    timeout = GroupStateTimeout.EventTimeTimeout if delay else GroupStateTimeout.NoTimeout
+    return timed.groupBy(*keys).applyInPandasWithState(step, schema, "last LONG", "append", timeout)
 
 
 def stream_metric_transitions(samples: DataFrame) -> DataFrame:
@@ -159,29 +180,43 @@ def stream_hourly_report(incidents: DataFrame, delay: str = "1 hour") -> DataFra
     return drain_updates(stream_hourly_counts(incidents, delay), "stream-hourly", ["hour"])
 
 
-def multi_sink(batch: DataFrame, batch_id: int, root: str) -> None:
-    """Write the decision, incident and alert tables of one triaged micro-batch, computed once."""
-    batch.persist()
-    try:
-        scored = batch.where("decision IS NOT NULL")
+def multi_sink(seconds: float) -> Callable[[DataFrame, int, str], None]:
+    """A sink that writes the decision, incident and alert tables of each triaged micro-batch, computed once.
+
+    Alerts pass the cooldown of host, label and source across batches: a batch meets the last alert of each key, which
+    the batches before left in a small table, and leaves the next state below its own id, so a retry finds the old one.
+    """
+
+    def sink(batch: DataFrame, batch_id: int, root: str) -> None:
+        spark, keys = batch.sparkSession, ["hostname", "prediction", "source_log"]
+        scored = materialize(batch.where("decision IS NOT NULL"), "stream-scored")
         decisions = scored.withColumns({"predicted_label": F.col("prediction"), "email_sent": F.col("email_required").cast("int"), "raw_log": F.col("raw_line")})
         files.append_table(decisions, root, "security_decisions", batch_id)
         incidents = scored.where("decision <> 'IGNORE'").withColumn("raw_log", F.col("raw_line"))
         files.append_table(incidents, root, "attack_logs", batch_id)
-        alerts = incidents.where(F.col("dispatch") & d.dispatchable(F.col("risk"), F.col("confidence"))).withColumns(
-            {"alert_type": F.lit("SECURITY_ATTACK"), "severity": F.col("risk"), "source": F.col("source_log"), "status": F.lit("ACTIVE")}
-        )
-        files.append_table(alerts, root, "alerts", batch_id)
-    finally:
-        batch.unpersist()
-
-
-def stream_multi_sink(lines: DataFrame, score: pipelines.Scorer) -> DataFrame:
-    """Triage a stream into three tables, and count their rows."""
+        passing = incidents.where(F.col("dispatch"))
+        state = "hostname STRING, prediction STRING, source_log STRING, ts TIMESTAMP_NTZ"
+        before = spark.read.schema(state).parquet(f"{root}/state/batch={batch_id - 1}") if batch_id else spark.createDataFrame([], state)
+        # The last alert of a key stands in front of the batch as a row of its own, and the chain goes on from it.
+        marked = passing.withColumn("_old", F.lit(False)).unionByName(before.withColumns({"_old": F.lit(True), "seq": F.lit(-1).cast("long")}), allowMissingColumns=True)
+        last = before.withColumnsRenamed({k: f"_l_{k}" for k in [*keys, "ts"]})
+        same = [marked[k].eqNullSafe(last[f"_l_{k}"]) for k in keys]
+        later = marked.join(last, same[0] & same[1] & same[2], "left").where(F.col("_l_ts").isNull() | (F.col("ts") >= F.col("_l_ts")))
+        sent = alerts.security_alerts(later.select(*marked.columns), seconds, also=("_old", "source_log"))
+        sent = materialize(sent, "stream-alerts")
+        files.append_table(sent.where("not _old"), root, "alerts", batch_id)
+        sent.groupBy(*keys).agg(F.max("ts").alias("ts")).write.mode("overwrite").parquet(f"{root}/state/batch={batch_id}")
+
+    return sink
+
+
+def stream_multi_sink(lines: DataFrame, score: pipelines.Scorer, seconds: float = alerts.COOLDOWN_SECONDS) -> DataFrame:
+    """Triage a stream into three tables, and count their rows and ids."""
     spark = lines.sparkSession
-    root = drain_batches(stream_triage(lines, score), "stream-tables", multi_sink)
-    tables = [files.read_table(spark, root, t).select(F.lit(t).alias("table_name")) for t in ("security_decisions", "attack_logs", "alerts")]
-    return tables[0].union(tables[1]).union(tables[2]).groupBy("table_name").agg(F.count(F.lit(1)).alias("n"))
+    root = drain_batches(stream_triage(lines, score), "stream-tables", multi_sink(seconds))
+    tables = [files.read_table(spark, root, t).select(F.lit(t).alias("table_name"), "id") for t in ("security_decisions", "attack_logs", "alerts")]
+    by_id = tables[0].union(tables[1]).union(tables[2]).groupBy("table_name", "id").agg(F.count(F.lit(1)).alias("c"))
+    return by_id.groupBy("table_name").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("ids"))
 
 
 def stream_late_data(rows: DataFrame, delay: str) -> DataFrame:

@@ -56,7 +56,7 @@ def test_confidence(spark, given, expected):
     ("label", "confidence", "text", "risk"),
     [
         ("Insecure_Deserialization", 0.0974, "", "SAFE"), ("SSH_BruteForce", 0.55, "", "SAFE"), ("ReverseShell", 0.30, "", "SAFE"),
-        ("SQL_Injection", 0.92, "", "HIGH"), ("SQL_Injection", 0.92, "cat /ETC/shadow", "CRITICAL"), ("SQL_Injection", 0.89, "cat /etc/shadow", "HIGH"),
+        ("SQL_Injection", 0.92, "", "HIGH"), ("SQL_Injection", 0.92, "cat /ETC/shadow", "CRITICAL"), ("SQL_Injection", 0.89, "cat /etc/shadow", "HIGH"), ("SQL_Injection", 0.95, "cat /etc/pas\u017f\u017fwd", "HIGH"),
         ("ReverseShell", 0.95, None, "CRITICAL"), ("PortScanning", 0.80, "root", "MEDIUM"), ("Benign", 0.95, "root", "SAFE"), ("Benign", 0.50, "", "LOW"), ("RCE", 0.99, "root", "MEDIUM"),
     ],
 )

@@ -83,10 +83,10 @@ def test_notices(spark):
     out = alerts.resource_outbox(alerts.alert_lifecycle(samples(spark, [97, 10]), 900)).orderBy("seq").collect()
     assert out[0].subject == "🚨 [CRITICAL] CPU_CRITICAL Notification - vps"
     assert out[0].description == "CPU usage reached CRITICAL state: 97.0% (Threshold: 95.0%)."
-    assert "Current Metrics:\ncpu_percent: 97.0\n\nRecommended Action:\nInspect" in out[0].body
+    assert "figures\n  cpu_percent: 97.0\n\nwhat to do\n  Inspect" in out[0].body
     assert out[1].subject == "✅ [NORMAL] RECOVERY Notification - vps" and out[1].description == "CPU usage returned to NORMAL state: 10.0%."
     mail = alerts.attack_outbox(alerts.security_alerts(spark.createDataFrame([incident(0)], INCIDENT), 3)).first()
-    assert mail.subject == "🚨 [HIGH] Threat Alert: XSS on vps" and "AI Confidence   : 90.00%" in mail.body and "Cross-site scripting" in mail.body
+    assert mail.subject == "🚨 [HIGH] Threat Alert: XSS on vps" and "confidence = 90.00%\nhost = vps" in mail.body and "Cross-site scripting" in mail.body
 
 
 def test_flood_events_and_notices(spark):

@@ -32,13 +32,28 @@ def test_tail_resumes_where_it_stopped(spark, tmp_path):
 
 
 def test_retried_batch_replaces_its_rows(spark, tmp_path):
-    rows = spark.createDataFrame([(1, START, "vps", "XSS")], "seq LONG, ts TIMESTAMP_NTZ, hostname STRING, prediction STRING")
+    full = "seq LONG, ts TIMESTAMP_NTZ, hostname STRING, source_log STRING, raw_log STRING, clean_text STRING, prediction STRING, confidence DOUBLE, risk STRING"
+    rows = spark.createDataFrame([(1, START, "vps", "/a", "x", "x", "XSS", 0.9, "HIGH")], full)
     for _ in range(2):
         files.append_table(rows, str(tmp_path), "attack_logs", batch_id=7)
     assert files.read_table(spark, str(tmp_path), "attack_logs").count() == 1
     files.append_table(rows.withColumn("seq", F.col("seq") + 1), str(tmp_path), "attack_logs", batch_id=8)
     events = files.read_table(spark, str(tmp_path), "security_events")
     assert events.count() == 2 and events.select("id").distinct().count() == 2
+    assert dict(events.dtypes)["confidence"] == "double" and dict(events.dtypes)["timestamp"] == "timestamp_ntz"
+    with pytest.raises(ValueError):
+        files.append_table(rows.drop("risk"), str(tmp_path), "attack_logs")
+    assert files.read_table_since(spark, str(tmp_path), "attack_logs", START).count() == 2
+    assert files.read_table_since(spark, str(tmp_path), "attack_logs", START + timedelta(days=1)).count() == 0
+
+
+def test_line_ends_and_paths(spark, tmp_path):
+    folder = tmp_path / "a b+c"
+    folder.mkdir()
+    (folder / "x.log").write_bytes(b"one\rtwo\r\nthree\n \nfour")
+    rows = logs.read_log_lines(spark, [str(folder)]).collect()
+    assert sorted(r.raw_line for r in rows) == ["four", "one", "three", "two"]
+    assert {r.source_log for r in rows} == {str(folder / "x.log")}
 
 
 def test_label_map(spark, tmp_path):
@@ -111,8 +126,33 @@ def test_triage_routes(spark, lines):
 
 
 def test_multi_sink(spark, lines):
-    counts = {r.table_name: r.n for r in jobs.stream_multi_sink(segments(spark, lines), keyword_scorer).collect()}
-    assert counts == {"security_decisions": 20, "attack_logs": 20, "alerts": 10}
+    for seconds, alerts in ((10, 4), (900, 1), (1, 10)):  # attacks are four seconds apart, and the cooldown spans batches
+        counts = {r.table_name: (r.n, r.ids) for r in jobs.stream_multi_sink(segments(spark, lines), keyword_scorer, seconds).collect()}
+        assert counts == {"security_decisions": (20, 20), "attack_logs": (20, 20), "alerts": (alerts, alerts)}
+
+
+def test_cooldown_of_a_stream_keeps_late_rows_of_other_keys(spark):
+    rows = spark.createDataFrame([(i, START + timedelta(seconds=100 * i), "a") for i in range(5)] + [(5, START, "b")], "seq LONG, ts TIMESTAMP_NTZ, k STRING")
+    kept = jobs.drain(jobs.stream_cooldown(segments(spark, rows), ["k"], 20), "c")
+    assert sorted(r.seq for r in kept.collect()) == [0, 1, 2, 3, 4, 5]
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from hostvigil import session
+
+    class Context:
+        master, applicationId = "yarn", "app-1"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext, conf = Context(), {}
+
+    with pytest.raises(ValueError):
+        session.work_root(Session())
+    Context.master = "local[4]"
+    assert session.work_root(Session()) == session.work_root(Session())
 
 
 def test_ad_hoc_analysis_scores_what_triage_drops(spark, lines):

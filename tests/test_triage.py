@@ -156,6 +156,7 @@ def test_sanitize(spark):
 def test_tokens(spark):
     frame = spark.createDataFrame([("Hello, WORLD_x 42 Été!",)], "x STRING")
     assert frame.select(tokens(F.col("x"))).first()[0] == ["hello", "world", "x", "42", "été"]
+    assert frame.select(tokens(F.col("x"), 2)).first()[0] == ["hello", "world"]
 
 
 def test_access_line(spark):
