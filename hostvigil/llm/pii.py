@@ -27,34 +27,39 @@ LEAST_SUPPORT, LEAST_PRECISION, ROUNDS = 3.0, 0.6, 4
 MAX_SHARED = 200_000
 OUTPUT = (*[f"n_{k}" for k in KINDS], "base_sha256", "spans")
 
+BLOCK = 128
+_PAIRS = "array<struct<m:string,p:string>>"
 _FOUND = "array<struct<start:bigint,end:bigint,value:string,before:string>>"
 _SPANS = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
 
 
-def located(text: Column, matches: Column, pattern: str) -> Column:
-    """Start, end, value and the text before of each match, in code points, from the pieces between matches."""
+def pairs(text: Column, matches: Column, pattern: str) -> Column:
+    """Each match (m) with the piece of text before it (p)."""
     pieces = F.slice(F.split(text, pattern, -1), 1, F.size(matches))
-    walk = F.aggregate(
-        F.arrays_zip(matches.alias("m"), pieces.alias("p")),
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("last"), F.array().cast(_FOUND).alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["p"]) + F.length(x["m"])).cast("bigint").alias("at"),
-            x["m"].alias("last"),
-            F.concat(
-                acc["out"],
-                F.array(
-                    F.struct(
-                        (acc["at"] + F.length(x["p"])).cast("bigint").alias("start"),
-                        (acc["at"] + F.length(x["p"]) + F.length(x["m"])).cast("bigint").alias("end"),
-                        x["m"].alias("value"),
-                        F.right(F.concat(acc["last"], x["p"]), F.lit(BEFORE)).alias("before"),
-                    )
-                ),
-            ).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(F.size(matches) > 0, walk).otherwise(F.array().cast(_FOUND))
+    return F.when(F.size(matches) > 0, F.arrays_zip(matches.alias("m"), pieces.alias("p"))).otherwise(F.array().cast(_PAIRS))
+
+
+def located(zipped: Column) -> Column:
+    """Start, end, value and the text before of each match, in code points, from stored pairs.
+
+    Lengths are added up block by block, and blocks are joined at the end: an array that grows by one element is copied
+    each time, which a text of very many matches would feel.
+    """
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["p"])
+        end = (start + F.length(x["m"])).cast("bigint")
+        found = F.struct(start.cast("bigint").alias("start"), end.alias("end"), x["m"].alias("value"), F.right(F.concat(acc["last"], x["p"]), F.lit(BEFORE)).alias("before"))
+        return F.struct(end.alias("at"), x["m"].alias("last"), F.concat(acc["out"], F.array(found)).alias("out"))
+
+    def block(acc: Column, i: Column) -> Column:
+        begin = F.struct(acc["at"].alias("at"), acc["last"].alias("last"), F.array().cast(_FOUND).alias("out"))
+        inner = F.aggregate(F.slice(zipped, i * BLOCK + 1, F.lit(BLOCK)), begin, step)
+        return F.struct(inner["at"].alias("at"), inner["last"].alias("last"), F.concat(acc["out"], F.array(inner["out"])).alias("out"))
+
+    blocks = F.sequence(F.lit(0), F.floor((F.size(zipped) - 1) / BLOCK).cast("int"))
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("last"), F.array().cast(f"array<{_FOUND}>").alias("out"))
+    return F.when(F.size(zipped) > 0, F.aggregate(blocks, start, block, lambda acc: F.flatten(acc["out"]))).otherwise(F.array().cast(_FOUND))
 
 
 def digits(value: Column) -> Column:
@@ -113,11 +118,13 @@ def base_spans(docs: DataFrame, text: str) -> DataFrame:
     rows = rows.withColumns(
         {f"_hv_m{k}": F.when(F.contains(t, F.lit(HINTS[k])) if k in HINTS else F.lit(True), F.regexp_extract_all(t, F.lit(p), F.lit(0))).otherwise(none) for k, p in [*PATTERNS.items(), ("other", CANDIDATE)]}
     )
-    rows = _once(rows, [f"_hv_m{k}" for k in [*KINDS, "other"]])
-    rows = rows.withColumns({f"_hv_{k}": _kept(k, located(t, F.col(f"_hv_m{k}"), p)) for k, p in PATTERNS.items()})
-    rows = _once(rows, [f"_hv_{k}" for k in KINDS])
-    rows = rows.withColumn("_hv_base", _all_base())
-    return rows.withColumn("_hv_found", located(t, F.col("_hv_mother"), CANDIDATE)).drop(*[f"_hv_m{k}" for k in [*KINDS, "other"]])
+    every = [*PATTERNS.items(), ("other", CANDIDATE)]
+    rows = _once(rows, [f"_hv_m{k}" for k, _ in every])
+    rows = rows.withColumns({f"_hv_z{k}": pairs(t, F.col(f"_hv_m{k}"), p) for k, p in every}).drop(*[f"_hv_m{k}" for k, _ in every])
+    rows = _once(rows, [f"_hv_z{k}" for k, _ in every])
+    rows = rows.withColumns({f"_hv_{k}": _kept(k, located(F.col(f"_hv_z{k}"))) for k in KINDS}).withColumn("_hv_found", located(F.col("_hv_zother")))
+    rows = _once(rows.drop(*[f"_hv_z{k}" for k, _ in every]), [*[f"_hv_{k}" for k in KINDS], "_hv_found"])
+    return _once(rows.withColumn("_hv_base", _all_base()), ["_hv_base"])
 
 
 def _once(frame: DataFrame, names: list[str]) -> DataFrame:
