@@ -76,12 +76,39 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_token_counts, op2_simhash, op3_decontamination, op4_language, op5_personal_data, op6_fertility, op7_warc, op8_mixing, op9_quality, op10_toxicity,
 )}
 
+_FOLD = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"coalesce(regexp_extract_all({_FOLD}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+'), [])"
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_decontamination": f"""
+WITH items AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+windows AS (SELECT DISTINCT item, least(len(w), 13) AS k, array_to_string(w[i : i + least(len(w), 13) - 1], ' ') AS s FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM items WHERE len(w) > 0)),
+docs AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+places AS (SELECT r, k, i, array_to_string(w[i : i + k - 1], ' ') AS s FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM docs, (SELECT DISTINCT k FROM windows) WHERE len(w) >= k)),
+hits AS (SELECT r, i, k, item FROM places JOIN windows USING (k, s)),
+covered AS (SELECT r, count(DISTINCT pos) AS n FROM (SELECT r, unnest(range(i, i + k)) AS pos FROM hits) GROUP BY r),
+found AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hits WHERE item IS NOT NULL) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(c.n, 0) AS n_hit, coalesce(f.n, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(c.n, 0) > 0 AND 20 * coalesce(c.n, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN covered c USING (r) LEFT JOIN found f USING (r)
+""",
     "op7_warc": """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
 m AS (SELECT d, max(page_id) AS first FROM p WHERE n >= 1000 GROUP BY d)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.d AS payload_digest, CASE WHEN n >= 1000 AND page_id < first THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN n >= 1000 AND page_id < first THEN first END AS refers_to, CAST(NULL AS VARCHAR) AS problem
 FROM p LEFT JOIN m ON p.d = m.d
+""",
+    "op8_mixing": """
+WITH sized AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size, text,
+  (CAST('0x' || substr(md5('42|' || coalesce(CAST(doc_id AS VARCHAR), '-') || '|' || md5(coalesce(text, ''))), 1, 13) AS BIGINT) + CAST(0.5 AS DOUBLE)) / CAST(4503599627370496 AS DOUBLE) AS u FROM documents),
+drawn AS (SELECT *, pow(u, 1 / coalesce(greatest(CAST(0.25 AS DOUBLE), 1 - abs(length(text) / CAST(greatest(size, 1) AS DOUBLE) - 1 - 6) / 12), CAST(0.25 AS DOUBLE))) AS draw FROM sized),
+sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS s, [CAST(5 AS DOUBLE), 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)] AS w FROM sized GROUP BY source),
+poured AS (SELECT *, sum(s) OVER () - 3 * (sum(s) OVER o - s) AS rest, sum(w) OVER () - (sum(w) OVER o - w) AS open FROM sources WINDOW o AS (ORDER BY s / w, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+level AS (SELECT rest, open FROM poured WHERE CAST(rest AS DOUBLE) * w / open <= 3 * s ORDER BY s / w, source NULLS LAST LIMIT 1),
+targets AS (SELECT source, s, CASE WHEN CAST(l.rest AS DOUBLE) * w / l.open > 3 * s THEN CAST(3 * s AS DOUBLE) ELSE CAST(l.rest AS DOUBLE) * w / l.open END AS target FROM sources, level l),
+plan AS (SELECT *, CASE WHEN s > 0 THEN least(CAST(floor(target / s) AS BIGINT), 3) ELSE 0 END AS epochs FROM targets),
+ordered AS (SELECT d.doc_id, d.size, p.s, p.target, p.epochs, CASE WHEN p.epochs >= 3 THEN 0 ELSE CAST(round(p.target - p.epochs * p.s) AS BIGINT) END AS rest,
+  sum(d.size) OVER (PARTITION BY d.source ORDER BY d.draw DESC, d.doc_id ROWS UNBOUNDED PRECEDING) - d.size AS ahead FROM drawn d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, size, s AS source_size, target, CAST(epochs * size + greatest(0, least(size, rest - ahead)) AS BIGINT) AS taken FROM ordered
 """,
 }
