@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from hostvigil.functions import patterns as p
 from hostvigil.operators.ordered import evaluate_once
 from hostvigil.functions.text import fold_case, is_blank, java_regex, matches, sanitize, strip
 
-MAX_PATTERN_ROWS = 1000
+PATTERN_BLOCK = 200
 
 
 def _first_true(tests: list[tuple[Column, Column]]) -> Column:
@@ -82,19 +83,20 @@ def escaped_keyword(keyword: str) -> str:
 def first_pattern_match(lines: DataFrame, table: DataFrame, column: str = "raw_line") -> DataFrame:
     """Join each line to the first row of a (pattern_id, pattern) table that matches it.
 
-    The table is a dimension: its size is checked, and it becomes compiled branches of one expression, so no line
-    meets another row and nothing is shuffled.
+    The table is a dimension that users write. It is read in blocks, and each block becomes compiled branches of one step
+    that only lines without a match enter, so no line meets another row, nothing is shuffled, and no size is refused.
     """
-    rows = table.select("pattern_id", "pattern").orderBy("pattern_id").limit(MAX_PATTERN_ROWS + 1).collect()
-    if len(rows) > MAX_PATTERN_ROWS:
-        raise ValueError(f"a pattern table may hold at most {MAX_PATTERN_ROWS} rows")
-    found = _first_true([(matches(F.col(column), row.pattern), F.lit(i)) for i, row in enumerate(rows)])
-    numbered = lines.withColumn("_hit", found)
-    return numbered.select(
-        *lines.columns,
-        F.get(F.lit([row.pattern_id for row in rows]), F.col("_hit")).alias("pattern_id"),
-        F.get(F.lit([row.pattern for row in rows]), F.col("_hit")).alias("pattern"),
-    )
+    found = lines.withColumns({"_id": F.lit(None).cast(table.schema["pattern_id"].dataType), "_found": F.lit(None).cast("string")})
+    rows = table.select("pattern_id", "pattern").where("pattern IS NOT NULL").orderBy("pattern_id").toLocalIterator()
+    while block := list(islice(rows, PATTERN_BLOCK)):
+        hit = F.when(F.col("_found").isNull(), _first_true([(matches(F.col(column), row.pattern), F.lit(i)) for i, row in enumerate(block)]))
+        step = evaluate_once(found.withColumn("_hit", hit), "_hit")
+        found = step.select(
+            *lines.columns,
+            F.coalesce("_id", F.get(F.lit([row.pattern_id for row in block]), F.col("_hit"))).alias("_id"),
+            F.coalesce("_found", F.get(F.lit([row.pattern for row in block]), F.col("_hit"))).alias("_found"),
+        )
+    return found.select(*lines.columns, F.col("_id").alias("pattern_id"), F.col("_found").alias("pattern"))
 
 
 def guarded_match(line: Column, folded: Column, table: list[str], guards: list[list[str]]) -> Column:

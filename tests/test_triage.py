@@ -103,10 +103,14 @@ def test_pattern_table_equals_the_chain(spark):
     assert joined == [r.matched_pattern for r in classify(spark, lines)]
 
 
-def test_pattern_table_size_is_checked(spark):
-    table = spark.range(triage.MAX_PATTERN_ROWS + 1).selectExpr("CAST(id AS INT) AS pattern_id", "'x' AS pattern")
-    with pytest.raises(ValueError):
-        triage.first_pattern_match(spark.createDataFrame([("x",)], "raw_line STRING"), table)
+def test_pattern_tables_of_any_size(spark):
+    n = 2 * triage.PATTERN_BLOCK + 5
+    table = spark.range(n).selectExpr("CAST(id AS INT) AS pattern_id", "concat('^x', id, '$') AS pattern")
+    frame = spark.createDataFrame([(i, f"x{i}") for i in (0, 7, n - 1, n)], "seq INT, raw_line STRING")
+    found = triage.first_pattern_match(frame, table.unionByName(table.withColumn("pattern_id", F.col("pattern_id") + n)))
+    assert {r.seq: r.pattern_id for r in found.collect()} == {0: 0, 7: 7, n - 1: n - 1, n: None}
+    empty = triage.first_pattern_match(frame, table.limit(0))
+    assert {r.pattern_id for r in empty.collect()} == {None}
 
 
 @pytest.mark.parametrize(
