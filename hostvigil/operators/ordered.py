@@ -101,25 +101,28 @@ def ordered_scan(frame: DataFrame, keys: Sequence[str], order: Sequence[str], ru
     return frame.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
-def cooldown(frame: DataFrame, keys: Sequence[str], seconds: float, ts: str = "ts", seq: str = "seq", cells: int = 65_536) -> DataFrame:
+def cooldown(frame: DataFrame, keys: Sequence[str], seconds: float, ts: str = "ts", seq: str = "seq", spans: int = 8) -> DataFrame:
     """Keep a row if no kept row of its key lies less than ``seconds`` before it. Suppressed rows extend nothing.
 
-    Which rows are kept is a chain from the first row on, so a key is followed in order. To keep that walk short for a
-    key with very many rows, time is cut into ``cells`` per cooldown, and each cell is reduced to its first and last
-    instant before anything is sorted. The n-th kept row then lies between two bounds that advance over the cells alone
-    (a later start never leads to an earlier successor). Only rows in cells within those bounds reach the exact walk.
+    Which rows are kept is a chain from the first row on. Time is cut into chunks of ``spans`` cooldowns, and each chunk
+    is followed on its own from every instant at which the chain may enter it, all in its first cooldown: such chains
+    soon meet, so a chunk is a short list of entries with the instant at which the next row is due after it. Walking those
+    lists along a key gives each chunk its entry, and the chunks then mark their rows, again on their own. So a key with
+    very many rows is spread over as many tasks as it has chunks. A row without a time cannot be placed and is left out.
     """
     span = int(seconds * 1_000_000)
-    width = max(1, span // cells)
-    timed = frame.withColumn("_us", micros(ts)).withColumn("_cell", F.floor(F.col("_us") / F.lit(width)).cast("long"))
     if span <= 0:
         return frame
-    extent = timed.groupBy(*keys, "_cell").agg(F.min("_us").alias("_lo"), F.max("_us").alias("_hi"))
-    schema = T.StructType([*[extent.schema[k] for k in keys], extent.schema["_cell"]])
-    possible = ordered_scan(extent, keys, ["_cell"], _BoundScan(list(keys), span), schema)
-    candidates = null_safe_join(timed, possible, [*keys, "_cell"], "left_semi")
-    kept = ordered_scan(candidates, keys, ["_us", seq], _CooldownScan(list(keys), span), candidates.schema)
-    return kept.drop("_us", "_cell")
+    chunk = [*keys, "_chunk"]
+    timed = frame.withColumn("_us", micros(ts)).where("_us IS NOT NULL").withColumn("_chunk", F.floor(F.col("_us") / F.lit(span * spans)).cast("long"))
+    types = [timed.schema[k] for k in chunk]
+    longs = T.ArrayType(T.LongType())
+    instants = timed.select(*chunk, "_us").distinct()
+    entries = ordered_scan(instants, chunk, ["_us"], _EntryScan(chunk, span, spans), T.StructType([*types, T.StructField("starts", longs), T.StructField("exits", longs)]))
+    due = ordered_scan(entries, keys, ["_chunk"], _DueScan(list(keys), chunk), T.StructType([*types, T.StructField("_due", T.LongType())]))
+    joined = null_safe_join(timed, due, chunk, "inner")
+    kept = ordered_scan(joined, chunk, ["_us", seq], _CooldownScan(chunk, span), joined.schema)
+    return kept.drop("_us", "_chunk", "_due")
 
 
 def _segments(batch: pa.RecordBatch, keys: list[str]) -> Iterator[tuple[tuple, int, int]]:
@@ -137,48 +140,94 @@ def _segments(batch: pa.RecordBatch, keys: list[str]) -> Iterator[tuple[tuple, i
         yield tuple(c[int(start)].as_py() for c in columns), int(start), int(end)
 
 
-class _BoundScan:
-    """Cells that may hold a kept row: a lower and an upper chain walk over the extents of the cells."""
+def _rows(keys: list[tuple], fields: dict[str, list], schema: pa.Schema, names: list[str]) -> pa.RecordBatch:
+    arrays = [pa.array([k[i] for k in keys], schema.field(n).type) for i, n in enumerate(names)]
+    return pa.RecordBatch.from_arrays([*arrays, *[pa.array(v, pa.list_(pa.int64()) if n != "_due" else pa.int64()) for n, v in fields.items()]], names=[*names, *fields])
 
-    def __init__(self, keys: list[str], span: int):
-        self.keys, self.span = keys, span
+
+class _EntryScan:
+    """For each chunk: instants at which a chain may enter it, and when the next row is due after the chunk."""
+
+    def __init__(self, chunk: list[str], span: int, spans: int):
+        self.chunk, self.span, self.length = chunk, span, span * spans
+
+    def grow(self, state: tuple, key: tuple, us: np.ndarray) -> tuple:
+        """Let the chains see more instants of their chunk, and start new ones at those that can be first."""
+        starts, due = state
+        limit = key[-1] * self.length + self.span  # no chain is due later when it enters
+        if not starts.size or starts[-1] < limit:
+            new = us[: int(us.searchsorted(limit)) + 1]
+            starts, due = np.concatenate([starts, new]), np.concatenate([due, new + self.span])
+        while True:
+            at = us.searchsorted(due)
+            hit = at < len(us)
+            if not hit.any():
+                break
+            due = np.where(hit, us[np.minimum(at, len(us) - 1)] + self.span, due)
+        last = np.append(due[1:] != due[:-1], True)  # of chains that have met, the latest start stands for all
+        return starts[last], due[last]
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current = object()
-        low = high = depth = 0
+        none = np.empty(0, dtype=np.int64)
+        current, state, done, schema = None, (none, none), [], None
         for batch in batches:
-            lo, hi = (batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("_lo", "_hi"))
-            keep = np.zeros(batch.num_rows, dtype=bool)
-            for key, start, end in _segments(batch, self.keys):
+            schema = batch.schema
+            us = batch.column(schema.get_field_index("_us")).to_numpy()
+            for key, start, end in _segments(batch, self.chunk):
                 if key != current:
-                    current, low, high, depth = key, lo[start], lo[start], 0
-                for i in range(start, end):
-                    a, b = lo[i], hi[i]
-                    if b >= low:
-                        low = max(a, low) + self.span
-                        depth += 1
-                    keep[i] = depth > 0
-                    if b >= high:
-                        high = (a if a >= high else b) + self.span
-                        depth -= 1
-            if keep.any():
-                yield batch.select([*self.keys, "_cell"]).filter(pa.array(keep))
+                    if current is not None:
+                        done.append((current, state))
+                    current, state = key, (none, none)
+                state = self.grow(state, key, us[start:end])
+            if len(done) > 1000:
+                yield self.made(done, schema)
+                done = []
+        if current is not None:
+            yield self.made([*done, (current, state)], schema)
+
+    def made(self, done: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+        return _rows([k for k, _ in done], {"starts": [s for _, (s, _) in done], "exits": [d for _, (_, d) in done]}, schema, self.chunk)
+
+
+class _DueScan:
+    """Along the chunks of a key: when the next row is due as each chunk begins."""
+
+    def __init__(self, keys: list[str], chunk: list[str]):
+        self.keys, self.chunk = keys, chunk
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = np.iinfo(np.int64).min
+        current, due = object(), first
+        for batch in batches:
+            columns = [batch.column(batch.schema.get_field_index(k)).to_pylist() for k in self.chunk]
+            starts, exits = (batch.column(batch.schema.get_field_index(n)) for n in ("starts", "exits"))
+            rows, out = list(zip(*columns)), []
+            for i, row in enumerate(rows):
+                if row[:-1] != current:
+                    current, due = row[:-1], first
+                out.append(due)
+                entry = starts[i].values.to_numpy()
+                at = int(entry.searchsorted(due))
+                if at < len(entry):
+                    due = exits[i].values[at].as_py()
+            if rows:
+                yield _rows(rows, {"_due": out}, batch.schema, self.chunk)
 
 
 class _CooldownScan:
-    """The exact walk: jump from each kept row to the first one at least ``span`` later."""
+    """The rows of a chunk that the chain meets, jumping from each to the first one at least ``span`` later."""
 
-    def __init__(self, keys: list[str], span: int):
-        self.keys, self.span = keys, span
+    def __init__(self, chunk: list[str], span: int):
+        self.chunk, self.span = chunk, span
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, due = object(), 0
         for batch in batches:
-            us = batch.column(batch.schema.get_field_index("_us")).to_numpy()
+            us, entry = (batch.column(batch.schema.get_field_index(n)).to_numpy() for n in ("_us", "_due"))
             hits = []
-            for key, start, end in _segments(batch, self.keys):
+            for key, start, end in _segments(batch, self.chunk):
                 if key != current:
-                    current, due = key, int(us[start])
+                    current, due = key, int(entry[start])
                 at = start + int(np.searchsorted(us[start:end], due))
                 while at < end:
                     hits.append(at)

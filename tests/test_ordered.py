@@ -23,16 +23,16 @@ def greedy(rows, seconds):
     return sorted(kept)
 
 
-@pytest.mark.parametrize("cells", [1, 3, 50, 65_536])
+@pytest.mark.parametrize("spans", [1, 2, 8, 500])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_cooldown_equals_the_plain_loop(spark, cells, seed):
+def test_cooldown_equals_the_plain_loop(spark, spans, seed):
     """One key holds most rows, with gaps, dense runs and equal instants; a NULL key counts as a key."""
     draw = random.Random(seed)
     rows = []
     for _ in range(3000):
         key = "hot" if draw.random() < 0.7 else draw.choice(["a", "b", None])
         rows.append((key, round(draw.choice([draw.uniform(0, 4000), draw.uniform(9000, 9100), 500.0]), draw.choice([0, 3, 6]))))
-    got = ordered.cooldown(series(spark, rows).repartition(6), ["k"], 60, cells=cells)
+    got = ordered.cooldown(series(spark, rows).repartition(6), ["k"], 60, spans=spans)
     assert sorted(r.seq for r in got.collect()) == greedy(rows, 60)
 
 
@@ -46,16 +46,35 @@ def test_suppressed_rows_do_not_extend_a_cooldown(spark):
     assert sorted(r.seq for r in ordered.cooldown(series(spark, rows), ["k"], 10).collect()) == [0, 10, 20, 30]
 
 
-def test_cooldown_prunes_a_dense_key_before_the_walk(spark):
-    """Of 200,000 rows of one key, only those near a possible alert reach the ordered walk."""
+def test_cooldown_of_a_dense_key_in_small_batches(spark):
+    """One key holds all rows; a chunk arrives in several batches."""
     rows = spark.range(200_000).select(F.lit("hot").alias("k"), F.timestamp_micros(F.col("id") * 5_000).cast("timestamp_ntz").alias("ts"), F.col("id").alias("seq"))
-    kept = ordered.cooldown(rows, ["k"], 100, cells=5000)
-    assert [r.seq for r in kept.orderBy("seq").collect()] == list(range(0, 200_000, 20_000))
-    span, width = 100_000_000, 100_000_000 // 5000
-    timed = rows.withColumn("_us", ordered.micros("ts")).withColumn("_cell", F.floor(F.col("_us") / width).cast("long"))
-    extent = timed.groupBy("k", "_cell").agg(F.min("_us").alias("_lo"), F.max("_us").alias("_hi"))
-    schema = extent.select("k", "_cell").schema
-    assert ordered.ordered_scan(extent, ["k"], ["_cell"], ordered._BoundScan(["k"], span), schema).count() < 200
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7000)
+    try:
+        kept = ordered.cooldown(rows, ["k"], 100, spans=3)
+        assert [r.seq for r in kept.orderBy("seq").collect()] == list(range(0, 200_000, 20_000))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_chains_of_a_chunk_meet():
+    import numpy as np
+
+    scan = ordered._EntryScan(["k", "_chunk"], 100, 8)
+    us = np.arange(0, 800, 7)
+    state = (np.empty(0, np.int64), np.empty(0, np.int64))
+    for part in np.array_split(us, 5):
+        state = scan.grow(state, ("a", 0), part)
+    for due in range(0, 100):
+        last, want = None, due
+        for t in us:
+            if t >= want:
+                last, want = t, t + 100
+        at = state[0].searchsorted(due)
+        assert state[1][at] == last + 100
+    sparse = scan.grow((np.empty(0, np.int64), np.empty(0, np.int64)), ("a", 0), np.array([5, 50, 130, 160, 700]))
+    assert list(sparse[1]) == [800]
 
 
 def test_cooldown_keeps_all_columns(spark):
