@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window
 
 from hostvigil.operators.ordered import _segments, evaluate_once, micros, null_safe_join, ordered_scan
 from hostvigil.session import materialize
@@ -45,11 +46,11 @@ def with_cells(requests: DataFrame, seconds: int, group_rows: int = GROUP_ROWS)
 
 
 def sliding_window(
-    requests: DataFrame, seconds: int, full: bool, total: str = "total_requests", source: DataFrame | None = None
+    requests: DataFrame, seconds: int, total: str = "total_requests", source: DataFrame | None = None
 ) -> DataFrame:
     """Aggregates over the requests of the same host in [t - seconds, t], one row per request.
 
-    Requests at the same instant count only if they arrived earlier. ``full`` adds distinct IPs, the most frequent IP
+    Requests at the same instant count only if they arrived earlier. Adds the total, distinct IPs, the most frequent IP
     and endpoint with their counts (first seen wins a tie), and error responses.
 
     No pairs are formed. A host's time line is cut into cells, and each cell is one ordered scan over its own requests
@@ -61,19 +62,16 @@ def sliding_window(
     timed = _with_cell(requests, span)
 
     row = F.struct(*[F.col(c) for c in requests.columns])
-    error = F.coalesce((F.col("status") >= 400).cast("long"), F.lit(0).cast("long")) if full else F.lit(0).cast("long")
-    ip = F.col("ip") if full else F.lit(None).cast("string")
-    endpoint = F.col("endpoint") if full else F.lit(None).cast("string")
-    shared = [F.col("hostname"), F.col("_us"), F.col("seq"), F.lit(1).cast("long").alias("_n"), ip.alias("_ip"), endpoint.alias("_endpoint"), error.alias("_error")]
+    error = F.coalesce((F.col("status") >= 400).cast("long"), F.lit(0).cast("long"))
+    shared = [F.col("hostname"), F.col("_us"), F.col("seq"), F.lit(1).cast("long").alias("_n"), F.col("ip").alias("_ip"), F.col("endpoint").alias("_endpoint"), error.alias("_error")]
     own = timed.select(*shared, row.alias("_row"), F.explode(F.array(_place(F.col("_cell"), 2), _place(F.col("_cell") + F.col("_m"), 0))).alias("_p"))
     laid = own.select(
         "hostname", "_p.cell", "_p.role", "_us", "seq", "_n", "_ip", "_endpoint", "_error", F.when(F.col("_p.role") == 2, F.col("_row")).alias("_row")
     )
     middle = _with_cell(requests if source is None else source, span).where(F.col("_m") > 1)
     # Without a column of cells no host is split, and there is no middle.
-    names = () if "_m" not in requests.columns else ("_ip", "_endpoint") if full else (None,)
-    for name in names:
-        group = middle.select(*shared, "_cell", "_m").groupBy("hostname", "_cell", "_m", *([name] if name else []))
+    for name in ("_ip", "_endpoint") if "_m" in requests.columns else ():
+        group = middle.select(*shared, "_cell", "_m").groupBy("hostname", "_cell", "_m", name)
         counted = group.agg(
             F.count(F.lit(1)).alias("_n"), F.min(F.struct("_us", "seq")).alias("_f"), F.sum("_error").alias("_error")
         ).withColumn("cell", F.explode(F.sequence(F.col("_cell") + 1, F.col("_cell") + F.col("_m") - 1)))
@@ -85,19 +83,44 @@ def sliding_window(
             )
         )
     fields = [T.StructField("_row", laid.schema["_row"].dataType), T.StructField(total, T.LongType())]
-    if full:
-        fields += [
-            T.StructField("unique_ips", T.LongType()),
-            T.StructField("top_ip", T.StringType()),
-            T.StructField("top_ip_requests", T.LongType()),
-            T.StructField("top_endpoint", T.StringType()),
-            T.StructField("top_endpoint_requests", T.LongType()),
-            T.StructField("error_requests", T.LongType()),
-        ]
-    scanned = ordered_scan(laid, ["hostname", "cell"], ["role", "_us", "seq"], _WindowScan(span, full), T.StructType(fields))
+    fields += [
+        T.StructField("unique_ips", T.LongType()),
+        T.StructField("top_ip", T.StringType()),
+        T.StructField("top_ip_requests", T.LongType()),
+        T.StructField("top_endpoint", T.StringType()),
+        T.StructField("top_endpoint_requests", T.LongType()),
+        T.StructField("error_requests", T.LongType()),
+    ]
+    scanned = ordered_scan(laid, ["hostname", "cell"], ["role", "_us", "seq"], _WindowScan(span), T.StructType(fields))
     return scanned.select("_row.*", *[f.name for f in fields[1:]])
 
 
+def sliding_count(requests: DataFrame, seconds: int, total: str, source: DataFrame | None = None) -> DataFrame:
+    """Number of requests of the same host in [t - seconds, t], one row per request, in window functions alone.
+
+    The cells are those of ``sliding_window``: a cell holds its own requests and those of the cell a window before. A
+    request counts what stands before it in its cell, plus the older cell without what has left the window, plus the
+    cells in between, which enter as counts.
+    """
+    span = int(seconds * 1_000_000)
+    timed = _with_cell(requests, span)
+    own = F.lit(1).cast("long")
+    laid = timed.withColumn("_p", F.explode(F.array(F.struct(F.col("_cell").alias("cell"), own.alias("own")), F.struct((F.col("_cell") + F.col("_m")).alias("cell"), (own - 1).alias("own")))))
+    laid = laid.withColumns({"_at": F.col("_p.cell"), "_own": F.col("_p.own")}).drop("_p")
+    cell = Window.partitionBy("hostname", "_at")
+    seen = F.sum("_own").over(cell.orderBy("_us", "seq").rowsBetween(Window.unboundedPreceding, 0))
+    left = F.sum(1 - F.col("_own")).over(cell.orderBy("_us").rangeBetween(Window.unboundedPreceding, -(span + 1)))
+    older = F.sum(1 - F.col("_own")).over(cell)
+    counted = laid.withColumn("_total", seen + older - F.coalesce(left, F.lit(0))).where("_own = 1")
+    if "_m" in requests.columns:
+        middle = _with_cell(requests if source is None else source, span).where(F.col("_m") > 1)
+        sums = middle.groupBy("hostname", "_cell", "_m").agg(F.count(F.lit(1)).alias("_n"))
+        sums = sums.select("hostname", F.explode(F.sequence(F.col("_cell") + 1, F.col("_cell") + F.col("_m") - 1)).alias("_at"), "_n")
+        counted = null_safe_join(counted, sums.groupBy("hostname", "_at").agg(F.sum("_n").alias("_middle")), ["hostname", "_at"], "left")
+        counted = counted.withColumn("_total", F.col("_total") + F.coalesce("_middle", F.lit(0)))
+    return counted.select(*requests.columns, F.col("_total").alias(total))
+
+
 def _with_cell(requests: DataFrame, span: int) -> DataFrame:
     split = F.col("_m") if "_m" in requests.columns else F.lit(1).cast("long")
     timed = requests.withColumn("_m", split).withColumn("_us", micros("ts"))
@@ -156,11 +179,11 @@ class _Leader:
 class _WindowScan:
     """One pass over a cell: requests leaving the window (role 0), middle counts (1), own requests (2)."""
 
-    def __init__(self, span: int, full: bool):
-        self.span, self.full = span, full
+    def __init__(self, span: int):
+        self.span = span
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["_row", "total"] + (["unique", "ip", "ip_n", "endpoint", "endpoint_n", "error"] if self.full else [])
+        names = ["_row", "total", "unique", "ip", "ip_n", "endpoint", "endpoint_n", "error"]
         current = object()
         for batch in batches:
             col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
@@ -174,18 +197,18 @@ class _WindowScan:
                 for i in range(start, end):
                     order = (us[i], seq[i])
                     if role[i] != 2:
-                        by_ip = not self.full or endpoint[i] is None or role[i] == 0
+                        by_ip = endpoint[i] is None or role[i] == 0
                         if by_ip:
                             total += n[i]
                             errors += error[i]
                         if role[i] == 0:
                             leaving.append((us[i], ip[i], endpoint[i], error[i]))
-                        if self.full and (role[i] == 0 or by_ip):
+                        if by_ip:
                             ips.preload(ip[i], n[i], order)
-                        if self.full and (role[i] == 0 or not by_ip):
+                        if role[i] == 0 or not by_ip:
                             endpoints.preload(endpoint[i], n[i], order)
                         continue
-                    if self.full and not started:
+                    if not started:
                         started = True
                         ips.start()
                         endpoints.start()
@@ -194,19 +217,17 @@ class _WindowScan:
                         _, old_ip, old_endpoint, old_error = leaving.popleft()
                         total -= 1
                         errors -= old_error
-                        if self.full:
-                            ips.remove(old_ip)
-                            endpoints.remove(old_endpoint)
+                        ips.remove(old_ip)
+                        endpoints.remove(old_endpoint)
                     total += 1
                     errors += error[i]
                     out[0].append(total)
-                    if self.full:
-                        ips.add(ip[i], order)
-                        endpoints.add(endpoint[i], order)
-                        out[1].append(len(ips.count))
-                        for at, value in zip((2, 3, 4, 5), (*ips.top(), *endpoints.top())):
-                            out[at].append(value)
-                        out[6].append(errors)
+                    ips.add(ip[i], order)
+                    endpoints.add(endpoint[i], order)
+                    out[1].append(len(ips.count))
+                    for at, value in zip((2, 3, 4, 5), (*ips.top(), *endpoints.top())):
+                        out[at].append(value)
+                    out[6].append(errors)
             own = np.array(role) == 2
             if own.any():
                 rows = col["_row"].filter(pa.array(own))
@@ -221,8 +242,8 @@ def traffic_windows(requests: DataFrame, seconds: int = WINDOW_SECONDS, minute:
     and the pass that looks for flooded hosts.
     """
     cut = requests if group_rows is None else materialize(with_cells(requests, max(seconds, minute), group_rows), "requests")
-    per_minute = sliding_window(cut, minute, False, "requests_per_minute")
-    counted = sliding_window(per_minute, seconds, True, "total_requests", cut).drop("_m")
+    per_minute = sliding_count(cut, minute, "requests_per_minute")
+    counted = sliding_window(per_minute, seconds, "total_requests", cut).drop("_m")
     return counted.withColumn("requests_per_second", F.round(F.col("total_requests") / F.lit(float(max(seconds, 1))), 2))
 
 

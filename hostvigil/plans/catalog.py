@@ -279,7 +279,7 @@ def _(spark, sf):
 # --- joins ---
 on("severity_lookup", "fx_pred", lambda x: lookups.severity_lookup(x).select("seq", "prediction", "base_severity"))
 on("severity_lookup_alt", "fx_pred", lambda x: lookups.severity_lookup_alt(x).select("seq", "prediction", "base_severity"))
-QUERIES["sliding_window_join"] = lambda spark, sf: traffic.sliding_window(requests(spark, sf), WINDOW, False, "n_window").select("hostname", "seq", "n_window")
+QUERIES["sliding_window_join"] = lambda spark, sf: traffic.sliding_count(requests(spark, sf), WINDOW, "n_window").select("hostname", "seq", "n_window")
 on("weight_lookup", "fx_pred", lambda x: lookups.weight_lookup(x).select("seq", "prediction", "weight"))
 on("recommendation_lookup", "fx_pred", lambda x: lookups.recommendation_lookup(x).select("seq", "prediction", "recommendation"))
 
