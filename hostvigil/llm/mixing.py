@@ -62,6 +62,21 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     return materialize(table.select("source", "source_size", "rank", "weight", target.alias("target")), "source-targets")
 
 
+def running_sums(cells: DataFrame, width: int = 256) -> DataFrame:
+    """(s, bucket, n, upto): running sums over the buckets of each source, in two levels.
+
+    Buckets are summed by groups of ``width``, the groups are summed along, and the buckets along within their group, so
+    a window holds KEY_BUCKETS / width rows at most, or ``width``.
+    """
+    fine = cells.select(F.col("source").alias("s"), "bucket", "n", F.floor(F.col("bucket") / width).cast("int").alias("g"))
+    groups = fine.groupBy("s", "g").agg(F.sum("n").alias("all"))
+    ahead = F.sum("all").over(Window.partitionBy("s").orderBy("g").rowsBetween(Window.unboundedPreceding, 0)) - F.col("all")
+    groups = groups.select(F.col("s").alias("of"), F.col("g").alias("at"), ahead.alias("ahead"))
+    inside = F.sum("n").over(Window.partitionBy("s", "g").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
+    joined = fine.withColumn("inside", inside).join(groups, F.col("s").eqNullSafe(F.col("of")) & (F.col("g") == F.col("at")))
+    return joined.select("s", "bucket", "n", (F.col("ahead") + F.col("inside")).alias("upto"))
+
+
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS, seed: int = 42, quality: Column | None = None, columns: tuple[str, ...] | None = None) -> DataFrame:
     """Add size, source_size, target and taken to every row.
 
@@ -89,8 +104,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     targets = source_targets(cells.groupBy("source").agg(F.sum("n").alias("source_size")), weights, most)
     plan = targets.withColumn("epochs", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most))).otherwise(0).cast("long"))
     plan = plan.withColumn("rest", F.when(F.col("epochs") >= most, F.lit(0)).otherwise(F.round(F.col("target") - F.col("epochs") * F.col("source_size"))).cast("long"))
-    running = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    border = cells.select(F.col("source").alias("s"), "bucket", "n").withColumn("upto", F.sum("n").over(running))  # at most KEY_BUCKETS rows a source
+    border = running_sums(cells)
     joined = plan.join(border, plan["source"].eqNullSafe(border["s"]), "left")
     first = joined.where(F.col("upto") >= F.col("rest")).groupBy("source").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("n")).alias("before"))).alias("b"))
     plan = plan.join(first.withColumnRenamed("source", "s"), plan["source"].eqNullSafe(F.col("s")), "left").drop("s")
