@@ -53,7 +53,6 @@ def test_disguised_words_and_exceptions(lexicon):
 
 
 def test_matches_equal_a_plain_search(lexicon):
-    rng = random.Random(3)
     matcher = toxicity.Matcher(lexicon)
     for _, text, *_ in rows(5, 60):
         folded = toxicity.fold(text)
@@ -64,7 +63,6 @@ def test_matches_equal_a_plain_search(lexicon):
             if own and not inside:
                 found[at] = max(own)
         assert {s: w for s, _, w in matcher.hits(folded)} == found
-    assert rng.random() < 1
 
 
 def test_longer_texts_weigh_a_word_less(lexicon):
