@@ -209,8 +209,13 @@ def find_spans(docs: DataFrame, text: str = "text", columns: tuple[str, ...] | N
     other = stored.select("_hv_row", F.inline("_hv_candidates"))
     counted = seen.select("pattern", "value", "kind").unionByName(other.select("pattern", "value", F.lit(None).cast("string").alias("kind")))
     edges = materialize(counted.groupBy("pattern", "value").agg(F.count(F.lit(1)).alias("n"), F.min("kind").alias("kind")), "graph")
-    wanted = materialize(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("values")).where(F.col("values") >= LEAST_SUPPORT).select("pattern"), "patterns")
-    occurs = materialize(occurrences(stored, wanted), "pattern-occurrences")
+    sums = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("most"))
+    wanted = materialize(sums.where(F.col("values") >= LEAST_SUPPORT).select("pattern", "most"), "patterns")
+    # Texts with identifiers alone show most patterns to be too common to reach the precision, whatever their instances.
+    some = occurrences(stored.where((F.size("_hv_seeds") > 0) | (F.size("_hv_candidates") > 0)), wanted)
+    able = wanted.join(some, "pattern", "left").where(F.col("most") >= LEAST_PRECISION * F.coalesce("occurs", F.lit(0)))
+    able = materialize(able.select("pattern"), "specific-patterns")
+    occurs = materialize(occurrences(stored, able), "pattern-occurrences")
     accepted = score_patterns(edges, occurs, rounds)
     found = other.join(share_broadcast(accepted, MAX_SHARED), "pattern")
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")) - 1
