@@ -74,7 +74,7 @@ class _BlockLinks:
         self.radius, self.keys = radius, keys
 
     def forest(self, values: np.ndarray) -> list[tuple[int, int]]:
-        rest, links = np.unique(values), []
+        rest, links = np.unique(values).view(np.uint64), []  # of signed values bitwise_count takes the absolute value
         while rest.size:
             todo, rest = [rest[0]], rest[1:]
             while todo and rest.size:
@@ -82,7 +82,7 @@ class _BlockLinks:
                 close = np.bitwise_count(rest ^ node) <= self.radius
                 if close.any():
                     found = rest[close]
-                    links += [(int(node), int(x)) for x in found]
+                    links += [(signed(int(node)), signed(x)) for x in found.tolist()]
                     todo += list(found)
                     rest = rest[~close]
         return links

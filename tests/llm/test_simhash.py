@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -77,6 +78,33 @@ def test_components_equal_brute_force(spark, block):
     assert [found.get(v, v) for v in signed] == want
 
 
+def test_isolated_pairs_link_wherever_they_differ():
+    """Every two and every three of the 64 bits."""
+    rng, forest = random.Random(4), simhash._BlockLinks(3, []).forest
+    for n in (2, 3):
+        for bits in itertools.combinations(range(64), n):
+            a = rng.getrandbits(64)
+            pair = [simhash.signed(v) for v in (a, a ^ sum(1 << b for b in bits))]
+            assert [set(x) for x in forest(np.array(pair, dtype=np.int64))] == [set(pair)], bits
+    far = [simhash.signed(v) for v in (1 << 63 | 1, 1 << 62 | 6)]
+    assert forest(np.array(far, dtype=np.int64)) == []
+
+
+def test_isolated_pairs_at_every_bit_are_components(spark):
+    rng = random.Random(5)
+    pairs = []
+    for n in (2, 3):
+        for bit in range(64):
+            for with_top in (False, True):
+                bits = {bit, 63} if with_top else {bit}
+                while len(bits) < n:
+                    bits.add(rng.randrange(64))
+                a = rng.getrandbits(64)
+                pairs.append(tuple(simhash.signed(v) for v in (a, a ^ sum(1 << b for b in bits))))
+    links = simhash.links(spark.createDataFrame([(v,) for p in pairs for v in p], "fp LONG"))
+    assert {tuple(sorted(r)) for r in links.collect()} == {tuple(sorted(p)) for p in pairs}
+
+
 def test_components_of_long_paths_and_stars(spark):
     path = [(i, i + 1) for i in range(40)]
     star = [(100, 101 + i) for i in range(300)] + [(50, 400)]
