@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -21,6 +22,7 @@ WIDTH = 16  # bytes a filter sees
 STEP = CHUNK - WIDTH  # chunks overlap by a filter's width, so every window lies in a chunk
 EMBED, FILTERS, HIDDEN = 8, 16, 16
 TRAIN_ROWS, TRAIN_BYTES = 3000, 6_000_000
+TRAIN_SHARE = 100  # a text above this part of the bytes enters a sample after all others
 EPOCHS, LEAST_STEPS, RATE, BATCH = 12, 400, 0.01, 32
 THRESHOLD = 0.3
 OUTPUT = ("score", "predicted")
@@ -157,9 +159,16 @@ def _gradients(net: ByteNet, docs: list[np.ndarray], truth: np.ndarray) -> list[
     return [d_embed, d_filters.reshape(net.filters.shape), d_bias, d_hidden, d_hidden_bias, d_out, d_out_bias]
 
 
+def _classes(rows: DataFrame) -> set[str]:
+    return {"> 0" if r[0] else "<= 0" for r in rows.select(F.col("label") > 0).distinct().collect()}
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, key: str = "doc_id", text: str = "text", rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES) -> DataFrame:
     """At most ``rows`` labelled rows, in the order of a hash of the key, until their texts reach ``size`` bytes, as (key, text, label).
 
+    Texts above a TRAIN_SHARE-th of ``size`` come after all others, the shortest first, so no long text keeps out one that
+    fits: behind the row that crosses the bound are only rows for which less than that part is left, or longer ones. A
+    class (label above 0 or not) whose texts all stay outside is an error; labels of a class without any text are a warning.
     Both bounds are parameters of the fit alone; scoring reads every row. Rows with a null key, text or label are left out,
     as are keys for which ``learn`` is not true; a key that is labelled twice counts once, with its greater label. Keys are
     compared as text, so the columns may differ in type.
@@ -171,8 +180,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     found = texts.join(F.broadcast(chosen), "key")  # at most ``rows`` short rows
     one = found.groupBy("key", "label").agg(F.min(F.struct(F.octet_length("text").alias("n"), "text")).alias("t")).select("key", "label", "t.n", "t.text")
     one = materialize(one, "labelled-texts")
-    upto = F.sum("n").over(Window.orderBy(F.xxhash64("key"), "key").rowsBetween(Window.unboundedPreceding, 0))
-    within = one.select("key", "n").select("key", upto.alias("upto")).where(F.col("upto") <= size).select("key")  # at most ``rows`` rows
+    ordered = Window.orderBy(F.greatest("n", F.lit(size // TRAIN_SHARE)), F.xxhash64("key"), "key")
+    upto = F.sum("n").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
+    within = one.select("key", "label", "n").select("key", "label", upto.alias("upto")).where(F.col("upto") <= size)  # at most ``rows`` rows
+    within = materialize(within.select("key", "label"), "labelled-within")
+    taken = _classes(within)
+    if len(taken) < 2:
+        if lost := _classes(one) - taken:
+            raise ValueError(f"no text of {size} bytes or less with {label} {'/'.join(sorted(lost))} is in the sample; allow more bytes")
+        if lost := _classes(marks.where(learn)) - taken:
+            warnings.warn(f"labels hold {label} {'/'.join(sorted(lost))}, but none of the {rows} sampled keys has a text of it", RuntimeWarning, stacklevel=2)
+    within = within.select("key")
     return one.join(F.broadcast(within), "key", "left_semi").select("key", "text", "label")
 
 

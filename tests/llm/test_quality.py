@@ -89,3 +89,21 @@ def test_the_sample_is_bounded(make_docs, labels):
     found = quality.labelled_sample(make_docs(rows()), labels, "quality", F.lit(True), rows=50, size=20_000)
     texts = [r.text for r in found.collect()]
     assert 0 < len(texts) <= 50 and sum(map(len, texts)) <= 20_000
+
+
+@pytest.mark.parametrize("long", [300_000, 150_000])
+def test_one_long_text_does_not_end_the_sample(spark, make_docs, labels, long):
+    """The first labelled text in sample order is above the bound, or takes most of it."""
+    first = spark.range(400).orderBy(F.xxhash64(F.col("id").cast("string")), "id").first()[0]
+    docs = make_docs([(r[0], "x" * long if r[0] == first else r[1]) for r in rows()])
+    found = quality.labelled_sample(docs, labels, "quality", F.lit(True), size=200_000).collect()
+    assert len(found) > 100 and {r.label for r in found} == {0, 1} and sum(len(r.text) for r in found) <= 200_000
+    assert str(first) not in {r.key for r in found}
+
+
+def test_a_lost_class_is_reported(make_docs, labels):
+    docs = make_docs([(r[0], r[1] if r[4] else "x" * 30_000) for r in rows(n=30)])
+    with pytest.raises(ValueError, match="quality <= 0"):
+        quality.labelled_sample(docs, labels, "quality", F.lit(True), size=20_000)
+    with pytest.warns(RuntimeWarning, match="quality <= 0"):
+        quality.labelled_sample(make_docs([r for r in rows() if r[4]]), labels, "quality", F.lit(True))
