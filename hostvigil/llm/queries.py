@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostvigil.llm import decontaminate, fertility, language, mixing, pii, quality, simhash, tokens, toxicity, warc
+from hostvigil.llm import decontaminate, fertility, filter_audit, importance, language, licenses, mixing, pii, quality, simhash, tokens, toxicity, warc
 from hostvigil.llm.common import fold_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,8 +72,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, lexicon).select("doc_id", (fold_of(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted", "weight", "matches")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters keeps, removes and loses per source, for all 120 orders."""
+    return filter_audit.audit(texts(spark, sf_dir, "source"), table(spark, sf_dir, "labels"))
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and templates in every document."""
+    return licenses.scan_licenses(texts(spark, sf_dir)).drop("text")
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents, drawn by how much they resemble the benchmark."""
+    return importance.resample(texts(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_token_counts, op2_simhash, op3_decontamination, op4_language, op5_personal_data, op6_fertility, op7_warc, op8_mixing, op9_quality, op10_toxicity,
+    op11_filter_audit, op12_licenses, op13_importance,
 )}
 
 _FOLD = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -110,5 +126,37 @@ plan AS (SELECT *, CASE WHEN s > 0 THEN least(CAST(floor(target / s) AS BIGINT),
 ordered AS (SELECT d.doc_id, d.size, p.s, p.target, p.epochs, CASE WHEN p.epochs >= 3 THEN 0 ELSE CAST(round(p.target - p.epochs * p.s) AS BIGINT) END AS rest,
   sum(d.size) OVER (PARTITION BY d.source ORDER BY d.draw DESC, d.doc_id ROWS UNBOUNDED PRECEDING) - d.size AS ahead FROM drawn d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source)
 SELECT doc_id, size, s AS source_size, target, CAST(epochs * size + greatest(0, least(size, rest - ahead)) AS BIGINT) AS taken FROM ordered
+""",
+    "op11_filter_audit": r"""
+WITH RECURSIVE d AS (SELECT coalesce(source, '') AS part, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least FROM documents),
+marks AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+  || CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+  || CASE WHEN coalesce(doc_id > least, false) THEN 'E' ELSE '' END AS fails, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM d LEFT JOIN marks USING (doc_id)),
+c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, fails),
+o AS (SELECT '' AS p UNION ALL SELECT p || f FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f) WHERE NOT contains(p, f)),
+s AS (SELECT p AS filter_order, step, substr(p, step, 1) AS f, substr(p, 1, step - 1) AS done FROM o, (SELECT unnest(range(1, 6)) AS step) WHERE length(p) = 5),
+r AS (SELECT part, filter_order, step, f, coalesce(sum(n) FILTER (free AND NOT fail), 0) AS kept, coalesce(sum(n) FILTER (free AND fail), 0) AS removed, coalesce(sum(n) FILTER (fail AND NOT free), 0) AS redundant,
+  coalesce(sum(n) FILTER (fails = f), 0) AS unique_fails, coalesce(sum(good) FILTER (free AND fail), 0) AS good_lost, coalesce(sum(toxic) FILTER (free AND fail), 0) AS toxic_lost
+  FROM (SELECT *, contains(fails, f) AS fail, translate(fails, done, '') = fails AS free FROM c, s) GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM r
+""",
+    "op13_importance": f"""
+WITH steps AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+docs AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+items AS (SELECT {_WORDS} AS w FROM benchmark),
+grams AS (SELECT r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM docs),
+wanted AS (SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM items),
+sums AS (SELECT f, xor(list_reduce(list_concat([4294967295], list_transform(range(1, octet_length(encode(f)) + 1), lambda i: 16 * (strpos('0123456789ABCDEF', substr(h, 2 * i - 1, 1)) - 1) + strpos('0123456789ABCDEF', substr(h, 2 * i, 1)) - 1)),
+  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS b FROM (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM grams UNION SELECT f FROM wanted)), steps),
+s AS (SELECT b, count(*) AS n FROM grams JOIN sums USING (f) GROUP BY b), t AS (SELECT b, count(*) AS n FROM wanted JOIN sums USING (f) GROUP BY b),
+gains AS (SELECT s.b, CAST(floor(1000 * ln((coalesce(t.n, 0) + CAST(1 AS DOUBLE)) * ((SELECT sum(n) FROM s) + CAST(10000 AS DOUBLE)) / ((s.n + CAST(1 AS DOUBLE)) * (coalesce((SELECT sum(n) FROM t), 0) + CAST(10000 AS DOUBLE))))) AS BIGINT) AS g FROM s LEFT JOIN t USING (b)),
+weights AS (SELECT r, count(*) AS n, CAST(sum(g) AS BIGINT) AS g FROM grams JOIN sums USING (f) JOIN gains USING (b) GROUP BY r),
+scored AS (SELECT d.r, doc_id, len(w) AS words, coalesce(n, 0) AS n_features, CASE WHEN n > 0 THEN g // n - CASE WHEN g % n < 0 THEN 1 ELSE 0 END ELSE 0 END AS weight,
+  CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM docs d LEFT JOIN weights USING (r)),
+final AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + CAST(0.5 AS DOUBLE)) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score FROM scored),
+placed AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, r) AS rank, count(*) OVER () AS n FROM final WHERE words >= 20)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score, CASE WHEN rank <= 25 * n // 100 THEN rank END AS rank FROM final LEFT JOIN placed USING (r)
 """,
 }

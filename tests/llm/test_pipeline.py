@@ -13,7 +13,7 @@ pytestmark = pytest.mark.skipif(not Path(SMALL).exists(), reason="test data not
 
 
 def test_one_query_per_operator_and_the_pipeline_are_registered():
-    names = [f"op{n}_" for n in range(1, 11)]
+    names = [f"op{n}_" for n in range(1, 14)]
     assert all(sum(q.startswith(n) for q in entry.queries()) == 1 for n in names)
     assert entry.queries()["pipeline"] is corpus_pipeline.run and set(queries.QUERIES) <= set(entry.queries())
 
