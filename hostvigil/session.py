@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +21,7 @@ DEFAULTS = {
 }
 
 _LOCAL_ROOTS: dict[str, str] = {}
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)  # paths given out in the innermost scratch()
 
 
 def build_session(app: str = "hostvigil", master: str | None = None, **conf: str) -> SparkSession:
@@ -48,13 +52,34 @@ def work_root(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path below the working folder that no other run uses."""
-    return f"{work_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{work_root(spark)}/{name}-{uuid.uuid4().hex}"
+    if (made := _MADE.get()) is not None:
+        made.append(path)
+    return path
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    """Delete files or folders of any store that Spark reads; what is not there is passed over."""
+    for path in paths:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete the intermediates that the block has written when it ends; its results must be stored by then."""
+    made: list[str] = []
+    token = _MADE.set(made)
+    try:
+        yield
+    finally:
+        _MADE.reset(token)
+        delete(spark, *made)
 
 
 def drop_intermediates(spark: SparkSession) -> None:
     """Delete what this application wrote to its working folder. For the end of a job, when its results are stored."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(work_root(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, work_root(spark))
 
 
 def materialize(frame: DataFrame, name: str, *partitions: str) -> DataFrame:
