@@ -56,6 +56,15 @@ def test_measures_equal_the_library_on_words():
     assert total == len(MODEL.encode(text))
 
 
+def test_long_unspaced_words_are_measured_whole():
+    rng = random.Random(9)
+    for text in ("".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(1000)), "éß" * 700, "ab" * 3000):
+        ids = Counter(MODEL.encode(text))
+        chars, share, _ = fertility.Fertility(PATH).measure(text.encode().split(), len(text))
+        assert chars == len(text) / sum(ids.values())
+        assert share == sum(n for i, n in ids.items() if MODEL.is_byte(i)) / sum(ids.values())
+
+
 def test_bands_by_script(make_docs):
     rng = random.Random(7)
     common = "the of and to in is that it was for on are as with his they at be this from have or by one had not but what all were when we there can an your which".split()
