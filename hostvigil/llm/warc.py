@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from hostvigil.llm.common import named
 from hostvigil.session import materialize, new_path
 
-MARK = b"WARC/1.1\r\n"
+VERSION = b"WARC/1.1"
+MARK = VERSION + b"\r\n"
 DUPLICATE_BYTES = 1000
 SEGMENT_BYTES = 8192
 CHUNK_BYTES = 4096
@@ -25,9 +26,13 @@ PAGE = "page_id string, record_id string, record_type string, payload binary, pa
 
 # --- framing ---
 def chunked(payload: bytes, size: int = CHUNK_BYTES) -> bytes:
-    """Chunked transfer framing. A chunk ends inside every record mark in the payload, so a framed body holds no mark."""
+    """Chunked transfer framing. A chunk ends inside every version name in the payload, so a framed body holds none.
+
+    A record mark is the name and a line break, and every chunk and segment is followed by a line break: without names in
+    the body there is no mark, wherever it is cut.
+    """
     cuts = [0]
-    marks = [m.start() + len(MARK) // 2 for m in re.finditer(re.escape(MARK), payload)]
+    marks = [m.start() + len(VERSION) // 2 for m in re.finditer(re.escape(VERSION), payload)]
     for stop in [*marks, len(payload)]:
         while stop - cuts[-1] > size:
             cuts.append(cuts[-1] + size)

@@ -17,6 +17,7 @@ def cases():
     big = "é<p>" * 5000
     rows = [(i, f"http://x/{i}", "".join(rng.choice("ab é\r\n") for _ in range(rng.choice([0, 5, 999, 1000, 3000, 20_000])))) for i in range(40)]
     rows += [(100, None, None), (101, "u\r\nWARC/1.1\r\n", "WARC/1.1\r\n" * 300), (102, "a b", "WARC/1.1\r\n"), (103, "", big), (104, "x", big), (105, "y", big), (106, "z", "s" * 999), (107, "z", "s" * 999), (108, "z", "0\r\n\r\n" * 400)]
+    rows += [(120 + i, "m", "x" * n + "WARC/1.1" + tail) for i, (n, tail) in enumerate([(5, ""), (4088, "y" * 9), (4088, ""), (92, "y"), (8192 - 8, "\r\n"), (8101, "y" * 200), (6992, "")])]
     return rows + [(None, "n", "no id"), (110, "n", "t" * 1000), (110, "m", "t" * 1000)]
 
 
@@ -29,7 +30,7 @@ def plain(rows):
     for k, _, h in rows:
         data = (h or "").encode()
         again = len(data) >= 1000 and k != best[data]
-        out.append((k or -1, len(data), hashlib.sha1(data).hexdigest(), "revisit" if again else "response", best[data] if again else None))
+        out.append((-1 if k is None else k, len(data), hashlib.sha1(data).hexdigest(), "revisit" if again else "response", best[data] if again else None))
     return sorted(out, key=str)
 
 
@@ -54,7 +55,7 @@ def test_rows_that_share_an_id_and_empty_tables(spark):
     assert warc.round_trip(pages(spark, []).limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("data", [b"", b"a", b"WARC/1.1\r\n" * 3, bytes(range(256)) * 20])
+@pytest.mark.parametrize("data", [b"", b"a", b"WARC/1.1\r\n" * 3, b"WARC/1.1", b"abWARC/1.1", b"WARC/1.1" * 5, bytes(range(256)) * 20])
 def test_chunked_framing(data):
     for size in (1, 5, 1000):
         framed = warc.chunked(data, size)
@@ -62,6 +63,16 @@ def test_chunked_framing(data):
     assert warc.dechunked(b"3;x=y\r\nabc\r\n0\r\nT: 1\r\n\r\n") == b"abc"
 
 
+def test_no_cut_makes_a_mark(spark):
+    """The version name at the end of the payload, of a chunk and of a segment, at all offsets."""
+    rows = [(i, "u", "x" * n + "WARC/1.1") for i, n in enumerate(range(0, 60))] + [(100 + i, "u", "x" * n + "WARC/1.1" + "y" * 50) for i, n in enumerate(range(0, 60))]
+    path = new_path(spark, "warc-cuts")
+    warc.write_archive(pages(spark, rows), path, segment=40, chunk=13)
+    read = warc.read_archive(spark, path).collect()
+    assert all(r.problem is None for r in read)
+    assert {int(r.page_id): bytes(r.payload).decode() for r in read} == {k: h for k, _, h in rows}
+
+
 @pytest.mark.parametrize("body", [b"", b"5\r\nabc\r\n0\r\n\r\n", b"zz\r\n", b"1\r\nab\r\n"])
 def test_broken_framing_is_refused(body):
     with pytest.raises(ValueError):
