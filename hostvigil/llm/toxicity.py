@@ -18,7 +18,6 @@ from hostvigil.llm.common import named, text_function, without
 from hostvigil.llm.quality import labelled_sample
 
 TRAIN_ROWS, TRAIN_BYTES = 20_000, 100_000_000
-MAX_TERMS, MAX_PHRASES = 5000, 5000
 STEM, LEAST_DOCS, LEAST_ODDS = (4, 12), 4, 2.0
 THRESHOLD = 0.7
 OUTPUT = ("score", "predicted", "weight", "matches")
@@ -31,8 +30,9 @@ HOMOGLYPHS = {
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s"}
 _WIDE = {chr(0xFF01 + i): chr(0x21 + i) for i in range(94)}  # full-width forms of ASCII
 _FOLD_LETTERS = str.maketrans({**HOMOGLYPHS, **_WIDE, "\u00ad": None, "\u200b": None, "\u200c": None, "\u200d": None})
-# A short run of digits and signs before a letter, so a number stays no word and signs at the end of a word go.
-_SPELT = re.compile(r"(?<![\d@$])[01345789@$]{1,3}(?=[^\W\d_])")
+# Digits and signs that stand for letters: a run of them beside a letter, with no other digit in between, so a number
+# stays no word.
+_SPELT = re.compile(r"(?<=[^\W\d_])[01345789@$]+(?!\d)|(?<![\d@$])[01345789@$]+(?=[^\W\d_])")
 _DIGITS = str.maketrans(DIGITS)
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -40,7 +40,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 def fold(text: str) -> str:
     """Words of letters between single spaces, lower case, look-alikes and digit spellings undone.
 
-    A sign or digit stands for a letter only before a letter.
+    A sign or digit stands for a letter only in a run that touches a letter.
     """
     low = text.lower()
     if not low.isascii():
@@ -88,11 +88,28 @@ class Matcher:
             start = end + 1 - n
             if start not in best or weight > best[start][1]:
                 best[start] = (end + 1, weight)
-        if best and self.passed is not None:
-            for end, (n, _) in self.passed.iter(folded):
-                for at in [s for s in best if end + 1 - n <= s and s < end]:
-                    del best[at]
-        return [(start, end, weight) for start, (end, weight) in sorted(best.items())]
+        return self.outside([(start, end, weight) for start, (end, weight) in sorted(best.items())], folded)
+
+    def outside(self, hits: list[tuple], folded: str) -> list[tuple]:
+        """Those of the hits, sorted by start, that begin in no exception phrase."""
+        if not hits or self.passed is None:
+            return hits
+        kept, upto, at = [], 0, 0  # both lists run by start; upto is the furthest end of the phrases begun so far
+        passed = sorted((end + 1 - n, end) for end, (n, _) in self.passed.iter(folded))
+        for hit in hits:
+            while at < len(passed) and passed[at][0] <= hit[0]:
+                upto = max(upto, passed[at][1])
+                at += 1
+            if hit[0] >= upto:
+                kept.append(hit)
+        return kept
+
+    def terms_outside(self, folded: str) -> set[str]:
+        """All terms with a hit outside exception phrases."""
+        if self.terms is None:
+            return set()
+        every = sorted((end + 1 - n, folded[end + 1 - n : end + 1]) for end, (n, _) in self.terms.iter(folded))
+        return {term for _, term in self.outside(every, folded)}
 
     def features(self, text: str) -> tuple[float, float, float, int]:
         """Weight normalised by length, weight in all, heaviest term, number of words hit."""
@@ -146,15 +163,25 @@ class _TermCounts:
         return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([v[0] for v in values], pa.int64()), pa.array([v[1] for v in values], pa.int64())], names=["term", "toxic", "clean"])
 
 
-class _Phrases:
-    """Word pairs that hold a lexicon hit, with a space on both sides."""
+class _OverLexicon:
+    """A function of folded text that needs a matcher, which each task builds once."""
 
     def __init__(self, lexicon: Lexicon):
         self.lexicon = lexicon
 
+    def __getstate__(self):
+        return {"lexicon": self.lexicon}
+
     def __call__(self, folded: str) -> set[str]:
         if not hasattr(self, "matcher"):
             self.matcher = Matcher(self.lexicon)
+        return self.found(folded)
+
+
+class _Phrases(_OverLexicon):
+    """Word pairs that hold a lexicon hit, with a space on both sides."""
+
+    def found(self, folded: str) -> set[str]:
         found = set()
         for start, _, _ in self.matcher.hits(folded):
             end = folded.index(" ", start + 1)
@@ -164,8 +191,12 @@ class _Phrases:
                 found.add(folded[start : folded.index(" ", end + 1) + 1])
         return found
 
-    def __getstate__(self):
-        return {"lexicon": self.lexicon}
+
+class _Outside(_OverLexicon):
+    """Terms that occur outside exception phrases."""
+
+    def found(self, folded: str) -> set[str]:
+        return self.matcher.terms_outside(folded)
 
 
 def _counted(sample: DataFrame, make: Callable[[str], set[str]]) -> DataFrame:
@@ -176,12 +207,19 @@ def log_odds(toxic: Column, clean: Column, toxic_docs: int, clean_docs: int) ->
     return F.log((toxic + 0.5) / (toxic_docs + 1.0)) - F.log((clean + 0.5) / (clean_docs + 1.0))
 
 
-def without_covered(rows: list[tuple[str, float]], margin: float = 0.5) -> dict[str, float]:
-    """Terms that are not already covered by a shorter stem of about the same weight."""
+def without_covered(rows: list[tuple[str, float, int, int]], margin: float = 0.5) -> dict[str, float]:
+    """Weights of the terms worth keeping, of rows (term, weight, toxic, clean documents).
+
+    Of stems of one word that hit the same documents the longest stays, so a stem is no shorter than what it covers asks
+    for; how many clean documents it hits counts in its weight. Then terms go that a shorter stem of about the same
+    weight covers.
+    """
+    longer = {(term[:-1], toxic, clean) for term, _, toxic, clean in rows if not term.endswith(" ")}
+    chosen = [r for r in rows if r[0].endswith(" ") or (r[0], *r[2:]) not in longer]
     kept: dict[str, float] = {}
-    for term, weight in sorted(rows, key=lambda r: (len(r[0]), r[0])):
-        stems = (kept.get(term[:n]) for n in range(3, len(term)))
-        if not any(w is not None and w >= weight - margin for w in stems):
+    for term, weight, *_ in sorted(chosen, key=lambda r: (len(r[0]), r[0])):
+        covering = (kept.get(term[:n]) for n in range(3, len(term)))
+        if not any(w is not None and w >= weight - margin for w in covering):
             kept[term] = weight
     return kept
 
@@ -190,8 +228,10 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic
     """Learn terms, exception phrases and the calibration from a bounded sample of labelled documents.
 
     Terms are words and word beginnings that occur in toxic documents far more often than in others; weights are their
-    log odds. A pair of words around a hit that is found in clean documents only becomes an exception phrase. A small
-    logistic regression over the squashed sums gives the probability.
+    log odds. A pair of words around a hit that is found in clean documents only becomes an exception phrase. Terms are
+    sought with half the odds first and counted again outside the exception phrases, so a word that is common in one
+    harmless phrase is no less a term elsewhere. A small logistic regression over the squashed sums gives the
+    probability.
     """
     spark = docs.sparkSession
     rows = labelled_sample(docs, labels, label, learn, key, text, TRAIN_ROWS, TRAIN_BYTES)
@@ -201,11 +241,15 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic
         return Lexicon(calibration=(math.log(share / (1 - share)), 0.0, 0.0, 0.0))
     sample = rows.select("text", (F.col("label") > 0).alias("toxic"))
     odds = log_odds(F.col("toxic"), F.col("clean"), toxic_docs, clean_docs)
-    terms = _counted(sample, candidate_terms).where(F.col("toxic") >= LEAST_DOCS).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
-    best = terms.orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "term").limit(MAX_TERMS).collect()
-    lexicon = Lexicon(without_covered([(r.term, r.odds) for r in best]))
+    often = F.col("toxic") >= LEAST_DOCS
+    loose = _counted(sample, candidate_terms).where(often & (odds >= LEAST_ODDS / 2)).withColumn("odds", odds).collect()  # of the bounded sample
+    lexicon = Lexicon({r.term: r.odds for r in loose})
     pairs = _counted(sample, _Phrases(lexicon)).where((F.col("toxic") == 0) & (F.col("clean") >= 2))
-    lexicon.phrases = frozenset(r.term for r in pairs.orderBy(F.desc("clean"), "term").limit(MAX_PHRASES).collect())
+    lexicon.phrases = frozenset(r.term for r in pairs.select("term").collect())
+    terms = _counted(sample, _Outside(lexicon)).where(often & (odds >= LEAST_ODDS)).withColumn("odds", odds).collect()
+    final = Lexicon(without_covered([(r.term, r.odds, r.toxic, r.clean) for r in terms]))
+    matcher = Matcher(final)
+    lexicon = Lexicon(final.terms, frozenset(p for p in lexicon.phrases if matcher.hits(p)))
     shared = spark.sparkContext.broadcast(lexicon.parts())
     measure = text_function(_features(shared), {"d": pa.float64(), "t": pa.float64(), "m": pa.float64()}, "d double, t double, m double")
     found = sample.select(measure(F.col("text")).alias("f"), "toxic").select("f.*", "toxic").toArrow()

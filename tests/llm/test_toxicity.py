@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -65,6 +66,30 @@ def test_matches_equal_a_plain_search(lexicon):
         assert {s: w for s, _, w in matcher.hits(folded)} == found
 
 
+def test_substitutions_anywhere_in_a_word():
+    for text, folded in [("a55", " ass "), ("A$$!", " ass "), ("b00000b", " booooob "), ("5n4rgl3", " snargle "), ("48 915 $5", "  "), ("x12", " x "), ("a55 48", " ass ")]:
+        assert toxicity.fold(text) == folded, text
+
+
+def test_stems_by_what_they_cover():
+    word, stem = (" snargle ", 4.0, 9, 0), lambda n, toxic=12, clean=0: (" snargle"[: n + 1], 4.0, toxic, clean)
+    assert set(toxicity.without_covered([word, stem(4), stem(5), stem(6), stem(7)])) == {" snargle"}
+    other = (" snarl ", 4.0, 2, 0)
+    assert set(toxicity.without_covered([word, other, stem(4, 14), stem(5), stem(7)])) == {" snar"}  # covers both words
+    assert set(toxicity.without_covered([word, (" snar", 2.0, 14, 3), stem(7)])) == {" snar", " snargle"}  # weighs less
+    many = [(f" word{i:05d} ", 3.0, 5, 0) for i in range(30_000)]
+    assert len(toxicity.without_covered(many)) == 30_000
+
+
+def test_very_many_hits_take_linear_time():
+    lexicon = toxicity.Lexicon({" snargle ": 3.0, " vexgrub": 2.0}, frozenset({" garden vexgrub ", " snargle snargle "}))
+    matcher = toxicity.Matcher(lexicon)
+    start = time.monotonic()
+    assert len(matcher.hits(toxicity.fold("garden vexgrub " * 100_000))) == 0
+    assert len(matcher.hits(toxicity.fold("vexgrub garden vexgrub " * 50_000))) == 50_000
+    assert time.monotonic() - start < 2
+
+
 def test_longer_texts_weigh_a_word_less(lexicon):
     matcher = toxicity.Matcher(lexicon)
     scores = [matcher.features("snargle " + "abc " * n)[0] for n in (1, 100, 10_000)]
