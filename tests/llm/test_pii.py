@@ -97,6 +97,37 @@ def test_contexts_of_known_values_find_unseen_ones(make_docs):
     assert all(found[i].spans.count("phone") == 1 for i in range(30))
 
 
+def test_glued_and_long_identifiers_are_learned(make_docs):
+    long = "k" * 60 + "123456789"
+    rows = [(i, f"is the owner [a{i}@c.de] here") for i in range(30)] + [(100, "is the owner [kk1234567] here"), (101, f"is the owner [{long}] here")]
+    rows += [(200 + i, f"please use my own Email:x{i}@y.org today") for i in range(30)] + [(300, "please use my own Email:kk1234567 today")]
+    rows += [(400 + i, f"codes sent to {10**9 + i} {20**7 + i} a{i}@q.org now") for i in range(30)] + [(500, "codes sent to 1234567890 2345678901 zz98765 now")]
+    found = {r.doc_id: r for r in pii.detect(make_docs(rows), columns=("doc_id", "text")).collect()}
+    for key, value in ((100, "kk1234567"), (101, long), (300, "Email:kk1234567")):
+        start = rows[[k for k, _ in rows].index(key)][1].index(value)
+        assert found[key].spans == f"email:{start}:{start + len(value)}", found[key]
+    redacted = {r.doc_id: r.text for r in pii.redact(make_docs(rows)).collect()}
+    assert redacted[101] == "is the owner [<EMAIL>] here" and redacted[3] == "is the owner [<EMAIL>] here"
+
+
+def test_a_chain_of_contexts_is_followed_to_its_end(spark):
+    """Each pattern shares values with the next one only."""
+    n = 8
+    edges = [("p0 x", f"+{i}", 5, "phone") for i in range(4)]
+    for k in range(n):
+        edges += [(f"p{k} x", f"v{k}-{i}", 5, None) for i in range(4)] + [(f"p{k + 1} x", f"v{k}-{i}", 5, None) for i in range(4)]
+    occurs = [(f"p{k} x", 20) for k in range(n + 1)]
+    graph = spark.createDataFrame(edges, "pattern STRING, value STRING, n LONG, kind STRING")
+    table = spark.createDataFrame(occurs, "pattern STRING, occurs LONG")
+    assert {r.pattern for r in pii.score_patterns(graph, table).collect()} == {f"p{k} x" for k in range(n + 1)}
+
+
+def test_columns_of_any_name_stay(spark):
+    docs = spark.createDataFrame([(1, "a@b.co", "r", "f", "d", "b")], "doc_id LONG, text STRING, row STRING, full STRING, doc STRING, _hv_text STRING")
+    assert tuple(pii.redact(docs).first()) == (1, "<EMAIL>", "r", "f", "d", "b")
+    assert tuple(pii.detect(docs).first())[:6] == (1, "a@b.co", "r", "f", "d", "b")
+
+
 def test_common_words_before_a_value_are_no_pattern(make_docs):
     rng = random.Random(2)
     rows = [(i, f"of the {card(rng, 16)} and so on. the cat of the house. end of the day. one of the few") for i in range(20)]
