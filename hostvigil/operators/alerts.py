@@ -38,14 +38,18 @@ def email_dedup(alerts: DataFrame, seconds: float = COOLDOWN_SECONDS) -> DataFra
     return cooldown(alerts.where(~recovery), ["hostname", "alert_type", "email_key"], seconds).unionByName(alerts.where(recovery))
 
 
-def security_alerts(incidents: DataFrame, seconds: float = COOLDOWN_SECONDS, also: tuple[str, ...] = ()) -> DataFrame:
-    """Alert rows of dispatchable incidents, one per label and source within the cooldown.
-
-    ``also`` names columns to carry. A true column ``_old`` among them marks rows that have passed the rules before.
-    """
-    rule = d.dispatchable(F.col("risk"), F.col("confidence"))
-    passing = incidents.where(F.coalesce(rule, F.lit(False)) | F.col("_old") if "_old" in also else rule)
-    sent = cooldown(passing, ["hostname", "prediction", "source_log"], seconds)
+def passing(incidents: DataFrame) -> DataFrame:
+    """Incidents that may be dispatched: HIGH or CRITICAL, and confident enough."""
+    return incidents.where(d.dispatchable(F.col("risk"), F.col("confidence")))
+
+
+def security_alerts(incidents: DataFrame, seconds: float = COOLDOWN_SECONDS) -> DataFrame:
+    """Alert rows of dispatchable incidents, one per label and source within the cooldown."""
+    return attack_rows(cooldown(passing(incidents), ["hostname", "prediction", "source_log"], seconds))
+
+
+def attack_rows(sent: DataFrame) -> DataFrame:
+    """The ``alerts`` rows of incidents that are sent."""
     detail = F.struct("prediction", F.round(F.col("confidence") * 100.0, 2).alias("confidence_percent"), "risk", "raw_log")
     return sent.select(
         "seq",
@@ -63,13 +67,16 @@ def security_alerts(incidents: DataFrame, seconds: float = COOLDOWN_SECONDS, als
         "prediction",
         "confidence",
         "raw_log",
-        *also,
     )
 
 
 def ddos_events(reports: DataFrame, seconds: float, window_seconds: int) -> DataFrame:
     """Anomalous windows that pass the cooldown of their top IP, with every column of both output tables."""
-    kept = cooldown(reports.where("is_anomaly"), ["hostname", "top_ip"], seconds)
+    return flood_rows(cooldown(reports.where("is_anomaly"), ["hostname", "top_ip"], seconds), window_seconds)
+
+
+def flood_rows(kept: DataFrame, window_seconds: int) -> DataFrame:
+    """The rows of windows that are reported, with every column of both output tables."""
     detail = F.struct(
         "hostname", F.lit(window_seconds).alias("window_seconds"), F.col("total_requests").alias("total_requests_in_window"),
         "requests_per_second", "requests_per_minute", F.col("unique_ips").alias("unique_ips_count"), "top_ip", "top_ip_requests",

@@ -99,12 +99,17 @@ def hourly_report(incidents: DataFrame) -> DataFrame:
     return hours.withColumn("running_total", F.sum("total").over(upto))
 
 
+def counters() -> dict[str, Column]:
+    """Processed lines, pre-filter outcomes and incidents, as aggregates over routed lines."""
+    return {
+        "processed": F.count(F.lit(1)),
+        "benign_filtered": F.count_if(F.col("route") == "BENIGN"),
+        "suspicious_overrides": F.count_if(F.col("pre_decision") == "SUSPICIOUS"),
+        "passed_to_ai": F.count_if(F.col("pre_decision") == "PASS_TO_AI"),
+        "incidents": F.count_if(F.col("route") == "ALERT"),
+    }
+
+
 def pipeline_counters(routed: DataFrame) -> DataFrame:
-    """Processed lines, pre-filter outcomes and incidents by host."""
-    return routed.groupBy("hostname").agg(
-        F.count(F.lit(1)).alias("processed"),
-        F.count_if(F.col("route") == "BENIGN").alias("benign_filtered"),
-        F.count_if(F.col("pre_decision") == "SUSPICIOUS").alias("suspicious_overrides"),
-        F.count_if(F.col("pre_decision") == "PASS_TO_AI").alias("passed_to_ai"),
-        F.count_if(F.col("route") == "ALERT").alias("incidents"),
-    )
+    """The counters of each host."""
+    return routed.groupBy("hostname").agg(*[c.alias(k) for k, c in counters().items()])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from hostvigil.plans import pipelines
 from hostvigil.plans.fixtures import COOLDOWN, DOCUMENT_LABELS, LINE_LABELS, TRAFFIC, WINDOW, adapter
 from hostvigil.session import materialize, new_path
 from hostvigil.sources import files, logs
-from hostvigil.streaming import jobs
+from hostvigil.streaming import durable, jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -121,7 +122,7 @@ def _(spark, sf):
 
 @query("stream_log_lines")
 def _(spark, sf):
-    return with_source(jobs.drain(logs.stream_log_lines(spark, written_lines(spark, sf)), "tail"))
+    return with_source(jobs.drain(logs.stream_log_lines(durable.stream_session(spark), written_lines(spark, sf)), "tail"))
 
 
 @query("read_labeled_dataset")
@@ -498,44 +499,100 @@ def segmented(frame: DataFrame, late: bool = False) -> DataFrame:
     return frame.withColumn("segment", F.least(F.lit(3), quarter + shift))
 
 
-def stream_of(spark: SparkSession, frame: DataFrame, late: bool = False) -> DataFrame:
-    path = jobs.write_segments(segmented(frame, late), "segment", 4, "segments")
-    return jobs.read_segments(spark, path, frame.schema)
+def arriving(spark: SparkSession, frame: DataFrame, late: bool = False) -> jobs.Arrivals:
+    return jobs.Arrivals(segmented(frame, late), "segment", 4)
 
 
-QUERIES["stream_triage"] = lambda spark, sf: routed_columns(
-    jobs.drain(jobs.stream_triage(stream_of(spark, adapter(spark, sf, "fx_syslog")), row_scorer(spark, sf)), "stream-triage")
-)
+@query("stream_triage")
+def _(spark, sf):
+    rows = arriving(spark, adapter(spark, sf, "fx_syslog"))
+    return routed_columns(jobs.drain(jobs.stream_triage(rows.stream(), row_scorer(spark, sf)), "stream-triage", rows))
+
+
+@query("stream_counters")
+def _(spark, sf):
+    rows = arriving(spark, adapter(spark, sf, "fx_syslog"))
+    stream = rows.stream()
+    log = jobs.stream_counters(stream, row_scorer(spark, sf), jobs.new_place(spark, "counters"), rows)
+    return spark.createDataFrame([log.totals()], ", ".join(f"{k} LONG" for k in incidents.counters()))
+
+
+LIVE_WINDOWS = ("1 hour", "30 minutes", "2 hours")
+LIVE_TRAFFIC = {k: v for k, v in TRAFFIC.items() if k != "minute"}
 
 
 @query("stream_traffic_windows")
 def _(spark, sf):
-    out = jobs.stream_traffic_windows(stream_of(spark, adapter(spark, sf, "fx_access")), "1 hour", "30 minutes", "2 hours", **{k: v for k, v in TRAFFIC.items() if k != "minute"})
+    rows = arriving(spark, adapter(spark, sf, "fx_access"))
+    out = jobs.stream_traffic_windows(rows.stream(**jobs.ONE_STATE), *LIVE_WINDOWS, arrivals=rows, **LIVE_TRAFFIC)
     shown = out.withColumns({"window_start": F.col("window_start").cast("timestamp_ntz"), "patterns": F.array_join("patterns_detected", "; ")})
     return shown.drop("patterns_detected")
 
 
-QUERIES["stream_cooldown"] = lambda spark, sf: jobs.drain(
-    jobs.stream_cooldown(stream_of(spark, all_events(spark, sf)), ["event_type"], COOLDOWN), "stream-cooldown"
-).select("event_type", "seq")
-QUERIES["stream_metric_transitions"] = lambda spark, sf: jobs.drain(
-    jobs.stream_metric_transitions(stream_of(spark, adapter(spark, sf, "fx_metrics"))), "stream-transitions"
-).select("hostname", "metric", "seq", "old_state", "new_state")
+@query("stream_flood_alerts")
+def _(spark, sf):
+    rows = arriving(spark, adapter(spark, sf, "fx_access"))
+    stream, place = rows.stream(**jobs.ONE_STATE), jobs.new_place(spark, "live-floods")
+    for _ in rows:
+        jobs.start_flood_alerts(stream, place, *LIVE_WINDOWS, cooldown_seconds=COOLDOWN, **LIVE_TRAFFIC).awaitTermination()
+    events = files.read_table(spark, place.root, "ddos_events")
+    return events.select("hostname", "timestamp", "pattern_type", "requests_count", "top_ip", "top_endpoint", "risk_level")
+
+
+@query("stream_cooldown")
+def _(spark, sf):
+    rows = arriving(spark, all_events(spark, sf))
+    return jobs.drain(jobs.stream_cooldown(rows.stream(), ["event_type"], COOLDOWN), "stream-cooldown", rows).select("event_type", "seq")
+
+
+class _Lost(Exception):
+    """Stands for a driver that is lost."""
+
+
+@query("stream_restart")
+def _(spark, sf):
+    """A cooldown whose driver is lost after batch 1 is stored and before it is committed, and which is started again."""
+    rows, place = arriving(spark, all_events(spark, sf)), jobs.new_place(spark, "restart")
+    stream = jobs.stream_cooldown(rows.stream(), ["event_type"], COOLDOWN)
+
+    def lost(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{place.data}/batch={batch_id}")
+        if batch_id == 1:
+            raise _Lost
+
+    for segment in rows:
+        started = durable.start(stream, place, lost if segment < 2 else None)
+        try:
+            started.awaitTermination()
+        except StreamingQueryException:
+            if segment != 1:
+                raise
+    return durable.read(spark, place, durable.ddl(stream)).select("event_type", "seq")
+
+
+@query("stream_metric_transitions")
+def _(spark, sf):
+    rows = arriving(spark, adapter(spark, sf, "fx_metrics"))
+    found = jobs.drain(jobs.stream_metric_transitions(rows.stream()), "stream-transitions", rows)
+    return found.select("hostname", "metric", "seq", "old_state", "new_state")
 
 
 @query("stream_hourly_report")
 def _(spark, sf):
-    rows = incident_rows(spark, sf).select("seq", "ts", "risk")
-    return jobs.stream_hourly_report(stream_of(spark, rows)).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+    rows = arriving(spark, incident_rows(spark, sf).select("seq", "ts", "risk"))
+    return jobs.stream_hourly_report(rows.stream(**jobs.ONE_STATE), rows).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
 
 
-QUERIES["stream_multi_sink"] = lambda spark, sf: jobs.stream_multi_sink(stream_of(spark, adapter(spark, sf, "fx_syslog")), row_scorer(spark, sf), COOLDOWN)
+@query("stream_multi_sink")
+def _(spark, sf):
+    rows = arriving(spark, adapter(spark, sf, "fx_syslog"))
+    return jobs.stream_multi_sink(rows.stream(), row_scorer(spark, sf), COOLDOWN, rows)
 
 
 @query("stream_late_data")
 def _(spark, sf):
-    rows = adapter(spark, sf, "fx_syslog").select("seq", "ts", "hostname")
-    return jobs.stream_late_data(stream_of(spark, rows, late=True), "48 hours").withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+    rows = arriving(spark, adapter(spark, sf, "fx_syslog").select("seq", "ts", "hostname"), late=True)
+    return jobs.stream_late_data(rows.stream(**jobs.ONE_STATE), "48 hours", rows).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
 
 
 def entry(spark: SparkSession, sf: str) -> DataFrame:

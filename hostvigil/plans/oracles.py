@@ -629,6 +629,14 @@ def oracle_sql() -> dict[str, str]:
             FROM slide_report""", "slide_report"
         ),
         "stream_cooldown": s("SELECT event_type, seq FROM dedup", "dedup"),
+        "stream_counters": s(
+            """SELECT count(*) AS processed, count(*) FILTER (WHERE route = 'BENIGN') AS benign_filtered, count(*) FILTER (WHERE route = 'ALERT') AS incidents,
+            count(*) FILTER (WHERE pre_decision = 'SUSPICIOUS') AS suspicious_overrides, count(*) FILTER (WHERE pre_decision = 'PASS_TO_AI') AS passed_to_ai FROM routed""", "routed"
+        ),
+        "stream_restart": s("SELECT event_type, seq FROM dedup", "dedup"),
+        "stream_flood_alerts": s(
+            "SELECT hostname, ts AS timestamp, array_to_string(found, '; ') AS pattern_type, total_requests AS requests_count, top_ip, top_endpoint, risk_level FROM live_flood", "live_flood"
+        ),
         "stream_metric_transitions": s("SELECT hostname, metric, seq, old_state, new_state FROM trans", "trans"),
         "stream_hourly_report": s(hours, "incident"),
         "stream_multi_sink": s(
@@ -656,3 +664,11 @@ piece("slide_pairs", ["slides"], "SELECT hostname, window_start, window_start +
 report_pieces("slide", "slide_pairs", "hostname, window_start", WINDOW)
 piece("live_gated", ["routed"], "SELECT * FROM routed WHERE dispatch AND risk IN ('HIGH', 'CRITICAL') AND confidence >= 0.55")
 cooldown("live_alert", "live_gated", ["hostname", "prediction", "source_log"])
+piece(
+    "closed_slides",
+    ["slide_report", "req"],
+    f"""
+SELECT *, epoch_us(window_start) AS seq, window_start + INTERVAL 1 HOUR AS ts FROM slide_report
+WHERE is_anomaly AND window_start + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) FROM req) - INTERVAL 2 HOUR""",
+)
+cooldown("live_flood", "closed_slides", ["hostname", "top_ip"])

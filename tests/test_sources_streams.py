@@ -1,13 +1,14 @@
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 from pathlib import Path
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from hostvigil.operators import classify, metrics, ordered
+from hostvigil.operators import classify, incidents, metrics, ordered
 from hostvigil.plans import pipelines
 from hostvigil.sources import files, logs
-from hostvigil.streaming import jobs
+from hostvigil.streaming import durable, jobs
 
 START = datetime(2026, 1, 1)
 
@@ -68,9 +69,8 @@ def test_metrics_text(spark):
     assert files.metrics_text(frame, "plain").first().plain == "5"
 
 
-def segments(spark, frame, parts=3):
-    path = jobs.write_segments(frame.withColumn("part", F.floor(F.col("seq") * parts / frame.count()).cast("int")), "part", parts, "segments")
-    return jobs.read_segments(spark, path, frame.schema)
+def segments(frame, parts=3):
+    return jobs.Arrivals(frame.withColumn("part", F.floor(F.col("seq") * parts / frame.count()).cast("int")), "part", parts)
 
 
 def events(spark, n=300):
@@ -81,22 +81,124 @@ def events(spark, n=300):
     )
 
 
-def test_cooldown_of_a_stream_in_order_equals_the_batch(spark):
+@pytest.mark.parametrize("held", [10**6, 7])
+def test_cooldown_of_a_stream_equals_the_batch(spark, held):
+    """Rows of a key come in any order within a trigger; with 7 rows held, they pass through slices in the state store."""
     rows = events(spark).withColumn("ts", F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("seq") * 700_000).cast("timestamp_ntz"))
-    streamed = jobs.drain(jobs.stream_cooldown(segments(spark, rows), ["k"], 20), "c")
+    arrivals = segments(rows.orderBy(F.xxhash64("seq")))
+    streamed = jobs.drain(jobs.stream_cooldown(arrivals.stream(), ["k"], 20, held=held), "c", arrivals)
     assert {(r.k, r.seq) for r in streamed.collect()} == {(r.k, r.seq) for r in ordered.cooldown(rows, ["k"], 20).collect()}
 
 
-def test_transitions_of_a_stream_equal_the_batch(spark):
+@pytest.mark.parametrize("held", [10**6, 7])
+def test_transitions_of_a_stream_equal_the_batch(spark, held):
     rows = spark.range(200).select(
-        F.col("id").alias("seq"), F.timestamp_micros(F.col("id") * 1_000_000).cast("timestamp_ntz").alias("ts"), F.lit("vps").alias("hostname"),
+        F.col("id").alias("seq"), F.timestamp_micros(F.col("id") * 100_000_000).cast("timestamp_ntz").alias("ts"), F.lit("vps").alias("hostname"),
         F.when(F.col("id") % 2 == 0, "CPU").otherwise("RAM").alias("metric"), (F.lit(70.0) + (F.col("id") * 37) % 30).alias("current_value"),
     )
-    streamed = jobs.drain(jobs.stream_metric_transitions(segments(spark, rows)), "t")
+    arrivals = segments(rows)
+    streamed = jobs.drain(jobs.stream_metric_transitions(arrivals.stream(), held), "t", arrivals)
     batch = metrics.transitions(rows)
     assert {(r.seq, r.old_state, r.new_state) for r in streamed.collect()} == {(r.seq, r.old_state, r.new_state) for r in batch.collect()}
 
 
+def test_state_of_a_key_goes_when_the_watermark_has_passed(spark):
+    """With a delay a timer clears the state; a row after that starts a new chain, and an older one is dropped."""
+    at = lambda s: START + timedelta(seconds=s)
+    rows = spark.createDataFrame(
+        [(0, at(0), "a", 0), (1, at(5), "a", 0), (2, at(500), "b", 0), (3, at(501), "b", 1), (4, at(2), "a", 2), (5, at(900), "a", 2)], "seq LONG, ts TIMESTAMP_NTZ, k STRING, part INT"
+    )
+    arrivals = jobs.Arrivals(rows, "part", 3)
+    kept = jobs.drain(jobs.stream_cooldown(arrivals.stream(), ["k"], 20, delay="10 seconds"), "c", arrivals)
+    assert sorted(r.seq for r in kept.collect()) == [0, 2, 5]
+
+
+class Lost(Exception):
+    pass
+
+
+@pytest.mark.parametrize("lose,when", [(0, "after"), (1, "half"), (2, "before")])
+def test_a_lost_driver_loses_and_doubles_nothing(spark, tmp_path, lose, when):
+    """The driver goes before a batch is stored, when half of it is, or before it is committed; then it starts again."""
+    rows = events(spark, 120).withColumn("ts", F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("seq") * 700_000).cast("timestamp_ntz"))
+    place, arrivals, left = durable.Place(str(tmp_path), "kept"), segments(rows), {lose}
+
+    def sink(batch, n):
+        part = batch.limit(1) if n in left and when == "half" else batch
+        if n not in left or when != "before":
+            part.write.mode("overwrite").parquet(f"{place.data}/batch={n}")
+        if n in left:
+            left.remove(n)
+            raise Lost
+
+    def run():
+        stream = jobs.stream_cooldown(arrivals.stream(), ["k"], 10)  # a new stream and session each time
+        try:
+            durable.start(stream, place, sink).awaitTermination()
+        except StreamingQueryException:
+            seen = durable.read(spark, place, durable.ddl(stream))
+            assert durable.committed(spark, place) == lose - 1 and seen.where(F.col("batch") >= lose).count() == 0
+            return run()
+        return durable.read(spark, place, durable.ddl(stream))
+
+    for _ in arrivals:
+        found = run()
+    assert sorted((r.k, r.seq) for r in found.collect()) == sorted((r.k, r.seq) for r in ordered.cooldown(rows, ["k"], 10).collect())
+
+
+def test_a_stream_that_goes_on_takes_what_arrives(spark, tmp_path):
+    rows = events(spark, 60)
+    place, arrivals = durable.Place(str(tmp_path), "kept"), segments(rows)
+    stream = arrivals.stream()
+    query = durable.start(stream, place, every="200 milliseconds")
+    try:
+        for _ in arrivals:
+            query.processAllAvailable()
+        assert query.isActive
+    finally:
+        query.stop()
+    assert sorted(r.seq for r in durable.read(spark, place, durable.ddl(stream)).collect()) == list(range(60))
+
+
+def test_times_of_keys_are_those_of_earlier_batches(spark, tmp_path):
+    times = durable.KeyedTimes(str(tmp_path), "k STRING", merge=3)
+    row = lambda k, s: spark.createDataFrame([(k, START + timedelta(seconds=s))], "k STRING, ts TIMESTAMP_NTZ")
+    seen = {}
+    for n in range(11):
+        key = ["a", "b", None][n % 3]
+        for _ in range(2):  # a batch that runs again
+            assert {r.k: r.ts for r in times.before(spark, n).collect()} == seen
+            times.write(row(key, n), n)
+        seen[key] = START + timedelta(seconds=n)
+    assert len([p for p in tmp_path.iterdir() if p.name.startswith("batch=")]) <= 2 * 3 + 1
+
+
+def test_live_floods_equal_the_batch(spark):
+    """Reports and alerts of closed windows leave batch by batch and are those of the whole input."""
+    n = 3000
+    rows = spark.range(n).select(
+        F.col("id").alias("seq"), F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("id") * 1_000_000).cast("timestamp_ntz").alias("ts"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("hostname"),
+        F.lit("/var/log/nginx/access.log").alias("source_log"),
+        F.format_string('10.0.0.%d - - [x] "GET /p%d HTTP/1.1" %d 5', F.floor(F.col("id") / 400) % 3, F.col("id") % 2, F.when(F.col("id") % 5 == 0, 500).otherwise(200)).alias("raw_line"),
+    )
+    rules = {"request_threshold": 50, "ip_threshold": 25, "endpoint_threshold": 60, "min_ips": 2}
+    arrivals, place, sizes = segments(rows, 4), jobs.new_place(spark, "floods"), []
+    for _ in arrivals:
+        jobs.start_flood_alerts(arrivals.stream(**jobs.ONE_STATE), place, "1 minute", "30 seconds", "10 seconds", 60, 300, **rules).awaitTermination()
+        sizes.append(files.read_table(spark, place.root, "alerts").count())
+    assert sizes[0] > 0 and sizes[-1] > sizes[0]  # while rows still arrive
+    counts = jobs.stream_traffic_counts(rows.withColumn("ts", F.col("ts")), "1 minute", "30 seconds", "10 seconds")
+    wanted = jobs.traffic_by_window(counts, 60, **rules).withColumn("ts", (F.col("window_start") + F.expr("INTERVAL 60 SECONDS")).cast("timestamp_ntz"))
+    last = START.fromtimestamp(1_700_000_000 + n - 1 - 10, tz=timezone.utc).replace(tzinfo=None)
+    wanted = wanted.where(F.col("ts") <= F.lit(last)).withColumn("seq", F.unix_micros("window_start"))
+    reports = spark.read.parquet(f"{place.root}/flood_reports")
+    shape = ["hostname", "ts", "total_requests", "unique_ips", "top_ip", "top_ip_requests", "top_endpoint", "error_requests", "patterns_detected", "risk_level"]
+    assert sorted(map(str, reports.select(*shape).collect())) == sorted(map(str, wanted.select(*shape).collect()))
+    sent = ordered.cooldown(wanted.where("is_anomaly"), ["hostname", "top_ip"], 300)
+    events = files.read_table(spark, place.root, "ddos_events")
+    assert sorted((r.hostname, r.timestamp, r.top_ip, r.requests_count) for r in events.collect()) == sorted((r.hostname, r.ts, r.top_ip, r.total_requests) for r in sent.collect())
+
+
 def keyword_scorer(frame):
     def load():
         return lambda texts: [("Cryptomining", 0.96) if "xmrig" in t else ("SSH_BruteForce", 0.5) for t in texts]
@@ -126,14 +228,19 @@ def test_triage_routes(spark, lines):
 
 
 def test_multi_sink(spark, lines):
+    def run(seconds):
+        arrivals = segments(lines)
+        return jobs.stream_multi_sink(arrivals.stream(), keyword_scorer, seconds, arrivals)
+
     for seconds, alerts in ((10, 4), (900, 1), (1, 10)):  # attacks are four seconds apart, and the cooldown spans batches
-        counts = {r.table_name: (r.n, r.ids) for r in jobs.stream_multi_sink(segments(spark, lines), keyword_scorer, seconds).collect()}
+        counts = {r.table_name: (r.n, r.ids) for r in run(seconds).collect()}
         assert counts == {"security_decisions": (20, 20), "attack_logs": (20, 20), "alerts": (alerts, alerts)}
 
 
 def test_cooldown_of_a_stream_keeps_late_rows_of_other_keys(spark):
     rows = spark.createDataFrame([(i, START + timedelta(seconds=100 * i), "a") for i in range(5)] + [(5, START, "b")], "seq LONG, ts TIMESTAMP_NTZ, k STRING")
-    kept = jobs.drain(jobs.stream_cooldown(segments(spark, rows), ["k"], 20), "c")
+    arrivals = segments(rows)
+    kept = jobs.drain(jobs.stream_cooldown(arrivals.stream(), ["k"], 20), "c", arrivals)
     assert sorted(r.seq for r in kept.collect()) == [0, 1, 2, 3, 4, 5]
 
 
@@ -155,6 +262,13 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
     assert session.work_root(Session()) == session.work_root(Session())
 
 
+def test_counters_of_a_stream_equal_those_of_the_batch(spark, lines):
+    arrivals = segments(lines)
+    log = jobs.stream_counters(arrivals.stream(), keyword_scorer, jobs.new_place(spark, "counted"), arrivals)
+    batch = pipelines.stateless_triage(lines, keyword_scorer).agg(*[c.alias(k) for k, c in incidents.counters().items()]).first().asDict()
+    assert log.totals() == batch and len(log.by_batch) == 3
+
+
 def test_ad_hoc_analysis_scores_what_triage_drops(spark, lines):
     rows = pipelines.analyze_on_demand(lines.where("seq < 4"), keyword_scorer).orderBy("seq").collect()
     assert [(r.seq, r.pre_decision, r.clean_text, r.decision) for r in rows[:2]] == [(0, "BENIGN", LINES[0], "LOG_ONLY"), (1, "PASS_TO_AI", "nothing", "LOG_ONLY")]
