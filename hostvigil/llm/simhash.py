@@ -204,14 +204,20 @@ def labels(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def keep_one_each(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, width: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs``, one of each component: that with the smallest key, of equal keys one. Columns stay as they are."""
-    stored = materialize(
-        with_fingerprint(docs.withColumn("_hv_row", F.monotonically_increasing_id()), text, width, "_hv_fp"), "near-duplicate-rows"
-    )
-    rows = stored.select(named(key).alias("key"), F.col("_hv_fp").alias("fp"), F.col("_hv_row").alias("row"))
+    """The rows of ``docs``, one of each component: that with the smallest key, of equal keys one. Columns stay as they are.
+
+    Null keys come last, rows without words have fingerprint 0 and are one component, and an empty table stays empty. Rows
+    are stored once with a number and their fingerprint. The numbers of the rows to keep meet them in a sort-merge join
+    at every size, so what is shuffled is in proportion to the input.
+    """
+    whole = F.struct(*[named(c) for c in docs.columns]).alias("doc")
+    hashed = text_function(_fingerprints(width), {"fp": pa.int64()}, "fp long")
+    stored = docs.select(whole, F.monotonically_increasing_id().alias("row"), hashed(named(text)).alias("h"))
+    stored = materialize(stored.select("doc", "row", F.col("h.fp").alias("fp")), "near-duplicate-rows")
+    rows = stored.select(F.col("doc")[key].alias("key"), "fp", "row")
     fps = rows.groupBy("fp").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "row")).alias("first"))
     fps = materialize(fps.select("fp", F.col("first.row").alias("row"), F.struct("first.none", "first.key", "first.row").alias("key")), "distinct-fingerprints")
     roots = materialize(components(links(fps.select("fp"), radius)), "components")
     kept = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("key").alias("first"))
-    kept = materialize(kept.select(F.col("first.row").alias("_hv_row")), "kept-rows")
-    return stored.join(kept, "_hv_row", "left_semi").select(*[named(c) for c in docs.columns])
+    kept = materialize(kept.select(F.col("first.row").alias("row")), "kept-rows")
+    return stored.join(kept.hint("merge"), "row", "left_semi").select("doc.*")
