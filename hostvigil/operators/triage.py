@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from functools import reduce
-from itertools import islice
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,9 +11,6 @@ from hostvigil.functions import patterns as p
 from hostvigil.operators.ordered import evaluate_once
 from hostvigil.functions.text import fold_case, is_blank, java_regex, matches, sanitize, strip
 
-PATTERN_BLOCK = 200
-
-
 def _first_true(tests: list[tuple[Column, Column]]) -> Column:
     chain = F.when(*tests[0])
     for test in tests[1:]:
@@ -80,64 +76,53 @@ def escaped_keyword(keyword: str) -> str:
     return "".join("\\" + ch if ch in "()[]{}?*+-|^$\\.&~# \t\n\r\v\f" else ch for ch in keyword)
 
 
-def first_pattern_match(lines: DataFrame, table: DataFrame, column: str = "raw_line") -> DataFrame:
-    """Join each line to the first row of a (pattern_id, pattern) table that matches it.
-
-    The table is a dimension that users write. It is read in blocks, and each block becomes compiled branches of one step
-    that only lines without a match enter, so no line meets another row, nothing is shuffled, and no size is refused.
-    """
-    found = lines.withColumns({"_id": F.lit(None).cast(table.schema["pattern_id"].dataType), "_found": F.lit(None).cast("string")})
-    rows = table.select("pattern_id", "pattern").where("pattern IS NOT NULL").orderBy("pattern_id").toLocalIterator()
-    while block := list(islice(rows, PATTERN_BLOCK)):
-        hit = F.when(F.col("_found").isNull(), _first_true([(matches(F.col(column), row.pattern), F.lit(i)) for i, row in enumerate(block)]))
-        step = evaluate_once(found.withColumn("_hit", hit), "_hit")
-        found = step.select(
-            *lines.columns,
-            F.coalesce("_id", F.get(F.lit([row.pattern_id for row in block]), F.col("_hit"))).alias("_id"),
-            F.coalesce("_found", F.get(F.lit([row.pattern for row in block]), F.col("_hit"))).alias("_found"),
-        )
-    return found.select(*lines.columns, F.col("_id").alias("pattern_id"), F.col("_found").alias("pattern"))
-
-
 def guarded_match(line: Column, folded: Column, table: list[str], guards: list[list[str]]) -> Column:
-    """Whether any pattern matches; a pattern is tried only where one of its literals occurs."""
-    tests = {}
-    for pattern, literals in zip(table, guards):
-        tests[pattern] = any_true([folded.contains(x) for x in literals]) & matches(line, pattern)
-    return any_true(list(tests.values()))
+    """Whether any pattern matches: one alternation, tried only where one of the patterns' literals occurs."""
+    literals = dict.fromkeys(x for own in guards for x in own)
+    return any_true([folded.contains(x) for x in literals]) & matches(line, "|".join(f"(?:{pattern})" for pattern in dict.fromkeys(table)))
 
 
 def any_true(tests: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, tests)
 
 
-def is_noisy(line: Column, folded: Column | None = None) -> Column:
-    """Blank, or a line of routine service chatter."""
-    folded = fold_case(line) if folded is None else folded
+def is_noisy(line: Column, folded: Column) -> Column:
+    """Blank, or a line of routine service chatter; ``folded`` is the line in fold_case."""
     chatter = any_true([F.lower(line).contains(s) for s in p.NOISE_SUBSTRINGS])
     table, guards = p.NOISE_PATTERNS + p.EXTRA_NOISE_PATTERNS, p.NOISE_GUARDS + p.EXTRA_NOISE_GUARDS
     return is_blank(line) | chatter | guarded_match(line, folded, table, guards)
 
 
+def with_noise(lines: DataFrame) -> DataFrame:
+    """Add _folded and _noisy, each a step of its own: steps stay small enough to be compiled."""
+    folded = evaluate_once(lines.withColumn("_folded", fold_case(F.col("raw_line"))), "_folded")
+    return evaluate_once(folded.withColumn("_noisy", is_noisy(F.col("raw_line"), F.col("_folded"))), "_noisy")
+
+
+def drop_noise(lines: DataFrame) -> DataFrame:
+    """The lines that are no noise."""
+    return with_noise(lines).where("NOT _noisy").select(*lines.columns)
+
+
 def with_clean_text(lines: DataFrame, spare: Column | None = None) -> DataFrame:
     """Add clean_text: the payload of a line by its source; NULL where the line is noise or holds none.
 
     ``spare`` marks lines the noise filter does not apply to.
     """
-    noisy = is_noisy(F.col("raw_line"), F.col("_folded"))
-    steps = (
-        lines.withColumn("_folded", fold_case(F.col("raw_line")))
-        .withColumn("_noisy", noisy if spare is None else noisy & ~spare)
-        .withColumn("_line", F.when(~F.col("_noisy"), strip(F.col("raw_line"))))
-        .withColumn("_source", F.lower(F.coalesce("source_log", F.lit(""))))
-        .withColumn("_payload", _payload(F.col("_line"), F.col("_folded"), F.col("_source")))
-        .withColumn("_text", F.when(F.col("_payload").isNotNull(), sanitize(F.col("_payload"))))
-    )
-    return steps.select(*lines.columns, F.nullif("_text", F.lit("")).alias("clean_text"))
+    noisy = F.col("_noisy") if spare is None else F.col("_noisy") & ~spare
+    kept = with_noise(lines).withColumn("_line", F.when(~noisy, strip(F.col("raw_line")))).withColumn("_source", F.lower(F.coalesce("source_log", F.lit(""))))
+    secure = F.col("_line").isNotNull() & guarded_match(F.col("_line"), F.col("_folded"), p.SECURITY_PATTERNS, p.SECURITY_GUARDS)
+    marked = evaluate_once(kept.withColumn("_secure", secure), "_line", "_source", "_secure")
+    found = evaluate_once(marked.withColumn("_payload", _payload(F.col("_line"), F.col("_source"), F.col("_secure"))), "_payload")
+    text = F.when(F.col("_payload").isNotNull(), sanitize(F.col("_payload")))
+    return found.select(*lines.columns, F.nullif(text, F.lit("")).alias("clean_text"))
+
 
+def _payload(line: Column, source: Column, secure: Column) -> Column:
+    """First rule whose source and pattern fit; a rule whose pattern does not match falls through to the next.
 
-def _payload(line: Column, folded: Column, source: Column) -> Column:
-    """First rule whose source and pattern fit; a rule whose pattern does not match falls through."""
+    ``secure`` says that one of the security patterns matches.
+    """
 
     def from_source(*names: str) -> Column:
         return any_true([source.contains(n) for n in names])
@@ -148,7 +133,6 @@ def _payload(line: Column, folded: Column, source: Column) -> Column:
         return where & line.rlike(spelled), F.concat(F.lit(prefix), found) if prefix else found
 
     login = from_source("auth", "secure") | line.contains("sshd")
-    security = line.isNotNull() & guarded_match(line, folded, p.SECURITY_PATTERNS, p.SECURITY_GUARDS)
     return _first_true(
         [
             rule(from_source("access", "nginx", "apache"), p.QUOTED_REQUEST),
@@ -156,7 +140,7 @@ def _payload(line: Column, folded: Column, source: Column) -> Column:
             rule(login, p.SUDO_MESSAGE),
             rule(from_source("fail2ban"), p.FAIL2BAN_MESSAGE),
             rule(from_source("audit"), p.AUDIT_EXECUTABLE, "Executed binary: "),
-            (security, F.regexp_replace(line, java_regex(p.SYSLOG_PREFIX, ignore_case=False), "")),
+            (secure, F.regexp_replace(line, java_regex(p.SYSLOG_PREFIX, ignore_case=False), "")),
         ]
     )
 

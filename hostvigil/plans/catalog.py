@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from hostvigil.functions import decisions as d
 from hostvigil.functions import patterns as p
 from hostvigil.functions.text import sanitize
-from hostvigil.operators import alerts, classify, dataset, evaluate, incidents, lookups, metrics, ordered, review, traffic, triage
+from hostvigil.operators import alerts, classify, dataset, evaluate, incidents, lookups, metrics, ordered, patterns, review, traffic, triage
 from hostvigil.plans import pipelines
 from hostvigil.plans.fixtures import COOLDOWN, DOCUMENT_LABELS, LINE_LABELS, TRAFFIC, WINDOW, adapter
 from hostvigil.session import materialize, new_path
@@ -221,7 +221,7 @@ def _(spark, sf):
 # --- projections, filters, predicates ---
 on("prefilter_classify", "fx_triage", lambda x: triage.prefilter_classify(logs.spread(x)).select("seq", "decision", "reason", "matched_pattern"))
 on("prefilter_disabled", "fx_triage", lambda x: triage.prefilter_classify(x, enabled=False).select("seq", "decision", "reason", "matched_pattern"))
-on("noise_filter", "fx_triage", lambda x: x.where(~triage.is_noisy(F.col("raw_line"))).select("seq", "raw_line"))
+on("noise_filter", "fx_triage", lambda x: triage.drop_noise(x).select("seq", "raw_line"))
 on("extract_clean_text", "fx_triage", lambda x: triage.with_clean_text(x).select("seq", "clean_text"))
 on("sanitize_text", "fx_triage", lambda x: x.select("seq", sanitize(F.col("raw_line")).alias("text")))
 on("parse_access_log", "fx_access", lambda x: triage.parse_access_log(x).select("seq", "hostname", "ip", "endpoint", "method", "status"))
@@ -288,7 +288,7 @@ on("recommendation_lookup", "fx_pred", lambda x: lookups.recommendation_lookup(x
 @query("pattern_match_join")
 def _(spark, sf):
     table = spark.createDataFrame(list(enumerate(p.BENIGN_PATTERNS)), "pattern_id INT, pattern STRING")
-    return triage.first_pattern_match(adapter(spark, sf, "fx_triage"), table).select("seq", "pattern_id", "pattern")
+    return patterns.first_pattern_match(adapter(spark, sf, "fx_triage"), table).select("seq", "pattern_id", "pattern")
 
 
 @query("resolve_alerts")

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -5,7 +6,7 @@ from pyspark.sql import functions as F
 
 from hostvigil.functions import patterns as p
 from hostvigil.functions.text import is_blank, java_regex, sanitize, strip, tokens
-from hostvigil.operators import triage
+from hostvigil.operators import patterns, triage
 from hostvigil.plans import pipelines
 from hostvigil.plans.fixtures import ADAPTERS
 
@@ -88,7 +89,7 @@ def test_every_pattern_agrees_with_python(spark):
 def test_guards_never_hide_a_match(spark):
     lines = ODD + fixture_lines(spark)
     frame = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "seq LONG, raw_line STRING")
-    noisy = [r.seq for r in frame.where(triage.is_noisy(F.col("raw_line"))).orderBy("seq").collect()]
+    noisy = [r.seq for r in triage.with_noise(frame).where("_noisy").orderBy("seq").collect()]
     tests = p.NOISE_PATTERNS + p.EXTRA_NOISE_PATTERNS
     assert noisy == [
         i for i, x in enumerate(lines) if not x.strip() or any(s in x.lower() for s in p.NOISE_SUBSTRINGS) or any(re.search(t, x, re.I) for t in tests)
@@ -99,20 +100,63 @@ def test_pattern_table_equals_the_chain(spark):
     lines = [x for x in ODD + fixture_lines(spark) if x.strip()]
     frame = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "seq LONG, raw_line STRING")
     table = spark.createDataFrame(list(enumerate(p.BENIGN_PATTERNS)), "pattern_id INT, pattern STRING")
-    joined = [r.pattern for r in triage.first_pattern_match(frame, table).orderBy("seq").collect()]
+    joined = [r.pattern for r in patterns.first_pattern_match(frame, table).orderBy("seq").collect()]
     assert joined == [r.matched_pattern for r in classify(spark, lines)]
 
 
 def test_pattern_tables_of_any_size(spark):
-    n = 2 * triage.PATTERN_BLOCK + 5
+    n = 405
     table = spark.range(n).selectExpr("CAST(id AS INT) AS pattern_id", "concat('^x', id, '$') AS pattern")
     frame = spark.createDataFrame([(i, f"x{i}") for i in (0, 7, n - 1, n)], "seq INT, raw_line STRING")
-    found = triage.first_pattern_match(frame, table.unionByName(table.withColumn("pattern_id", F.col("pattern_id") + n)))
-    assert {r.seq: r.pattern_id for r in found.collect()} == {0: 0, 7: 7, n - 1: n - 1, n: None}
-    empty = triage.first_pattern_match(frame, table.limit(0))
+    for part in (10**6, 100):
+        found = patterns.first_pattern_match(frame, table.unionByName(table.withColumn("pattern_id", F.col("pattern_id") + n)), part=part)
+        assert {r.seq: r.pattern_id for r in found.collect()} == {0: 0, 7: 7, n - 1: n - 1, n: None}
+    empty = patterns.first_pattern_match(frame, table.limit(0))
     assert {r.pattern_id for r in empty.collect()} == {None}
 
 
+def test_required_literals_are_in_every_match():
+    """Random patterns and texts: where the pattern matches, one of its literals occurs."""
+    rng = random.Random(1)
+    pieces = ["abc", "foo", "a", "b", r"\d", r"\.", "[a-f]", "[^x]", "(abc)", "(?:foo|bar)", "(b)?", ".", r"\s+", "|", "x{2}", "c?", "f*", "o+", r"\b", "^", "$", r"\[", "[]a]", "a{0,2}", "(?=a)", "bar"]
+    found = 0
+    for _ in range(30_000):
+        pattern = "".join(rng.choices(pieces, k=rng.randint(1, 5)))
+        try:
+            compiled = re.compile(pattern, re.IGNORECASE)
+        except re.error:
+            continue
+        literals = patterns.required_literals(pattern)
+        for _ in range(3):
+            text = "".join(rng.choices(["abc", "foo", "a", "B", "1", ".", " ", "bar", "xx", "F", "o", "[", "c"], k=rng.randint(0, 8)))
+            if literals is not None and compiled.search(text):
+                found += 1
+                assert any(x in text.lower() for x in literals), (pattern, text, literals)
+    assert found > 1000
+    assert patterns.required_literals(r"systemd\[\d+\]:\s+Reached target\s+") == ["reached target"]
+    assert patterns.required_literals("foo|barn|x.*CVE-") == ["foo", "barn", "cve-"] and patterns.required_literals("ab|cde") is None
+    assert patterns.required_literals("(?i)abcd") is None and patterns.required_literals("abc(d|e)fgh") == ["abc"]
+
+
+def test_a_hundred_thousand_patterns_need_no_larger_plan(spark):
+    n = 100_000
+    table = spark.range(n).selectExpr("CAST(id AS INT) AS pattern_id", "concat('host', id, '\\\\b.*(down|up)') AS pattern").unionByName(spark.createDataFrame([(n, "^[0-9]+$")], "pattern_id INT, pattern STRING"))
+    lines = spark.createDataFrame([(0, "HOST77 is DOWN"), (1, "host99999 up"), (2, "host770 idle"), (3, "12345"), (4, None), (5, "host5 host3 up")], "seq INT, raw_line STRING")
+    found = patterns.first_pattern_match(lines, table)
+    assert {r.seq: r.pattern_id for r in found.collect()} == {0: 77, 1: 99_999, 2: None, 3: n, 4: None, 5: 3}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert len(plan) < 20_000 and "Exchange" not in plan
+
+
+def test_steps_are_small_enough_to_be_compiled(spark, capsys):
+    """Java compiles no method above 8,000 bytes at run time."""
+    frame = spark.createDataFrame([("x", "y")], "raw_line STRING, source_log STRING")
+    for steps in (triage.drop_noise(frame), triage.with_clean_text(frame), triage.prefilter_classify(frame)):
+        steps.explain("codegen")
+        sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(-?\d+)", capsys.readouterr().out)]
+        assert sizes and all(0 < size < 8000 for size in sizes)
+
+
 @pytest.mark.parametrize(
     ("line", "source", "text"),
     [
