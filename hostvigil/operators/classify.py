@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, StringIndexer
@@ -21,6 +23,7 @@ HASH_DIGITS = 4
 BLANK_SCORE = 0.9999
 ERROR_SCORE = 0.50
 BATCH_TEXTS = 128
+SHARED_CELLS = 4_000_000  # values of a model, tokens times labels, that is shared with executors
 
 
 def class_labels(rows: DataFrame) -> list[str]:
@@ -65,14 +68,18 @@ def nb_train(rows: DataFrame, labels: list[str], digits: int | None = None) -> D
     return counts.withColumn("_totals", totals).select("token", logp.alias("logp")).unionByName(priors.select(F.lit("").alias("token"), "logp"))
 
 
-def nb_score(rows: DataFrame, model: DataFrame, labels: list[str], key: str = "seq", text: str = "clean_text", digits: int | None = None, chars: int | None = None) -> DataFrame:
+def nb_score(rows: DataFrame, model: DataFrame, labels: list[str], key: str = "seq", text: str = "clean_text", digits: int | None = None, chars: int | None = None, shared: int = SHARED_CELLS) -> DataFrame:
     """Add prediction, confidence (4 decimals) and scores, best label first, to rows with a unique key.
 
-    The whole text counts; a live predictor reads the first ``chars`` characters. Tokens are counted per key before they
-    meet the model, so a frequent token is one row per text; the model is broadcast when its measured size allows, else
-    joined by shuffle. The rows join their scores at the end.
+    The whole text counts; a live predictor reads the first ``chars`` characters. A model of at most ``shared`` values,
+    which is counted, is shared with the executors, and each row is scored where it stands, without a shuffle. A larger
+    one is joined: tokens are counted per key before they meet it, and the rows join their scores at the end.
     """
     read = F.col(text) if chars is None else F.left(F.col(text), F.lit(chars))
+    most = shared // max(1, len(labels))
+    if model.limit(most + 1).count() <= most:
+        scored = rows.withColumn("_s", log_sums(model)(features(read, digits)))
+        return with_ranking(scored, labels).select(*rows.columns, "prediction", "confidence", "scores")
     words = rows.select(key, F.explode_outer(features(read, digits)).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("_tf"))
     known = model.where("token <> ''")
     prior = model.where("token = ''").select("logp").scalar()
@@ -82,6 +89,28 @@ def nb_score(rows: DataFrame, model: DataFrame, labels: list[str], key: str = "s
     return rows.join(with_ranking(total, labels), key).select(*[rows[c] for c in rows.columns], "prediction", "confidence", "scores")
 
 
+def log_sums(model: DataFrame) -> Callable[[Column], Column]:
+    """A column function from tokens to the log score of each label, by a model whose size is known to be small."""
+    found = model.toArrow()
+    index = {token: i for i, token in enumerate(found.column("token").to_pylist())}
+    logp = found.column("logp").combine_chunks().flatten().to_numpy().reshape(len(index), -1)
+    shared = model.sparkSession.sparkContext.broadcast((index, logp))
+
+    @F.arrow_udf("array<double>")
+    def sums(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known, values = shared.value
+        padded = np.vstack([values, np.zeros(values.shape[1])])  # a token that was not met adds nothing
+        for part in parts:
+            codes = part.flatten().dictionary_encode()
+            at = np.fromiter((known.get(t, len(values)) for t in codes.dictionary.to_pylist()), dtype=np.int64, count=len(codes.dictionary))[codes.indices.to_numpy()]
+            owner = np.repeat(np.arange(len(part)), pc.fill_null(pc.list_value_length(part), 0).to_numpy())
+            total = np.stack([np.bincount(owner, weights=padded[at, j], minlength=len(part)) for j in range(values.shape[1])], axis=1) + values[known[""]]
+            offsets = np.arange(0, total.size + 1, values.shape[1], dtype=np.int32)
+            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(total.ravel()))
+
+    return sums
+
+
 def with_ranking(total: DataFrame, labels: list[str]) -> DataFrame:
     """Softmax over the log scores in _s; scores is ranked by score (millionths), then label.
 

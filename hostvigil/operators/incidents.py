@@ -28,11 +28,15 @@ def incident_rows(decided: DataFrame) -> DataFrame:
     )
 
 
+def at_least(min_risk: str | None) -> Column | None:
+    """Whether the risk is at or above a level; None for an unknown level."""
+    return F.col("risk").isin(RISK_LEVELS[RISK_LEVELS.index(min_risk) :]) if min_risk in RISK_LEVELS else None
+
+
 def recent_incidents(incidents: DataFrame, limit: int = 50, min_risk: str | None = None) -> DataFrame:
     """Newest incidents at or above a risk; an unknown level filters nothing."""
-    if min_risk in RISK_LEVELS:
-        incidents = incidents.where(F.col("risk").isin(RISK_LEVELS[RISK_LEVELS.index(min_risk) :]))
-    return newest(incidents, limit)
+    wanted = at_least(min_risk)
+    return newest(incidents if wanted is None else incidents.where(wanted), limit)
 
 
 def recent_decisions(decisions: DataFrame, limit: int = 50, decision: str | None = None) -> DataFrame:

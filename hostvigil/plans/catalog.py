@@ -15,7 +15,7 @@ from hostvigil.operators import alerts, classify, dataset, evaluate, incidents,
 from hostvigil.plans import pipelines
 from hostvigil.plans.fixtures import COOLDOWN, DOCUMENT_LABELS, LINE_LABELS, TRAFFIC, WINDOW, adapter
 from hostvigil.session import materialize, new_path
-from hostvigil.sources import files, logs
+from hostvigil.sources import files, logs, stored
 from hostvigil.streaming import durable, jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,7 +96,7 @@ def row_scorer(spark: SparkSession, sf: str) -> pipelines.Scorer:
 
 
 def document_scores(spark: SparkSession, sf: str) -> DataFrame:
-    docs = adapter(spark, sf, "fx_labeled")
+    docs = logs.spread(adapter(spark, sf, "fx_labeled"))
     train = materialize(dataset.stratified_split(docs), "parts", "split").where("split = 'train'")
     model = materialize(classify.nb_train(train, DOCUMENT_LABELS), "document-model")
     return classify.nb_score(docs, model, DOCUMENT_LABELS, "ord", "text")
@@ -193,6 +193,36 @@ def _(spark, sf):
     return rows.select("hostname", "seq", "timestamp", "alert_type", "severity", "source", "status", "resolved_at", F.col("dt").cast("string").alias("dt"), full.alias("complete"))
 
 
+@query("stored_resolve")
+def _(spark, sf):
+    """Recoveries written into a stored table of active alerts."""
+    root = new_path(spark, "stored")
+    changes = materialize(metrics.transitions(adapter(spark, sf, "fx_metrics")), "transitions")
+    raised = ordered.cooldown(metrics.alert_candidates(changes), ["hostname", "alert_type", "metric"], COOLDOWN)
+    source = F.concat(F.lit("ResourceMonitor:"), "metric")
+    stored.append_incidents(alerts.with_resource_text(raised).withColumns({"source": source, "status": F.lit("ACTIVE")}), root, "alerts")
+    stored.resolve_alerts(spark, root, changes.where("event_type = 'RECOVERY'"))
+    metric = F.regexp_extract("alert_type", "^(.+)_", 1).alias("metric")
+    return stored.incident_table(spark, root, "alerts").read().select("hostname", metric, "seq", "alert_type", "status", "resolved_at")
+
+
+@query("stored_reviews")
+def _(spark, sf):
+    """Verdicts written into a stored review queue."""
+    root = new_path(spark, "stored")
+    stored.queue_reviews(adapter(spark, sf, "fx_review"), root)
+    stored.apply_reviews(spark, root, adapter(spark, sf, "fx_verdicts"))
+    return stored.review_table(spark, root).read().select("id", "status", "reviewed_label")
+
+
+@query("stored_recent")
+def _(spark, sf):
+    """The newest incidents of a stored table; only the newest dates are opened."""
+    root = new_path(spark, "stored")
+    stored.append_incidents(incident_rows(spark, sf), root, "attack_logs")
+    return stored.recent_incidents(spark, root, 50, "MEDIUM").select("seq", "hostname", "prediction", "risk", "status")
+
+
 @query("dual_write_events")
 def _(spark, sf):
     root = new_path(spark, "tables")

@@ -648,6 +648,7 @@ def oracle_sql() -> dict[str, str]:
             FROM (VALUES (0), (1), (2), (3)) AS v(k)) USING (segment) WHERE mark IS NULL OR date_trunc('hour', ts) + INTERVAL 1 HOUR > mark GROUP BY ALL""", "arrivals"
         ),
     }
+    out |= {"stored_resolve": out["resolve_alerts"], "stored_reviews": out["apply_reviews"], "stored_recent": out["recent_incidents"]}
     return out
 
 

@@ -33,12 +33,12 @@ def prepare_lines(lines: DataFrame, honor_suspicious: bool = False) -> DataFrame
 def triage_pipeline(lines: DataFrame, score: Scorer, honor_suspicious: bool = False, write_scored: bool = True) -> DataFrame:
     """Every line with its route: BENIGN, NOISE, IGNORE, LOG_ONLY or ALERT, and the decision fields of scored lines.
 
-    A scorer that shuffles reads its lines from a written table (``write_scored``), so that pattern matching is not
-    repeated; a stateless one should run without it.
+    The prepared lines are written once (``write_scored``) and read for both kinds of line, so that no pattern is matched
+    twice; a stateless scorer does better with stateless_triage.
     """
     prepared = prepare_lines(lines, honor_suspicious)
-    payload = prepared.where("clean_text IS NOT NULL")
-    decided = incidents.decide(score(materialize(payload, "triage") if write_scored else payload))
+    prepared = materialize(prepared, "triage") if write_scored else prepared
+    decided = incidents.decide(score(prepared.where("clean_text IS NOT NULL")))
     routed = final_fields(decided)
     rest = prepared.where("clean_text IS NULL").withColumn("route", F.when(F.col("pre_decision") == "BENIGN", "BENIGN").otherwise("NOISE"))
     return routed.unionByName(rest, allowMissingColumns=True)
