@@ -612,7 +612,10 @@ def oracle_sql() -> dict[str, str]:
         "tokenize": s(f"SELECT ord, CAST(generate_subscripts(t, 1) - 1 AS INTEGER) AS position, unnest(t) AS token FROM (SELECT ord, list_slice({tokens('text')}, 1, 256) AS t FROM fx_labeled)", "fx_labeled"),
         "nb_train": s("SELECT token, label, round(logp, 6) AS logp FROM doc_model UNION ALL SELECT '', label, round(ln(share), 6) FROM doc_class", "doc_model", "doc_class"),
         "nb_score": s("SELECT id AS ord, label AS prediction, score AS confidence FROM doc_rank WHERE rank = 1", "doc_rank"),
-        "lr_train_score": s("SELECT ord, label, true AS known_class, true AS on_scale FROM parts WHERE split = 'test'", "parts"),
+        "lr_train_score": s(
+            """SELECT p.label, count(*) AS n, true AS floor_met, true AS on_scale FROM parts p JOIN doc_rank r ON r.id = p.ord AND r.rank = 1
+            WHERE split = 'test' AND r.label = p.label AND score >= 0.99 GROUP BY p.label""", "parts", "doc_rank"
+        ),
         "predict_guards": s(
             """SELECT c.seq, coalesce(r.label, 'Benign') AS prediction, coalesce(r.score, CAST(0.9999 AS DOUBLE)) AS confidence FROM fx_syslog c LEFT JOIN guard_rank r ON r.id = c.seq AND r.rank = 1""", "fx_syslog", "guard_rank"
         ),
@@ -649,6 +652,7 @@ def oracle_sql() -> dict[str, str]:
         ),
     }
     out |= {"stored_resolve": out["resolve_alerts"], "stored_reviews": out["apply_reviews"], "stored_recent": out["recent_incidents"]}
+    out |= {f"stored_{name}": out[name] for name in ("statistics", "hourly_report", "risk_breakdown", "top_attack_types")}
     return out
 
 

@@ -1,7 +1,9 @@
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from hostvigil.operators import classify, dataset, evaluate, review
@@ -145,3 +147,38 @@ def test_logistic_regression_saves_and_loads(spark, tmp_path):
     model.write().save(str(tmp_path / "lr"))
     back = type(model).load(str(tmp_path / "lr"))
     assert {(r.text, r.predicted_label) for r in classify.lr_score(rows, back).collect()} == {(t, x) for _, t, x in TRAIN}
+
+
+def test_logistic_regression_equals_newton_steps(spark):
+    """The coefficients are those of an independent solver: ridge on standardised features, an intercept without."""
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(12)]
+    docs = []
+    for i in range(160):
+        label = "pos" if rng.random() < 0.5 else "neg"
+        share = np.linspace(1, 3, 12) if label == "pos" else np.linspace(3, 1, 12)
+        docs.append((i, " ".join(rng.choice(words, 15, p=share / share.sum())), label))
+    model = classify.lr_train(spark.createDataFrame(docs, "ord LONG, text STRING, label STRING"), features=64, iterations=300)
+    rows = PipelineModel(model.stages[:-1]).transform(spark.createDataFrame(docs, "ord LONG, text STRING, label STRING")).orderBy("ord").collect()
+    x, y = np.array([r.features.toArray() for r in rows]), np.array([r.label_id for r in rows])
+    spread = x.std(axis=0, ddof=1)
+    used = spread > 0
+    full = np.c_[np.ones(len(x)), x[:, used] / spread[used]]
+    ridge, beta = np.diag([0.0] + [0.01] * used.sum()), np.zeros(used.sum() + 1)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-full @ beta))
+        beta -= np.linalg.solve((full * (p * (1 - p))[:, None]).T @ full / len(x) + ridge, full.T @ (p - y) / len(x) + ridge @ beta)
+    found = model.stages[-1].coefficients.toArray()
+    assert np.allclose(found[used], beta[1:] / spread[used], atol=2e-3) and abs(model.stages[-1].intercept - beta[0]) < 2e-2
+    assert not np.allclose(found[used], 0, atol=0.05)
+
+
+def test_shared_and_joined_models_score_alike(spark):
+    docs = spark.createDataFrame([(1, "apple apple engine"), (2, "engine wheel"), (3, None), (4, ""), (5, "unknown"), (6, "apple " * 300)], "seq LONG, clean_text STRING")
+    train = spark.createDataFrame([("apple pear", "fruit"), ("engine wheel", "car"), ("apple", "fruit")], "text STRING, label STRING")
+    model = classify.nb_train(train, ["car", "fruit"]).cache()
+    shared = classify.nb_score(docs, model, ["car", "fruit"])
+    joined = classify.nb_score(docs, model, ["car", "fruit"], shared=0)
+    assert "Exchange" not in shared._jdf.queryExecution().executedPlan().toString()
+    key = lambda f: sorted((r.seq, r.prediction, r.confidence, [(s.label, round(s.score, 9)) for s in r.scores]) for r in f.collect())
+    assert key(shared) == key(joined) and shared.columns == joined.columns
