@@ -17,7 +17,7 @@ from hostvigil.llm.common import named, text_function, without
 from hostvigil.session import materialize
 
 CHUNK = 256  # bytes of a chunk
-BLOCK = 4  # bytes a filter moves by
+BLOCK = 4  # bytes that enter one matrix product; filters look at every byte all the same
 WIDTH = 16  # bytes a filter sees
 STEP = CHUNK - WIDTH  # chunks overlap by a filter's width, so every window lies in a chunk
 EMBED, FILTERS, HIDDEN = 8, 16, 16
@@ -40,8 +40,8 @@ def chunks_of(text: str) -> np.ndarray:
 
 @dataclass
 class ByteNet:
-    """Byte embeddings, filters over WIDTH bytes, the maximum per chunk, and over a document the maximum and the mean of
-    those, which a small layer combines into one probability."""
+    """Byte embeddings, filters over WIDTH bytes at every offset, the maximum per chunk, and over a document the maximum and
+    the mean of those, which a small layer combines into one probability."""
 
     embed: np.ndarray  # (256, EMBED)
     filters: np.ndarray  # (WIDTH // BLOCK, BLOCK * EMBED, FILTERS)
@@ -64,18 +64,27 @@ class ByteNet:
         return [self.embed, self.filters, self.bias, self.hidden, self.hidden_bias, self.out, self.out_bias]
 
     def pooled(self, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Per chunk and filter the greatest response, cut at 0, and the window that gave it."""
+        """Per chunk and filter the greatest response, cut at 0, and the offset of the window that gave it.
+
+        Blocks of BLOCK bytes give the responses of all windows that begin at a block; as many views, each a byte further,
+        give those of all others.
+        """
         n, parts = chunks.shape[0], WIDTH // BLOCK
-        blocks = self.embed[chunks].reshape(n * (CHUNK // BLOCK), BLOCK * EMBED)
-        joint = np.concatenate(list(self.filters), axis=1)
-        each = (blocks @ joint).reshape(n, CHUNK // BLOCK, parts, FILTERS)
-        windows = CHUNK // BLOCK - parts + 1
-        total = each[:, :windows, 0]
-        for p in range(1, parts):
-            total = total + each[:, p : p + windows, p]
-        at = total.argmax(axis=1)
-        best = np.take_along_axis(total, at[:, None], axis=1)[:, 0] + self.bias
-        return np.maximum(best, 0), at
+        embedded, joint = self.embed[chunks], np.concatenate(list(self.filters), axis=1)
+        best, at = np.full((n, FILTERS), -np.inf, np.float32), np.zeros((n, FILTERS), np.int64)
+        for shift in range(BLOCK):
+            size = (CHUNK - shift) // BLOCK
+            blocks = embedded[:, shift : shift + size * BLOCK].reshape(n * size, BLOCK * EMBED)
+            each = (blocks @ joint).reshape(n, size, parts, FILTERS)
+            windows = size - parts + 1
+            total = each[:, :windows, 0]
+            for p in range(1, parts):
+                total = total + each[:, p : p + windows, p]
+            first = total.argmax(axis=1)
+            most = np.take_along_axis(total, first[:, None], axis=1)[:, 0]
+            at = np.where(most > best, first * BLOCK + shift, at)
+            best = np.maximum(most, best)
+        return np.maximum(best + self.bias, 0), at
 
     def combine(self, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         inner = np.maximum(features @ self.hidden + self.hidden_bias, 0)
@@ -142,7 +151,7 @@ def _gradients(net: ByteNet, docs: list[np.ndarray], truth: np.ndarray) -> list[
     d_best = d_features[owner, :FILTERS] * top / ties[owner] + d_features[owner, FILTERS:] / sizes[owner][:, None] * (best > 0)
     c, f = np.nonzero(d_best)
     g = d_best[c, f].astype(np.float32)
-    seen = chunks[c[:, None], at[c, f][:, None] * BLOCK + np.arange(WIDTH)]  # the bytes under each winning window
+    seen = chunks[c[:, None], at[c, f][:, None] + np.arange(WIDTH)]  # the bytes under each winning window
     flat = net.embed[seen].reshape(len(c), WIDTH * EMBED)
     d_filters = np.zeros((WIDTH * EMBED, FILTERS), np.float32)
     d_embed = np.zeros_like(net.embed)
@@ -211,7 +220,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quali
 def score(docs: DataFrame, net: ByteNet, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Add score and predicted (1 if score >= threshold) to every row; no shuffle.
 
-    Every byte of a text is under a filter, and a null text counts as empty. Columns of these two names are replaced.
+    Filters look at every byte offset of a text, and a null text counts as empty. Columns of these two names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(net.parameters())
     rows = without(docs, *OUTPUT)

@@ -32,15 +32,33 @@ def test_held_out_accuracy(make_docs, labels):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in found)
 
 
-def test_every_part_of_a_text_counts():
+def plain_score(net, text):
+    """The score by loops over all windows of all chunks, at every byte offset."""
+    data = text.encode()
+    starts = range(0, max(1, len(data) - quality.WIDTH), quality.STEP)
+    weights = net.filters.reshape(quality.WIDTH, quality.EMBED, quality.FILTERS)
+    best = []
+    for start in starts:
+        seen = np.frombuffer(data[start : start + quality.CHUNK].ljust(quality.CHUNK, b"\0"), np.uint8)
+        found = [np.einsum("we,wef->f", net.embed[seen[o : o + quality.WIDTH]], weights) for o in range(quality.CHUNK - quality.WIDTH + 1)]
+        best.append(np.maximum(np.max(found, axis=0) + net.bias, 0))
+    features = np.concatenate([np.max(best, axis=0), np.mean(best, axis=0)])
+    inner = np.maximum(features @ net.hidden + net.hidden_bias, 0)
+    return 1 / (1 + np.exp(-(inner @ net.out + net.out_bias[0])))
+
+
+def test_score_equals_a_plain_form_at_every_offset():
     net = quality.ByteNet.start()
+    for p in net.parameters():
+        p += np.random.default_rng(1).standard_normal(p.shape).astype(np.float32) * 0.1
     rng = random.Random(0)
-    text = "".join(rng.choice("abcd ") for _ in range(20_000))
-    data = np.frombuffer(text.encode(), np.uint8)
-    blocks = net.embed[data].reshape(-1, quality.BLOCK * quality.EMBED)
-    plain = sum(blocks[p : len(blocks) - 3 + p] @ net.filters[p] for p in range(4)) + net.bias
-    found, _ = net.pooled(quality.chunks_of(text))
-    assert np.allclose(found.max(axis=0), np.maximum(plain.max(axis=0), 0), atol=1e-4)
+    texts = ["".join(rng.choice("abcdé ,漢") for _ in range(n)) for n in (0, 1, 15, 16, 17, 239, 256, 257, 700, 1503)]
+    for text in [*texts, "x" * 300 + "MARK" + "y" * 301, "x" * 301 + "MARK" + "y" * 300]:
+        assert abs(net.score(text) - plain_score(net, text)) < 1e-4, len(text)
+
+
+def test_every_part_of_a_text_counts():
+    text = "".join(random.Random(0).choice("abcd ") for _ in range(20_000))
     chunks = quality.chunks_of(text)
     assert b"".join(c[: quality.STEP].tobytes() for c in chunks[:-1]) == text.encode()[: quality.STEP * (len(chunks) - 1)]
     for n in (0, 1, 15, 16, 17, 256, 257, 496, 497):
