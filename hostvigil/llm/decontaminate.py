@@ -150,14 +150,15 @@ def search_benchmark(docs: DataFrame, items: DataFrame, text: str = "text", key:
     windows = benchmark_windows(items, key, item_text, width)
     total = windows.count()
     parts = max(1, -(-total // max_windows))
-    out = without(docs, *OUTPUT)
-    kept = out.columns
+    rows = without(docs, *OUTPUT)
+    # The caller's columns travel in one struct, so no name of theirs can meet one of these.
+    out = rows.select(F.struct(*[named(c) for c in rows.columns]).alias("doc"), named(text).cast("string").alias("text"))
     arrow = {"n": pa.int64(), "starts": pa.list_(pa.int32()), "ends": pa.list_(pa.int32()), "items": pa.list_(pa.string())}
     ddl = "n long, starts array<int>, ends array<int>, items array<string>"
     for k in range(parts):
         chosen = windows.where(F.pmod(F.xxhash64("window", "item"), F.lit(parts)) == k)
         shared = spark.sparkContext.broadcast([tuple(r) for r in chosen.collect()])
-        out = out.withColumn(f"_hv_{k}", text_function(_search(shared, uuid.uuid4().hex), arrow, ddl)(named(text)))
+        out = out.withColumn(f"_hv_{k}", text_function(_search(shared, uuid.uuid4().hex), arrow, ddl)(F.col("text")))
     spans = F.concat(*[F.arrays_zip(F.col(f"_hv_{k}.starts").alias("starts"), F.col(f"_hv_{k}.ends").alias("ends")) for k in range(parts)])
     found = F.array_distinct(F.concat(*[F.col(f"_hv_{k}.items") for k in range(parts)]))
     covered = F.aggregate(
@@ -169,9 +170,9 @@ def search_benchmark(docs: DataFrame, items: DataFrame, text: str = "text", key:
         ),
         lambda acc: acc["n"],
     )
-    out = out.select(*[named(c) for c in kept], F.col("_hv_0.n").alias("n_words"), covered.alias("n_hit"), F.array_sort(found).alias("_hv_items"))
+    out = out.select("doc", F.col("_hv_0.n").alias("n_words"), covered.alias("n_hit"), F.array_sort(found).alias("_hv_items"))
     return out.select(
-        *[named(c) for c in kept],
+        "doc.*",
         "n_words",
         "n_hit",
         F.size("_hv_items").cast("long").alias("n_items"),

@@ -93,12 +93,14 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     """
     rows = without(docs, *OUTPUT)
     kept = list(columns) if columns is not None else rows.columns
-    size = word_count(named(text).cast("string"))
-    weight = quality if quality is not None else quality_weight(named(text).cast("string"), F.col("_hv_size"))
-    draw = F.pow(uniform(named(key), named(text).cast("string"), seed), 1 / F.col("_hv_weight"))
-    sized = rows.withColumn("_hv_size", size).withColumn("_hv_weight", weight).withColumn("_hv_draw", draw)
-    sized = sized.withColumn("_hv_bucket", F.least(F.floor((1 - F.col("_hv_draw")) * KEY_BUCKETS), F.lit(KEY_BUCKETS - 1)).cast("int"))
-    sized = materialize(sized.select(*[named(c) for c in kept], named(source).alias("_hv_source"), "_hv_size", "_hv_draw", "_hv_bucket", F.monotonically_increasing_id().alias("_hv_row")), "sized")
+    own, plain = named(text).cast("string"), F.col("text")
+    # The caller's columns travel in one struct, so no name of theirs can meet one of these.
+    given = rows.select(F.struct(*[named(c) for c in kept]).alias("doc"), named(source).alias("source"), named(key).alias("key"), own.alias("text"), word_count(own).alias("size"), (F.lit(0.0) if quality is None else quality).alias("weight"))
+    given = given.withColumn("weight", quality_weight(plain, F.col("size"))) if quality is None else given
+    draw = F.pow(uniform(F.col("key"), plain, seed), 1 / F.col("weight"))
+    sized = given.withColumn("_hv_draw", draw).withColumn("_hv_bucket", F.least(F.floor((1 - F.col("_hv_draw")) * KEY_BUCKETS), F.lit(KEY_BUCKETS - 1)).cast("int"))
+    sized = sized.select("doc", F.col("source").alias("_hv_source"), F.col("size").alias("_hv_size"), "_hv_draw", "_hv_bucket", F.monotonically_increasing_id().alias("_hv_row"))
+    sized = materialize(sized, "sized")
     cells = sized.groupBy(F.col("_hv_source").alias("source"), F.col("_hv_bucket").alias("bucket")).agg(F.sum("_hv_size").alias("n"))
     cells = materialize(cells, "source-buckets")
     targets = source_targets(cells.groupBy("source").agg(F.sum("n").alias("source_size")), weights, most)
@@ -117,4 +119,4 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     partly = materialize(partly, "mix-border")
     out = planned.join(share_broadcast(partly, MAX_SHARED_BORDER), "_hv_row", "left")
     once = F.when(F.col("_hv_part").isNotNull(), F.col("_hv_part")).when((F.col("rest") > 0) & (F.col("_hv_bucket") < F.col("edge")), F.col("_hv_size")).otherwise(0)
-    return out.select(*[named(c) for c in kept], F.col("_hv_size").alias("size"), "source_size", "target", (F.col("epochs") * F.col("_hv_size") + once).cast("long").alias("taken"))
+    return out.select("doc.*", F.col("_hv_size").alias("size"), "source_size", "target", (F.col("epochs") * F.col("_hv_size") + once).cast("long").alias("taken"))

@@ -64,3 +64,10 @@ def test_empty_tables(spark, odd_docs, no_docs):
     one = spark.createDataFrame([(1, "one two")], "item_id INT, text STRING")
     assert decontaminate.search_benchmark(no_docs, one).count() == 0
     assert sum(r.contaminated for r in decontaminate.search_benchmark(odd_docs, one).collect()) == 3
+
+
+def test_columns_of_any_name_stay(spark):
+    docs = spark.createDataFrame([(1, "one two", "a", "b", "c")], "doc_id LONG, text STRING, _hv_0 STRING, _hv_items STRING, doc STRING")
+    items = spark.createDataFrame([(7, "one two")], "item_id LONG, text STRING")
+    row = decontaminate.search_benchmark(docs, items).first()
+    assert tuple(row)[:5] == (1, "one two", "a", "b", "c") and (row.n_words, row.n_hit, row.contaminated) == (2, 2, True)

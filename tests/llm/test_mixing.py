@@ -85,3 +85,11 @@ def test_reruns_agree_and_odd_rows(make_docs, odd_docs, no_docs):
 def test_no_python_on_the_main_path(make_docs):
     plan = mixing.mix(make_docs(cases()))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["_hv_size", "_hv_row", "_hv_draw", "doc", "key", "weight"]
+    docs = spark.createDataFrame([(1, "one two", "a", *names), (2, "three", None, *names)], "doc_id LONG, text STRING, source STRING, " + ", ".join(f"{n} STRING" for n in names))
+    found = mixing.mix(docs)
+    assert found.columns == [*docs.columns, *mixing.OUTPUT]
+    assert all([r[n] for n in names] == names for r in found.collect())
