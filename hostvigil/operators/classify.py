@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -59,13 +60,19 @@ def nb_train(rows: DataFrame, labels: list[str], digits: int | None = None) -> D
     The row with the empty token holds the log priors; no text has that token. With ``digits`` tokens are hashed, and the
     model has at most 16^digits rows however large the vocabulary is.
     """
-    n = range(len(labels))
     counts = materialize(token_counts(rows, labels, digits), "token-counts")
-    totals = counts.agg(F.array(*[(F.sum(F.get("counts", F.lit(i))) + F.count(F.lit(1))).cast("double") for i in n]).alias("t")).scalar()
+    sizes = rows.agg(*[F.count_if(F.col("label") == name) for name in labels], F.count(F.lit(1))).first()
+    return nb_from_counts(counts, list(sizes[:-1]), sizes[-1])
+
+
+def nb_from_counts(counts: DataFrame, sizes: list[int], rows: int | None = None) -> DataFrame:
+    """The model of stored (token, counts) and the number of texts per label; ``rows`` may count texts of other labels too."""
+    n, total = range(len(sizes)), sum(sizes) if rows is None else rows
+    totals = counts.agg(F.array(*[(F.coalesce(F.sum(F.get("counts", F.lit(i))), F.lit(0)) + F.count(F.lit(1))).cast("double") for i in n]).alias("t")).scalar()
     logp = F.transform("counts", lambda c, i: F.log((c + 1.0) / F.get(F.col("_totals"), i)))
-    share = [F.count_if(F.col("label") == name) / F.count(F.lit(1)) for name in labels]
-    priors = rows.agg(F.array(*[F.coalesce(F.log(s), F.lit(float("-inf"))) for s in share]).alias("logp"))
-    return counts.withColumn("_totals", totals).select("token", logp.alias("logp")).unionByName(priors.select(F.lit("").alias("token"), "logp"))
+    priors = [math.log(size / total) if size else float("-inf") for size in sizes]
+    prior = counts.sparkSession.createDataFrame([("", priors)], "token STRING, logp ARRAY<DOUBLE>")
+    return counts.withColumn("_totals", totals).select("token", logp.alias("logp")).unionByName(prior)
 
 
 def nb_score(rows: DataFrame, model: DataFrame, labels: list[str], key: str = "seq", text: str = "clean_text", digits: int | None = None, chars: int | None = None, shared: int = SHARED_CELLS) -> DataFrame:

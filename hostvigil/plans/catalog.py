@@ -15,7 +15,7 @@ from hostvigil.operators import alerts, classify, dataset, evaluate, incidents,
 from hostvigil.plans import pipelines
 from hostvigil.plans.fixtures import COOLDOWN, DOCUMENT_LABELS, LINE_LABELS, TRAFFIC, WINDOW, adapter
 from hostvigil.session import materialize, new_path
-from hostvigil.sources import files, logs, rollups, stored
+from hostvigil.sources import files, logs, registry, rollups, stored
 from hostvigil.streaming import durable, jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -536,6 +536,18 @@ on("score_with_udf", "fx_syslog", lambda x: classify.score_with_udf(x, keyword_m
 on("evaluate_run", "fx_labeled", lambda x: pipelines.evaluate_run(x, DOCUMENT_LABELS))
 
 
+@query("model_registry")
+def _(spark, sf):
+    """A model counted in two parts, loaded in another session and evaluated: the same as one fitted at once."""
+    parts = materialize(dataset.stratified_split(adapter(spark, sf, "fx_labeled")), "parts", "split")
+    train, path = parts.where("split = 'train'"), new_path(spark, "registry")
+    for k in (0, 1, 1):  # a dataset that comes twice counts once
+        registry.ModelRegistry(spark, path).add(train.where(F.col("ord") % 2 == k), f"part-{k}")
+    labels, model = registry.ModelRegistry(spark.newSession(), path).load()
+    scored = classify.nb_score(parts.where("split = 'test'"), model, labels, "ord", "text")
+    return evaluate.summary(scored.withColumnRenamed("prediction", "predicted_label"))
+
+
 @query("predict_and_flag")
 def _(spark, sf):
     scored = document_scores(spark, sf).withColumns(

@@ -621,6 +621,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "score_with_udf": s(toy, "fx_syslog"),
         "evaluate_run": s(SUMMARY.format("run"), "run_classes"),
+        "model_registry": s(SUMMARY.format("run"), "run_classes"),
         "predict_and_flag": s(
             """SELECT CAST(id AS VARCHAR) AS id, text AS raw_log, label AS predicted_label, score AS confidence, 'pending' AS status FROM doc_rank JOIN doc_rows USING (id) WHERE rank = 1 AND score < 0.6""", "doc_rank"
         ),

@@ -24,21 +24,12 @@ class Conflict(Exception):
     """Another writer has changed the same dates meanwhile."""
 
 
-class StoredTable:
-    """A table with a column dt (date) below ``path``.
-
-    Rows are written into new folders (load=<id>/dt=<date>). A version is a small JSON file that lists, for each date,
-    the folders that count and how many rows each has; it is created only if no other writer has created that number. So
-    a reader sees one version whole, the old or the new one, and a writer that fails half-way leaves the table as it was.
-    """
+class Versions:
+    """Numbered JSON documents below ``path``, each created once: the newest one says what counts."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: str):
+    def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
-        self.schema = T.StructType.fromDDL(schema)
-        fields = [f for f in self.schema.fields if f.name != "dt"]
-        self.stored = T.StructType([*fields, T.StructField("load", T.StringType()), T.StructField("dt", T.DateType())])
 
-    # --- versions ---
     def _file(self, path: str):
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
@@ -51,7 +42,7 @@ class StoredTable:
         return [int(n[:-5]) for n in self._names(f"{self.path}/_versions") if n.endswith(".json") and n[:-5].isdigit()]
 
     def version(self) -> int:
-        """The newest version; 0 is the empty table. One that another writer is just creating is waited for."""
+        """The newest version; 0 before the first. One that another writer is just creating is waited for."""
         newest = max(self._begun(), default=0)
         until = time.monotonic() + WAIT_SECONDS
         while newest and self._load(newest) is None:
@@ -87,6 +78,21 @@ class StoredTable:
             out.close()
         return True
 
+
+class StoredTable(Versions):
+    """A table with a column dt (date) below ``path``.
+
+    Rows are written into new folders (load=<id>/dt=<date>). A version is a small JSON file that lists, for each date,
+    the folders that count and how many rows each has; it is created only if no other writer has created that number. So
+    a reader sees one version whole, the old or the new one, and a writer that fails half-way leaves the table as it was.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str):
+        super().__init__(spark, path)
+        self.schema = T.StructType.fromDDL(schema)
+        fields = [f for f in self.schema.fields if f.name != "dt"]
+        self.stored = T.StructType([*fields, T.StructField("load", T.StringType()), T.StructField("dt", T.DateType())])
+
     def _change(self, added: Manifest, replaced: Manifest | None = None) -> int:
         """Add folders to the newest version, in place of ``replaced`` ones, which must still be those that count."""
         while True:

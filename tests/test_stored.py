@@ -3,8 +3,9 @@ from datetime import date, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from hostvigil.operators import classify
 from hostvigil.session import new_path
-from hostvigil.sources import stored
+from hostvigil.sources import registry, stored
 
 START = datetime(2026, 1, 1)
 SCHEMA = "id STRING, seq BIGINT, timestamp TIMESTAMP_NTZ, status STRING, dt DATE"
@@ -91,3 +92,31 @@ def test_recoveries_close_the_alerts_before_them(spark):
     assert read() == {1: ("RESOLVED", at(3)), 2: ("ACTIVE", None), 3: ("ACTIVE", None), 4: ("ACTIVE", None), 5: ("ACTIVE", None)}
     stored.resolve_alerts(spark, root, back(("a", "CPU", at(40), 20), ("a", "CPU", at(50), 21)))
     assert read()[2] == ("RESOLVED", at(40)) and read()[1] == ("RESOLVED", at(3))
+
+
+def test_a_model_of_added_counts_is_that_of_all_rows(spark):
+    rows = spark.createDataFrame([("apple pear", "fruit"), ("engine wheel", "car"), ("apple", "fruit"), (None, "car"), ("x", None)], "text STRING, label STRING")
+    more = spark.createDataFrame([("wheel apple wheel", "car"), ("sail mast", "boat")], "text STRING, label STRING")
+    path = new_path(spark, "registry")
+    models = registry.ModelRegistry(spark, path)
+    with pytest.raises(ValueError):
+        models.load()
+    assert [models.add(rows, "a"), models.add(more, "b"), models.add(more, "b")] == [1, 2, 2]
+    labels, model = registry.ModelRegistry(spark.newSession(), path).load()
+    known = rows.unionByName(more).where("text IS NOT NULL AND label IS NOT NULL")
+    key = lambda f: sorted((r.token, [round(x, 9) for x in r.logp]) for r in f.collect())
+    assert labels == ["boat", "car", "fruit"] and key(model) == key(classify.nb_train(known, labels))
+    old, first = models.load(1)
+    assert old == ["car", "fruit"] and key(first) == key(classify.nb_train(rows.where("text IS NOT NULL AND label IS NOT NULL"), old))
+    with pytest.raises(ValueError):
+        models.add(rows, "c", digits=4)
+    assert not models._commit(2, {})
+
+
+def test_a_pipeline_is_saved_with_its_version(spark):
+    rows = spark.createDataFrame([(i, "apple pear" if i % 2 else "engine wheel", "fruit" if i % 2 else "car") for i in range(20)], "ord LONG, text STRING, label STRING")
+    models = registry.ModelRegistry(spark, new_path(spark, "registry"))
+    models.add(rows, "a")
+    models.attach(classify.lr_train(rows, features=64))
+    back = registry.ModelRegistry(spark, models.path).attached()
+    assert {(r.text, r.predicted_label) for r in classify.lr_score(rows, back).collect()} == {("apple pear", "fruit"), ("engine wheel", "car")}
