@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from hostvigil.operators.ordered import _segments, evaluate_once, micros, null_safe_join, ordered_scan
+from hostvigil.operators.ordered import _segments, evaluate_once, micros, null_safe_join, ordered_scan, with_next, with_previous
 from hostvigil.session import materialize
 
 # Defaults of the detector; the per-minute horizon and the distributed-flood minimum are fixed values.
@@ -95,32 +95,71 @@ def sliding_window(
     return scanned.select("_row.*", *[f.name for f in fields[1:]])
 
 
-def sliding_count(requests: DataFrame, seconds: int, total: str, source: DataFrame | None = None) -> DataFrame:
+def sliding_count(requests: DataFrame, seconds: int, total: str, source: DataFrame | None = None, only: Column | None = None) -> DataFrame:
     """Number of requests of the same host in [t - seconds, t], one row per request, in window functions alone.
 
+    ``only`` is a condition on the requests that count; every request gets its row all the same.
+
     The cells are those of ``sliding_window``: a cell holds its own requests and those of the cell a window before. A
     request counts what stands before it in its cell, plus the older cell without what has left the window, plus the
     cells in between, which enter as counts.
     """
     span = int(seconds * 1_000_000)
-    timed = _with_cell(requests, span)
+    counts = F.lit(1) if only is None else F.coalesce(only, F.lit(False)).cast("int")
+    timed = _with_cell(requests, span).withColumn("_n", counts.cast("long"))
     own = F.lit(1).cast("long")
     laid = timed.withColumn("_p", F.explode(F.array(F.struct(F.col("_cell").alias("cell"), own.alias("own")), F.struct((F.col("_cell") + F.col("_m")).alias("cell"), (own - 1).alias("own")))))
     laid = laid.withColumns({"_at": F.col("_p.cell"), "_own": F.col("_p.own")}).drop("_p")
     cell = Window.partitionBy("hostname", "_at")
-    seen = F.sum("_own").over(cell.orderBy("_us", "seq").rowsBetween(Window.unboundedPreceding, 0))
-    left = F.sum(1 - F.col("_own")).over(cell.orderBy("_us").rangeBetween(Window.unboundedPreceding, -(span + 1)))
-    older = F.sum(1 - F.col("_own")).over(cell)
+    seen = F.sum(F.col("_own") * F.col("_n")).over(cell.orderBy("_us", "seq").rowsBetween(Window.unboundedPreceding, 0))
+    old = (1 - F.col("_own")) * F.col("_n")
+    left = F.sum(old).over(cell.orderBy("_us").rangeBetween(Window.unboundedPreceding, -(span + 1)))
+    older = F.sum(old).over(cell)
     counted = laid.withColumn("_total", seen + older - F.coalesce(left, F.lit(0))).where("_own = 1")
     if "_m" in requests.columns:
         middle = _with_cell(requests if source is None else source, span).where(F.col("_m") > 1)
-        sums = middle.groupBy("hostname", "_cell", "_m").agg(F.count(F.lit(1)).alias("_n"))
+        sums = middle.groupBy("hostname", "_cell", "_m").agg(F.sum(counts.cast("long")).alias("_n"))
         sums = sums.select("hostname", F.explode(F.sequence(F.col("_cell") + 1, F.col("_cell") + F.col("_m") - 1)).alias("_at"), "_n")
         counted = null_safe_join(counted, sums.groupBy("hostname", "_at").agg(F.sum("_n").alias("_middle")), ["hostname", "_at"], "left")
         counted = counted.withColumn("_total", F.col("_total") + F.coalesce("_middle", F.lit(0)))
     return counted.select(*requests.columns, F.col("_total").alias(total))
 
 
+def sliding_distinct(requests: DataFrame, seconds: int, name: str, out: str) -> DataFrame:
+    """Number of different values of ``name`` among the host's requests in [t - seconds, t], in window functions alone.
+
+    A value is alive from a request until ``seconds`` after it, longer if it comes again by then. Stretches of being
+    alive begin and end at known instants, so the number alive is what has begun less what has ended: a running sum, taken
+    inside cells of time, and over the cells of a host. Steps that read their input more than once read it stored.
+    """
+    span = int(seconds * 1_000_000)
+    timed = materialize(requests.withColumn("_us", micros("ts")), "timed-requests")
+    before = materialize(with_previous(timed, ["hostname", name], "_us", "_before", None), "requests-before")
+    around = materialize(with_next(before, ["hostname", name], "_us", "_after"), "requests-around")
+    begins = F.col("_before").isNull() | (F.col("_before") < F.col("_us") - span)
+    ends = F.col("_after").isNull() | (F.col("_after") > F.col("_us") + span)
+    row = F.struct(*[F.col(c) for c in requests.columns])
+    arrive = around.select("hostname", "_us", F.lit(1).alias("_order"), "seq", begins.cast("long").alias("_d"), row.alias("_row"))
+    leave = around.where(ends).select("hostname", (F.col("_us") + span + 1).alias("_us"), F.lit(0).alias("_order"), "seq", F.lit(-1).cast("long").alias("_d"), F.lit(None).cast(arrive.schema["_row"].dataType).alias("_row"))
+    moves = arrive.unionByName(leave).withColumn("_cell", F.floor(F.col("_us") / F.lit(span)).cast("long"))
+    sums = moves.groupBy("hostname", "_cell").agg(F.sum("_d").alias("_sum"))
+    upto = Window.partitionBy("hostname").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = sums.select("hostname", "_cell", F.coalesce(F.sum("_sum").over(upto), F.lit(0)).alias("_ahead"))
+    inside = Window.partitionBy("hostname", "_cell").orderBy("_us", "_order", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    joined = null_safe_join(moves.withColumn("_inside", F.sum("_d").over(inside)), ahead, ["hostname", "_cell"], "left").where("_row IS NOT NULL")
+    return joined.select("_row.*", (F.col("_inside") + F.col("_ahead")).alias(out))
+
+
+def traffic_totals(requests: DataFrame, seconds: int = WINDOW_SECONDS, minute: int = MINUTE_SECONDS, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Totals, rates, distinct IPs and errors of every request's window, without the leading IP and endpoint; no Python."""
+    cut = materialize(with_cells(requests, max(seconds, minute), group_rows), "requests")
+    found = sliding_count(cut, minute, "requests_per_minute")
+    found = sliding_count(found, seconds, "total_requests", cut)
+    found = sliding_count(found, seconds, "error_requests", cut, F.col("status") >= 400).drop("_m")
+    found = sliding_distinct(found, seconds, "ip", "unique_ips")
+    return found.withColumn("requests_per_second", F.round(F.col("total_requests") / F.lit(float(max(seconds, 1))), 2))
+
+
 def _with_cell(requests: DataFrame, span: int) -> DataFrame:
     split = F.col("_m") if "_m" in requests.columns else F.lit(1).cast("long")
     timed = requests.withColumn("_m", split).withColumn("_us", micros("ts"))

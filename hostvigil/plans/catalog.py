@@ -359,13 +359,15 @@ on("tag_label_type", "fx_pred", lambda x: lookups.tag_label_type(x.select("seq",
 
 # --- aggregations ---
 for _name, _columns in {
-    "traffic_counts": ["total_requests", "requests_per_second", "requests_per_minute", "unique_ips"],
     "traffic_top_ip": ["top_ip", "top_ip_requests"],
     "traffic_top_endpoint": ["top_endpoint", "top_endpoint_requests"],
-    "traffic_error_count": ["error_requests"],
     "traffic_risk": ["risk_level", "is_anomaly"],
 }.items():
     QUERIES[_name] = lambda spark, sf, kept=_columns: reports(spark, sf).select("hostname", "seq", *kept)
+QUERIES["traffic_counts"] = lambda spark, sf: traffic.traffic_totals(requests(spark, sf), WINDOW, TRAFFIC["minute"]).select(
+    "hostname", "seq", "total_requests", "requests_per_second", "requests_per_minute", "unique_ips"
+)
+QUERIES["traffic_error_count"] = lambda spark, sf: traffic.sliding_count(requests(spark, sf), WINDOW, "error_requests", only=F.col("status") >= 400).select("hostname", "seq", "error_requests")
 QUERIES["traffic_patterns"] = lambda spark, sf: reports(spark, sf).select("hostname", "seq", F.array_join("patterns_detected", "; ").alias("patterns"))
 
 

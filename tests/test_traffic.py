@@ -56,7 +56,11 @@ def test_same_as_a_plain_loop(spark, group_rows):
     rows.sort(key=lambda r: (r[0], r[1]))
     data = spark.createDataFrame([(s, t, h, ip, e, "GET", st) for t, s, h, ip, e, st in rows], SCHEMA).repartition(5)
     report = traffic.traffic_report(data, seconds=10, group_rows=group_rows)
-    assert measured(report) == expected(rows, 10, 60)
+    wanted = expected(rows, 10, 60)
+    assert measured(report) == wanted
+    totals = traffic.traffic_totals(data, seconds=10, group_rows=group_rows)
+    assert {r.seq: (r.total_requests, r.requests_per_minute, r.unique_ips, r.error_requests) for r in totals.collect()} == {k: (*v[:3], v[7]) for k, v in wanted.items()}
+    assert "Python" not in totals._jdf.queryExecution().executedPlan().toString()
 
 
 def test_window_edge_is_inclusive_and_later_arrivals_do_not_count(spark):
