@@ -21,20 +21,24 @@ def texts(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document; a null or empty text has none."""
     counted = tokens.count_tokens(texts(spark, sf_dir), public_tokenizers.path(BYTE_BPE))
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document; texts without words share fingerprint 0."""
     return simhash.near_duplicates(texts(spark, sf_dir))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document; null and empty texts are clean."""
     items = table(spark, sf_dir, "benchmark").select("item_id", "text")
     return decontaminate.search_benchmark(texts(spark, sf_dir), items).drop("text")
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those that are not held out; und without a letter."""
     docs = texts(spark, sf_dir, "lang")
     held = fold_of(F.col("doc_id"), 5) == 0
     model = language.train(docs.where(~held))
@@ -42,14 +46,17 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixed and learned identifiers of every document; null texts have none."""
     return pii.detect(texts(spark, sf_dir), columns=("doc_id",))
 
 
 def op6_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, tokeniser measures and verdict of every document; null texts fail the base rules."""
     return fertility.apply_rules(texts(spark, sf_dir), public_tokenizers.path(PIECE_BPE)).drop("text")
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to an archive and read back; null pages have empty payloads."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     kind = pages.schema["page_id"].dataType
     read = warc.round_trip(pages)
@@ -57,16 +64,19 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document; a null source is a source, null texts have size 0."""
     return mixing.mix(texts(spark, sf_dir, "source"), columns=("doc_id",))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; a null text is scored as an empty one."""
     docs = texts(spark, sf_dir)
     net = quality.train(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"), fold_of(F.col("key"), 5) != 0)
     return quality.score(docs, net).select("doc_id", (fold_of(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; a null text is scored as one without a match."""
     docs = texts(spark, sf_dir)
     lexicon = toxicity.train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), fold_of(F.col("key"), 3) != 1)
     return toxicity.score(docs, lexicon).select("doc_id", (fold_of(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted", "weight", "matches")
