@@ -320,6 +320,21 @@ def _(spark, sf):
     return out.select("seq", "pre_decision", "clean_text", "prediction", "confidence", "risk_percentage", "decision", "severity", "risk_level", "stored_risk", "status", "dispatch")
 
 
+@query("analyze_on_demand_top3")
+def _(spark, sf):
+    model = line_model(spark, sf)
+    out = pipelines.analyze_on_demand(lines(spark, sf), lambda frame: classify.nb_score(frame, model, LINE_LABELS, **LIVE))
+    return out.select("seq", F.posexplode("top3").alias("position", "best")).select("seq", (F.col("position") + 1).alias("rank"), "best.label", "best.score")
+
+
+@query("analyze_on_demand_traffic")
+def _(spark, sf):
+    out = pipelines.analyze_on_demand(lines(spark, sf, "fx_access"), line_scorer(spark, sf), TRAFFIC)
+    counts = ["total_requests", "requests_per_minute", "unique_ips", "top_ip", "top_ip_requests", "top_endpoint", "top_endpoint_requests", "error_requests", "risk_level"]
+    found = [F.col(f"ddos_analysis.{c}").alias(c) for c in counts]
+    return out.select("hostname", "seq", *found, F.array_join("ddos_analysis.patterns_detected", "; ").alias("patterns"), "flood_dispatch")
+
+
 on("clean_dataset_text", "fx_dirty", dataset.clean_dataset_text)
 
 

@@ -498,6 +498,12 @@ def oracle_sql() -> dict[str, str]:
             CASE WHEN decision = 'ALERT' THEN severity END AS stored_risk, CASE WHEN decision = 'ALERT' THEN 'manual_eval' END AS status,
             email_required AND severity IN ('HIGH', 'CRITICAL') AS dispatch FROM adhoc_decided""", "adhoc_decided"
         ),
+        "analyze_on_demand_top3": s("SELECT id AS seq, rank, label, score FROM adhoc_rank WHERE rank <= 3", "adhoc_rank"),
+        "analyze_on_demand_traffic": s(
+            """SELECT a.hostname, a.seq, e.total_requests, e.requests_per_minute, e.unique_ips, e.top_ip, e.top_ip_requests, e.top_endpoint, e.top_endpoint_requests, e.error_requests, e.risk_level,
+            array_to_string(e.found, '; ') AS patterns, coalesce(e.is_anomaly, false) AS flood_dispatch FROM fx_access a LEFT JOIN each_report e ON a.hostname = e.hostname AND a.seq = e.seq
+            WHERE trim(a.raw_line) <> ''""", "fx_access", "each_report"
+        ),
         "clean_dataset_text": s("SELECT ord, text, label FROM fx_dirty WHERE label IS NOT NULL AND trim(text) <> ''", "fx_dirty"),
         "render_notifications": s(
             f"""SELECT *, true AS whole FROM (

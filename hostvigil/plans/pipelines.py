@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from hostvigil.functions import decisions as d
 from hostvigil.functions.text import is_blank, strip
-from hostvigil.operators import classify, dataset, evaluate, incidents, review, triage
-from hostvigil.operators.ordered import evaluate_once
+from hostvigil.operators import classify, dataset, evaluate, incidents, review, traffic, triage
+from hostvigil.operators.ordered import evaluate_once, null_safe_join
 from hostvigil.session import materialize
 
 Scorer = Callable[[DataFrame], DataFrame]
@@ -63,12 +63,26 @@ def stateless_triage(lines: DataFrame, score: Scorer, honor_suspicious: bool = F
     return decided.select(*lines.columns, "pre_decision", "clean_text", route.alias("route"), *[F.when(~unscored, F.col(c)).alias(c) for c in added])
 
 
-def analyze_on_demand(lines: DataFrame, score: Scorer) -> DataFrame:
-    """Ad-hoc evaluation: every line that is not blank is scored, on its payload or else on itself."""
+def analyze_on_demand(lines: DataFrame, score: Scorer, floods: dict[str, int] | None = None) -> DataFrame:
+    """Ad-hoc evaluation: every line that is not blank is scored, on its payload or else on itself.
+
+    Where the scorer gives all scores, top3 holds the three best labels with scores. With ``floods``, the arguments of
+    ``traffic_report``, a line that is an access record carries the report of its request in ddos_analysis, all others NULL,
+    and flood_dispatch says whether it raises a flood alert. (hostname, seq) must be unique.
+    """
     kept = lines.where(~is_blank(F.col("raw_line")))
     checked = triage.prefilter_classify(kept).select(*lines.columns, F.col("decision").alias("pre_decision"))
     text = triage.with_clean_text(checked).withColumn("clean_text", F.coalesce("clean_text", strip(F.col("raw_line"))))
     decided = incidents.decide(score(materialize(text, "adhoc")))
+    if "scores" in decided.columns:
+        best = F.transform(F.slice("scores", 1, 3), lambda s: F.struct(s["label"].alias("label"), F.round(s["score"], 4).alias("score")))
+        decided = decided.withColumn("top3", best).drop("scores")
+    if floods is not None:
+        requests = triage.parse_access_log(kept.select("seq", "ts", "hostname", "raw_line")).select("seq", "ts", "hostname", "ip", "endpoint", "method", "status")
+        report = traffic.traffic_report(requests, **floods)
+        analysis = F.struct(*[c for c in report.columns if c not in requests.columns]).alias("ddos_analysis")
+        decided = null_safe_join(decided, report.select("hostname", "seq", analysis), ["hostname", "seq"], "left")
+        decided = decided.withColumn("flood_dispatch", F.coalesce("ddos_analysis.is_anomaly", F.lit(False)))
     alert = F.col("decision") == "ALERT"
     return decided.withColumns(
         {

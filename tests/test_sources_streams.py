@@ -275,6 +275,22 @@ def test_ad_hoc_analysis_scores_what_triage_drops(spark, lines):
     assert (rows[2].stored_risk, rows[2].status, rows[2].risk_percentage) == ("CRITICAL", "manual_eval", 96.0)
 
 
+def test_ad_hoc_analysis_with_best_labels_and_traffic(spark):
+    web = '{} - - [08/Aug/2026:12:00:00 +0000] "GET /a HTTP/1.1" 500 10'
+    texts = [web.format("1.2.3.4"), web.format("1.2.3.4"), "nothing", "  ", None]
+    rows = [(i, START + timedelta(seconds=i), host, "access.log", text) for i, (host, text) in enumerate(zip(["vps", "vps", "vps", "vps", None], texts))]
+    rows.append((5, START, None, "access.log", web.format("5.6.7.8")))
+    frame = spark.createDataFrame(rows, "seq LONG, ts TIMESTAMP_NTZ, hostname STRING, source_log STRING, raw_line STRING")
+    entry = lambda label, score: F.struct(F.lit(0.0).alias("rank"), F.lit(label).alias("label"), F.lit(score).alias("score"))
+    ranked = lambda f: keyword_scorer(f).withColumn("scores", F.array(*[entry(*x) for x in (("a", 0.71239), ("b", 0.2), ("c", 0.08), ("d", 0.01))]))
+    limits = {"seconds": 10, "request_threshold": 2, "ip_threshold": 2, "endpoint_threshold": 9, "min_ips": 2}
+    found = {r.seq: r for r in pipelines.analyze_on_demand(frame, ranked, limits).collect()}
+    assert sorted(found) == [0, 1, 2, 5]
+    assert [tuple(x) for x in found[2].top3] == [("a", 0.7124), ("b", 0.2), ("c", 0.08)]
+    assert found[2].ddos_analysis is None and not found[2].flood_dispatch
+    assert [(found[i].ddos_analysis.total_requests, found[i].ddos_analysis.top_ip, found[i].flood_dispatch) for i in (0, 1, 5)] == [(1, "1.2.3.4", False), (2, "1.2.3.4", True), (1, "5.6.7.8", False)]
+
+
 def test_spread_leaves_large_input_alone(spark):
     assert logs.spread(spark.range(10, numPartitions=1)).rdd.getNumPartitions() == 8
     wide = spark.range(10, numPartitions=20)

@@ -60,7 +60,8 @@ def test_same_as_a_plain_loop(spark, group_rows):
     assert measured(report) == wanted
     totals = traffic.traffic_totals(data, seconds=10, group_rows=group_rows)
     assert {r.seq: (r.total_requests, r.requests_per_minute, r.unique_ips, r.error_requests) for r in totals.collect()} == {k: (*v[:3], v[7]) for k, v in wanted.items()}
-    assert "Python" not in totals._jdf.queryExecution().executedPlan().toString()
+    plan = totals._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "InArrow" not in plan
 
 
 def test_window_edge_is_inclusive_and_later_arrivals_do_not_count(spark):
