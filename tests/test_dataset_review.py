@@ -182,3 +182,13 @@ def test_shared_and_joined_models_score_alike(spark):
     assert "Exchange" not in shared._jdf.queryExecution().executedPlan().toString()
     key = lambda f: sorted((r.seq, r.prediction, r.confidence, [(s.label, round(s.score, 9)) for s in r.scores]) for r in f.collect())
     assert key(shared) == key(joined) and shared.columns == joined.columns
+
+
+def test_rows_of_one_label_are_encoded_where_they_are(spark):
+    child = spark.newSession()
+    for key, value in {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}.items():
+        child.conf.set(key, value)
+    rows = child.range(1000, numPartitions=8).select(F.col("id").alias("ord"), F.lit("x").alias("label"))
+    encoded = dataset.label_encode(rows).withColumn("at", F.spark_partition_id()).collect()
+    assert len(encoded) == 1000 and {r.label_id for r in encoded} == {0}
+    assert len({r["at"] for r in encoded}) == 8
