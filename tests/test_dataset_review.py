@@ -192,3 +192,18 @@ def test_rows_of_one_label_are_encoded_where_they_are(spark):
     encoded = dataset.label_encode(rows).withColumn("at", F.spark_partition_id()).collect()
     assert len(encoded) == 1000 and {r.label_id for r in encoded} == {0}
     assert len({r["at"] for r in encoded}) == 8
+
+
+def test_of_a_large_model_only_rare_tokens_are_shuffled(spark):
+    rare = [(100 + i, f"red red w{i} apple", "fruit" if i % 2 else "car") for i in range(300)]
+    labels = ["car", "fruit"]
+    model = materialize(classify.nb_train(spark.createDataFrame(TRAIN + rare, ROWS), labels), "m")
+    head, tail = classify.parted(model, 100)
+    assert {"", "red", "apple"} <= {r.token for r in head.collect()} and head.count() <= 130
+    assert head.unionAll(tail).exceptAll(model).count() == 0 and head.count() + tail.count() == model.count()
+    docs = spark.createDataFrame([(i, f"red apple w{i} w{i} wheel new{i}") for i in range(300)] + [(300, None), (301, "")], "seq LONG, clean_text STRING")
+    rest = docs.select("seq", classify.log_sums(head)(classify.features(F.col("clean_text")))["rest"].alias("r")).select("seq", F.inline("r")).collect()
+    known = {r.token for r in head.collect()}
+    assert {(r.seq, r.token, r.times) for r in rest} == {(i, t, n) for i in range(300) for t, n in ((f"w{i}", 2), (f"new{i}", 1), ("wheel", 1)) if t not in known}
+    key = lambda f: sorted((r.seq, r.prediction, r.confidence, [(s.label, round(s.score, 9)) for s in r.scores]) for r in f.collect())
+    assert key(classify.nb_score(docs, model, labels, shared=200)) == key(classify.nb_score(docs, model, labels))
