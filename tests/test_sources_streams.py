@@ -295,3 +295,15 @@ def test_spread_leaves_large_input_alone(spark):
     assert logs.spread(spark.range(10, numPartitions=1)).rdd.getNumPartitions() == 8
     wide = spark.range(10, numPartitions=20)
     assert logs.spread(wide) is wide
+
+
+def test_a_segment_arrives_in_files_for_many_tasks(spark):
+    rows = spark.range(1000, numPartitions=1).select(F.col("id").alias("seq"), F.floor(F.col("id") / 500).alias("segment"))
+    arrivals = jobs.Arrivals(rows, "segment", 2, file_rows=20)
+    for i in arrivals:
+        found = spark.read.parquet(f"{arrivals.path}/{i}")
+        assert len(found.inputFiles()) >= 25 and found.rdd.getNumPartitions() >= 8
+        assert sorted(r.seq for r in found.collect()) == list(range(500 * i, 500 * i + 500))
+    default = jobs.Arrivals(rows, "segment", 2)
+    next(iter(default))
+    assert len(spark.read.parquet(f"{default.path}/0").inputFiles()) == 8, "one file a core of a small input"
