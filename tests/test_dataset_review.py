@@ -207,3 +207,17 @@ def test_of_a_large_model_only_rare_tokens_are_shuffled(spark):
     assert {(r.seq, r.token, r.times) for r in rest} == {(i, t, n) for i in range(300) for t, n in ((f"w{i}", 2), (f"new{i}", 1), ("wheel", 1)) if t not in known}
     key = lambda f: sorted((r.seq, r.prediction, r.confidence, [(s.label, round(s.score, 9)) for s in r.scores]) for r in f.collect())
     assert key(classify.nb_score(docs, model, labels, shared=200)) == key(classify.nb_score(docs, model, labels))
+
+
+def test_logistic_regression_reads_each_text_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        read.add(1)
+        return text
+
+    rows = spark.createDataFrame([(i, f"word{i % 7} {'red' if i % 2 else 'blue'}", "ab"[i % 2]) for i in range(200)], ROWS)
+    model = classify.lr_train(rows.select("label", seen("text").alias("text")))
+    assert read.value == 200
+    assert classify.lr_score(rows, model).where("predicted_label = label").count() == 200
