@@ -307,3 +307,9 @@ def test_a_segment_arrives_in_files_for_many_tasks(spark):
     default = jobs.Arrivals(rows, "segment", 2)
     next(iter(default))
     assert len(spark.read.parquet(f"{default.path}/0").inputFiles()) == 8, "one file a core of a small input"
+
+
+def test_streams_store_what_a_batch_changes(spark):
+    conf = durable.stream_session(spark).conf
+    name = "spark.sql.streaming.stateStore.rocksdb"
+    assert conf.get(f"{name}.changelogCheckpointing.enabled") == "true" and conf.get(f"{name}.trackTotalNumberOfRows") == "false"
