@@ -2,6 +2,7 @@ import random
 from collections import Counter
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,6 +65,39 @@ def test_same_as_a_plain_loop(spark, group_rows):
     assert "Python" not in plan and "InArrow" not in plan
 
 
+def test_both_windows_of_a_host_are_one_scan(spark):
+    """A request is shuffled once, and few are in two cells; Python stays the only step that orders them."""
+    data = frame(spark, [(i, f"ip{i % 3}", "/", 200) for i in range(2400)])
+    windows = traffic.traffic_windows(data, 60, 10)
+    plan = windows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning") == 1 and plan.count("MapInArrow") == 1 and "Window " not in plan
+    assert {(r.seq, r.requests_per_minute, r.total_requests) for r in windows.collect()} == {(i, min(i, 10) + 1, min(i, 60) + 1) for i in range(2400)}
+
+
+@pytest.mark.parametrize("seconds, minute, batch", [(10, 60, 7), (60, 10, 1), (30, 30, 1000)])
+def test_a_scan_that_drops_what_has_left(monkeypatch, seconds, minute, batch):
+    """Cells arrive in batches; places and names outside the window are dropped meanwhile."""
+    monkeypatch.setattr(traffic, "TRIM_ROWS", 5)
+    monkeypatch.setattr(traffic, "MAX_NAMES", 3)
+    draw = random.Random(seconds)
+    rows = sorted((START + timedelta(seconds=draw.randrange(600)), seq, draw.choice("ab"), f"ip{seq // 100}-{draw.randrange(4)}", draw.choice([None, "/x", "/y"]), draw.choice([200, 500])) for seq in range(800))
+    reach = max(seconds, minute)
+    length = reach * traffic.CELL_WINDOWS
+    laid = []
+    for ts, seq, host, ip, endpoint, status in rows:
+        at = int((ts - START).total_seconds())
+        laid.append((host, at // length, traffic._OWN, at * 1_000_000, seq, 1, ip, endpoint, int(status >= 400), {"seq": seq}))
+        if at % length >= length - reach:
+            laid.append((host, at // length + 1, traffic._BEFORE, at * 1_000_000, seq, 1, ip, endpoint, int(status >= 400), None))
+    names = ["hostname", "cell", "role", "_us", "seq", "_n", "_ip", "_endpoint", "_error", "_row"]
+    table = pa.Table.from_pylist([dict(zip(names, r)) for r in sorted(laid, key=lambda r: r[:5])])
+    found = {}
+    for out in traffic._WindowScan(seconds * 1_000_000, minute * 1_000_000)(iter(table.to_batches(max_chunksize=batch))):
+        for row, recent, total, ips, ip, ip_n, endpoint, endpoint_n, error in zip(*[c.to_pylist() for c in out.columns]):
+            found[row["seq"]] = (total, recent, ips, ip, ip_n, endpoint, endpoint_n, error)
+    assert found == expected(rows, seconds, minute)
+
+
 def test_window_edge_is_inclusive_and_later_arrivals_do_not_count(spark):
     rows = [(0, "a", "/", 200), (10, "b", "/", 200), (10, "c", "/", 200), (10.000001, "d", "/", 200)]
     totals = {r.seq: r.total_requests for r in traffic.traffic_windows(frame(spark, rows)).collect()}
