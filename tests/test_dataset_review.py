@@ -221,3 +221,13 @@ def test_logistic_regression_reads_each_text_once(spark):
     model = classify.lr_train(rows.select("label", seen("text").alias("text")))
     assert read.value == 200
     assert classify.lr_score(rows, model).where("predicted_label = label").count() == 200
+
+
+def test_an_occurrence_of_a_token_moves_one_counter(spark):
+    labels = [f"l{i}" for i in range(15)]
+    rows = spark.createDataFrame([(0, "a a b", "l0"), (1, "a", "l14"), (2, "c", None), (3, "c d", "other")], ROWS)
+    counts = classify.token_counts(rows, labels)
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("partial_count") == 1
+    found = {r.token: {labels[i]: n for i, n in enumerate(r.counts) if n} for r in counts.collect()}
+    assert found == {"a": {"l0": 2, "l14": 1}, "b": {"l0": 1}, "c": {}, "d": {}}

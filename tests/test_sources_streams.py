@@ -291,6 +291,14 @@ def test_ad_hoc_analysis_with_best_labels_and_traffic(spark):
     assert [(found[i].ddos_analysis.total_requests, found[i].ddos_analysis.top_ip, found[i].flood_dispatch) for i in (0, 1, 5)] == [(1, "1.2.3.4", False), (2, "1.2.3.4", True), (1, "5.6.7.8", False)]
 
 
+def test_ad_hoc_analysis_parses_the_stored_lines(spark, lines, monkeypatch):
+    """Lines are read and shaped once, however many parts of the analysis need them."""
+    parse, read = pipelines.triage.parse_access_log, []
+    monkeypatch.setattr(pipelines.triage, "parse_access_log", lambda frame: parse(read.append(frame) or frame))
+    pipelines.analyze_on_demand(lines, keyword_scorer, {"seconds": 10})
+    assert len(read) == 1 and read[0].inputFiles() and all("/adhoc-" in name for name in read[0].inputFiles())
+
+
 def test_spread_leaves_large_input_alone(spark):
     assert logs.spread(spark.range(10, numPartitions=1)).rdd.getNumPartitions() == 8
     wide = spark.range(10, numPartitions=20)
