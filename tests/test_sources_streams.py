@@ -299,6 +299,15 @@ def test_ad_hoc_analysis_parses_the_stored_lines(spark, lines, monkeypatch):
     assert len(read) == 1 and read[0].inputFiles() and all("/adhoc-" in name for name in read[0].inputFiles())
 
 
+def test_ad_hoc_analysis_shapes_a_line_once(spark, lines, monkeypatch):
+    """What makes a line is not copied into the patterns and filters that read it."""
+    store, stored = pipelines.materialize, []
+    monkeypatch.setattr(pipelines, "materialize", lambda frame, name: store(stored.append(frame) or frame, name))
+    pipelines.analyze_on_demand(lines.withColumn("raw_line", F.reverse("raw_line")), keyword_scorer)
+    plan = stored[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("reverse(") == 1
+
+
 def test_spread_leaves_large_input_alone(spark):
     assert logs.spread(spark.range(10, numPartitions=1)).rdd.getNumPartitions() == 8
     wide = spark.range(10, numPartitions=20)
