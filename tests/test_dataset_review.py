@@ -1,12 +1,14 @@
 import math
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from hostvigil.operators import classify, dataset, evaluate, review
+from hostvigil.plans import catalog, oracles
 from hostvigil.session import materialize
 from hostvigil.sources import files
 
@@ -231,3 +233,34 @@ def test_an_occurrence_of_a_token_moves_one_counter(spark):
     assert plan.count("partial_count") == 1
     found = {r.token: {labels[i]: n for i, n in enumerate(r.counts) if n} for r in counts.collect()}
     assert found == {"a": {"l0": 2, "l14": 1}, "b": {"l0": 1}, "c": {}, "d": {}}
+
+
+def test_logistic_regression_scores_and_teaches_with_odd_rows(spark):
+    rows = spark.createDataFrame([*TRAIN * 5, (90, None, "car"), (91, "apple", None)], ROWS)
+    model = classify.lr_train(rows, features=256)
+    assert list(model.stages[0].labels) == ["car", "fruit"]
+    odd = spark.createDataFrame([(1, None, None), (2, "", "car"), (3, "red apple", None)], "ord LONG, text STRING, extra STRING")
+    scored = classify.lr_score(odd, model)
+    assert scored.columns == ["ord", "text", "extra", "predicted_label", "confidence"]
+    found = {r.ord: (r.text, r.predicted_label, round(r.confidence, 6)) for r in scored.collect()}
+    assert found[1][0] is None and found[2][0] == "" and found[1][1:] == found[2][1:] and found[3][:2] == ("red apple", "fruit")
+
+
+@pytest.mark.parametrize("gaps", [False, True])
+def test_logistic_regression_is_judged_on_every_test_row(spark, tmp_path, gaps):
+    """Rows that naive Bayes is unsure of, gets wrong or cannot name count, and with gaps those without text or label."""
+    own = {"de": "und", "en": "the", "es": "los", "it": "che"}  # naive Bayes has no "it"
+
+    def text(word, i):
+        return None if gaps and i == 50 else f"{word}{i % 5}" if i % 4 == 0 else " ".join(f"{word}{(i + k) % 5}" for k in range(12))
+
+    docs = [(1000 * j + i, text("und" if label == "es" and i % 2 else word, i), label) for j, (label, word) in enumerate(own.items()) for i in range(100)]
+    docs += [(9000 + i, "the1 the2 the3", None) for i in range(10 * gaps)]
+    spark.createDataFrame(docs, "doc_id LONG, text STRING, lang STRING").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(1).withColumnRenamed("id", "event_id").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    found = {r.label: (r.n, r.floor_met, r.on_scale) for r in catalog.QUERIES["lr_train_score"](spark, str(tmp_path)).collect()}
+    assert found == {label: (10, label != "es", True) for label in own} | ({None: (1, True, True)} if gaps else {})  # half of es reads like de
+    con = duckdb.connect()
+    for table in ("documents", "events"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{tmp_path}/{table}.parquet/*.parquet')")
+    assert {row[0]: row[1] for row in con.sql(oracles.oracle_sql()["lr_train_score"]).fetchall()} == {label: n for label, (n, _, _) in found.items()}
