@@ -186,6 +186,16 @@ def test_shared_and_joined_models_score_alike(spark):
     assert key(shared) == key(joined) and shared.columns == joined.columns
 
 
+def test_the_shared_part_of_a_model_is_flat(spark, monkeypatch):
+    """What each Python worker holds are arrays of about the size of the texts and numbers, not one object a token."""
+    model = spark.range(20_000).select(F.concat(F.lit("token"), "id").alias("token"), F.array(F.lit(-1.0), F.lit(-2.0)).alias("logp"))
+    model = model.union(spark.createDataFrame([("", [-0.5, -0.7])], "token STRING, logp ARRAY<DOUBLE>"))
+    given = []
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: given.append(value))
+    classify.log_sums(model)
+    assert len(given) == 1 and sum(part.nbytes for part in given[0]) < 50 * 20_000
+
+
 def test_rows_of_one_label_are_encoded_where_they_are(spark):
     child = spark.newSession()
     for key, value in {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}.items():
